@@ -9,7 +9,7 @@ from .common import frozen, split_join
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) -> (node, component): each node that has an edge, with its smallest reachable node.
+    """edges (a long, b long) -> (node, component): each node that reaches a smaller one, with the smallest it reaches.
 
     Alternating large-star and small-star steps: each node hands its larger (then its smaller) neighbours to the
     smallest node it knows, until no edge changes. The number of rounds grows with the logarithm of the longest

@@ -1,0 +1,342 @@
+"""The corpus operators against brute force, round trips and held-out accuracy, on small tables with awkward rows."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillspark.llm import embeddings, exact, graph, langid, mixing, packing, pii, quality, simhash, substring, tokencount
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, kept string, h int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, blanks, repeated rows, near copies, a long text, null ids, columns with clashing names."""
+    base = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, None), (2, ""), (3, "  \t "), (4, base), (5, base), (5, base), (6, base.replace("word7 ", "other ")), (7, "a  b"), (8, "a b"), (None, "a b"), (9, "x" * 50_000), (10, "Straße ünd Ñ 漢字"), (11, "zz " * 30_000), (12, "intro words " + base + " outro")]
+    return spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 == 0 else f"s{k % 2}", "x", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def norm(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def classes(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark, none):
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(5, 5), (7, None), (200, 201), (201, 200)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = classes([p for p in pairs if None not in p], {x for p in pairs for x in p if x is not None and p[0] != p[1] and None not in p})
+    assert got == {k: v for k, v in want.items() if k != v}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_exact(spark, odd, none):
+    for capacity in (None, 1):
+        rows = exact.exact_groups(odd, capacity=capacity).collect()
+        groups = defaultdict(list)
+        for r in odd.collect():
+            groups[norm(r.text)].append(r.doc_id)
+        want = sorted((str(i), str(min((x for x in g if x is not None), default=None)), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in rows) == want
+        assert all(r.kept == (r.doc_id is not None and r.doc_id == r.keep_id) for r in rows)
+    assert exact.exact_groups(none).count() == 0
+    kept = exact.drop_exact_copies(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "6", "7", "None", "9", "10", "11", "12"])
+
+
+def test_directory_splits_only_overfull_buckets():
+    entries = exact.directory({0: 5, 1: 5, 2: 1, 7: 1}, capacity=5, max_depth=3)
+    assert [e for _, e, _ in entries] == list(range(2 ** entries[0][0]))
+    assert len({b for _, _, b in entries}) < len(entries)
+
+
+def test_exact_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for query, sql in ((exact.op1_exact_dedup, exact.ORACLE), (substring.op7_substring, substring.ORACLE)):
+        got, want = query(spark, SF).toPandas(), con.sql(sql).df()
+        columns = sorted(want.columns)
+        assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+
+
+def slow_fingerprint(text, words):
+    own = split("".join(c.lower() if c.isascii() else c for c in text or ""))
+    if not own:
+        return 0
+    shingles = [" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, odd, none):
+    for docs in (odd, documents(spark)):
+        rows = [(r.doc_id, slow_fingerprint(r.text, 4)) for r in docs.collect()]
+        fps = sorted({f for _, f in rows})
+        ids = {f: min((i for i, g in rows if g == f and i is not None), default=None) for f in fps}
+        pairs = [(ids[a], ids[b]) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= 4 and None not in (ids[a], ids[b])]
+        want = classes(pairs, {i for i in ids.values() if i is not None})
+        got = simhash.near_groups(docs, words=4).collect()
+        assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == sorted((str(i), f"{f:016x}", want.get(ids[f])) for i, f in rows)
+    assert simhash.near_groups(none).count() == 0
+
+
+def test_trees_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    near = centres.copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64)
+    cluster = np.array([int(centres[0]) ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)], np.uint64)
+    fps = np.unique(np.concatenate([centres, near, cluster]))
+    want = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4]
+    rows = spark.createDataFrame([(int(f), k) for k, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    got = {r.node: r.component for r in graph.components(simhash.link_edges(rows, 4, shard=20)).collect()}
+    full = classes(want, range(len(fps)))
+    assert {k: got.get(k, k) for k in range(len(fps))} == full
+
+
+def test_token_counts(spark, odd, none):
+    model = tokencount.Unigram(tokencount.default_vocabulary())
+    import public_tokenizers
+    import regex
+
+    def best(data):
+        top = [(0.0, 0)] + [(-1e300, 0)] * len(data)
+        for end in range(1, len(data) + 1):
+            for start in range(max(0, end - model.longest), end):
+                s = model.score.get(data[start:end])
+                if s is not None and top[start][0] + s > top[end][0]:
+                    top[end] = (top[start][0] + s, top[start][1] + 1)
+        return top[-1]
+
+    texts = {1: "a  b\n c", 2: "Hello world, hello   worlds 123 it's", 3: " lead and trail ", 4: "x\t\n \ny", 5: None, 6: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in tokencount.token_counts(docs).collect()}
+    for i, text in texts.items():
+        parts = regex.findall(public_tokenizers.PATTERN, text or "")
+        scores = [best(p.encode()) for p in parts]
+        assert (got[i].n_pretokens, got[i].n_tokens) == (len(parts), sum(n for _, n in scores))
+        assert got[i].score == pytest.approx(sum(s for s, _ in scores))
+    assert tokencount.token_counts(odd).count() == odd.count() and tokencount.token_counts(none).count() == 0
+
+
+def test_language(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = langid.train(docs, per_lang=120)
+    got = langid.identify(docs, net).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got >= 0.95
+    rows = {r.doc_id: r for r in langid.identify(odd, net).collect()}
+    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (1, 2, 3)) and rows[4].lang_pred in net.langs
+    assert rows[4].held_out == (zlib.crc32(b"4") % 3 == 1)
+    assert langid.identify(none, langid.train(none)).count() == 0 and langid.keep_identified(odd).columns == odd.columns
+    text = ("abc " * 300).encode()
+    assert b"".join(w.tobytes()[: langid.WINDOW - 3] for w in langid.windows(text)).rstrip(b"\0")[: len(text)] == text
+
+
+def test_packing(spark, odd, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    extra = spark.createDataFrame([(50, "a  b \n c\n\nd "), (51, "x <|endoftext|> y"), (52, "don't 'll  \t tab nb 　w")], "doc_id long, text string")
+    for docs in (odd.select("doc_id", "text").where("doc_id IS NULL OR doc_id <> 5").union(extra), documents(spark).select("doc_id", "text")):
+        rows = packing.pack(docs).collect()
+        ids = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in docs.collect()}
+        by_doc, by_sequence = defaultdict(list), defaultdict(list)
+        for r in rows:
+            assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+            by_doc[r.doc_id].append((r.start, r.length))
+            by_sequence[r.sequence_id].append((r.offset, r.length))
+        for own, n in [(sorted(v), len(ids[k])) for k, v in by_doc.items()] + [(sorted(v), None) for v in by_sequence.values()]:
+            ends = np.cumsum([length for _, length in own])
+            assert [s for s, _ in own] == [0, *ends[:-1].tolist()] and ends[-1] == (n or ends[-1]) and (n or ends[-1] <= 2048)
+        assert len(by_doc) == len(ids) and sorted(by_sequence) == list(range(len(by_sequence)))
+        assert len(by_sequence) * 2048 - sum(r.length for r in rows) < 2 * 2048
+    assert packing.pack(none).count() == 0
+    assert packing.pack(odd).count() >= odd.count()
+
+
+def test_fullest_is_best():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        counts = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 60), 5, replace=False), rng.integers(1, 4, 5))}
+        first = max(counts)
+        used = packing.fullest(counts, sorted(counts, reverse=True), 64, first)
+        assert used[first] >= 1 and all(n <= counts[k] for k, n in used.items())
+        sums = {first}
+        for k, n in counts.items():
+            sums = {s + k * t for s in sums for t in range(n + 1 - (k == first))}
+        assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= 64)
+
+
+def test_mixing(spark, odd, none):
+    tokens = {"a": 900, "b": 90, "c": 10}
+    found, _, budget = mixing.weights(tokens, 1000.0, 0.8, 4.0)
+    assert sum(found.values()) == pytest.approx(1) and max(found[k] * budget / tokens[k] for k in tokens) <= 4.0001
+    found, _, budget = mixing.weights(tokens, 1000.0, 0.9, 1.0)
+    assert mixing.entropy(list(found.values())) >= 0.9 * np.log(3) - 1e-6 and max(found[k] * budget / tokens[k] for k in tokens) <= 1.0001
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "hot" if i % 3 else f"s{i % 4}") for i in range(3000)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, target=0.99, most_repeats=3.0, block_rows=64).collect()
+    total = sum(r.n_tokens for r in rows)
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert sum(r.n_tokens * r.repeats for r in own) == pytest.approx(own[0].weight * total, abs=8)
+        assert max(r.repeats for r in own) - min(r.repeats for r in own) <= 1
+    assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
+    got = mixing.mixed(odd)
+    assert got.columns == odd.columns and got.where("doc_id IS NULL").count() == 1 and got.count() <= odd.count()
+
+
+def test_substring(spark, odd, none):
+    rows = [(r.doc_id, split(r.text)) for r in odd.collect()]
+    first = {}
+    for i, own in rows:
+        for p in range(len(own) - 49 if i is not None else 0):
+            key = tuple(own[p : p + 50])
+            first[key] = min(i, first.get(key, i))
+    want = []
+    for i, own in rows:
+        gone = {q for p in range(len(own) - 49) if i is not None and first[tuple(own[p : p + 50])] < i for q in range(p, p + 50)}
+        want.append((str(i), len(own), len(gone), hashlib.sha256(" ".join(w for q, w in enumerate(own) if q not in gone).encode()).hexdigest()))
+    got = substring.remove_repeats(odd).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+    assert substring.remove_repeats(none).count() == 0
+
+
+def test_quality(spark, odd, none):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = quality.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) >= 0.9
+    assert all(0 <= r.score <= 1 for r in quality.score(odd, model).collect())
+    assert quality.score(none, quality.train(none, labels)).count() == 0
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(1)
+    words = quality.Words()
+    bags = words.passages([b"some words here " * 40, b"others!! 12 " * 60])
+    model, y = quality.AttentionModel(rng), np.array([1.0, 0.0])
+
+    def loss():
+        p = np.clip(model.score(*bags), 1e-9, 1 - 1e-9)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grad = model._gradient(*bags, y)
+    for name in ("enc", "tanh", "gate", "attend", "out"):
+        value = getattr(model, name)
+        at = np.unravel_index(int(np.abs(grad[name]).argmax()), value.shape)
+        value[at] += 1e-5
+        up = loss()
+        value[at] -= 2e-5
+        down = loss()
+        value[at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(grad[name][at], rel=1e-3)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def test_pii(spark, odd, none):
+    text = "card 4111-1111-1111-1111 not 4111111111111112 ip 1.2.3.4 not 256.1.1.1 day 2024-02-29 not 2024-02-30 iban GB82WEST12345698765432 mail A.b@c.example.com call +1 (511) 555-6887 or +1 (511) 555-6887 ssn 123-45-6789 not 666-12-1234"
+    docs = spark.createDataFrame([(1, text), (2, "again 4111-1111-1111-1111"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    out = got[1].text
+    for gone in ("4111-1111-1111-1111", "1.2.3.4 ", "2024-02-29", "GB82WEST12345698765432", "A.b@c", "555-6887", "123-45-6789"):
+        assert gone not in out
+    for stays in ("4111111111111112", "256.1.1.1", "2024-02-30", "666-12-1234"):
+        assert stays in out
+    card = re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", out).group()
+    assert luhn(card.replace("-", "")) and card in got[2].text
+    phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", out)
+    assert len(phones) == 2 and phones[0] == phones[1]
+    assert (got[3].text, got[3].n_private, got[4].text) == (None, 0, "")
+    iban = re.search(r"GB\d{2}WEST\d{14}", out).group()
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(none).count() == 0
+
+
+def test_feistel_is_one_to_one(spark):
+    rows = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("t")).alias("d"), pii.permute_below(F.col("id"), 1000, 40, 26, "t").alias("b")).collect()
+    assert len({r.d for r in rows}) == 1000 and {r.b for r in rows} == set(range(1000))
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    x = np.repeat(centres, 10, axis=0)
+    x += rng.normal(size=x.shape) * np.repeat(rng.uniform(0.02, 0.13, 60), 10)[:, None]
+    rows = [(k, v.astype(np.float32).tolist(), k % 3) for k, v in enumerate(x)]
+    rows += [(1000 + k, rows[0][1], 0) for k in range(5)] + [(2000, None, 1), (2001, [0.0] * 64, 1), (2002, [float("nan")] * 64, 1), (2003, [None] * 64, 1), (2004, rows[0][1], None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    fine = [(i, np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)), lab) for i, v, lab in rows if i < 2000]
+    near = np.array([[a[2] == b[2] and a[0] != b[0] and a[1] @ b[1] >= 0.98 for b in fine] for a in fine])
+    for tile in (1024, 4):
+        got = {r.vec_id: r for r in embeddings.near_vectors(frame, tile=tile).collect()}
+        assert len(got) == len(rows)
+        links = np.array([got[f[0]].n_links for f in fine])
+        assert (links <= near.sum(1)).all() and links.sum() >= 0.9 * near.sum()
+        assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(2000, 2005))
+        assert all(got[1000 + k].component_id == got[0].component_id and got[1000 + k].n_links >= 5 for k in range(5))
+    assert embeddings.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_pipeline(spark, odd):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "exact_dedup", "simhash_dedup", "mixing", "packing"] and rows
+    docs = documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        docs = kept
+    left = {r.doc_id for r in docs.collect()}
+    assert {r.doc_id for r in rows} <= left
+    texts = [norm(r.text) for r in docs.collect()]
+    assert len(set(texts)) == len(texts)
+    prints = [slow_fingerprint(r.text, 5) for r in docs.collect()]
+    assert all((a ^ b).bit_count() > 4 for k, a in enumerate(prints) for b in prints[k + 1 :])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd, SF).count() >= 0
