@@ -189,7 +189,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = rows.mapInArrow(local, "known int, anchor long, doc long, places array<int>, full array<long>")
     parts = frozen(parts)
     seen = parts.where("known = 1").select("doc", "places")
-    first = parts.where("known = 0").select("anchor", "doc", "places", "full").groupBy("anchor").applyInArrow(_settle, "doc long, places array<int>")
+    first = parts.where("known = 0").select("anchor", "doc", "places", "full").repartition("anchor").sortWithinPartitions("anchor")
+    first = first.mapInArrow(_settle_runs, "doc long, places array<int>")
     return seen.union(first).groupBy(F.col("doc").alias("doc_id")).agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
@@ -217,23 +218,39 @@ def _rows(doc, place, anchor, full, known: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), known, np.int32)), none, pa.array(doc[at]), places, fulls], ["known", "anchor", "doc", "places", "full"])
 
 
-def _settle(members: pa.Table) -> pa.Table:
-    """The windows around one half-length window: those that a smaller document has as well."""
+def _settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of their anchor; anchors that are complete are settled together, about CHUNK windows at once."""
+    held, windows = [], 0
+    for batch in batches:
+        held.append(batch)
+        windows += len(batch.column("places").flatten())
+        if windows >= CHUNK:
+            together = pa.Table.from_batches(held).combine_chunks()
+            anchors = together.column("anchor").to_numpy()
+            done = int(np.searchsorted(anchors, anchors[-1]))
+            yield from _settle(together.slice(0, done))
+            rest = together.slice(done)
+            held, windows = rest.to_batches(), len(rest.column("places").combine_chunks().flatten())
+    if held:
+        yield from _settle(pa.Table.from_batches(held))
+
+
+def _settle(members: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of the windows around each half-length window: those that a smaller document has as well."""
+    if not members.num_rows:
+        return
     members = members.combine_chunks()
     places, full = members.column("places").combine_chunks(), members.column("full").combine_chunks()
-    doc = np.repeat(members.column("doc").to_numpy(), np.diff(places.offsets.to_numpy()))
+    sizes = np.asarray(places.value_lengths())
+    doc, anchor = (np.repeat(members.column(c).to_numpy(), sizes) for c in ("doc", "anchor"))
     place, h = places.flatten().to_numpy(), full.flatten().to_numpy()
-    order = np.lexsort((doc, h))
-    doc, place, h = doc[order], place[order], h[order]
+    order = np.lexsort((doc, h, anchor))
+    doc, place, h, anchor = doc[order], place[order], h[order], anchor[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    low = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else doc
-    doc, place = doc[doc > low], place[doc > low]
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    at = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0] if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(place.astype(np.int32)))
-    return pa.table({"doc": pa.array(doc[at]), "places": lists})
+    new[1:] = (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1])
+    low = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    for row in _rows(doc[doc > low], place[doc > low], None, None, 0):
+        yield row.select(["doc", "places"])
 
 
 def kept_words(text: bytes, places: list[int] | None, window: int) -> tuple[list[bytes], int]:
