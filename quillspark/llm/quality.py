@@ -39,15 +39,16 @@ class Words:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.shapes: list[tuple[float, ...]] = []
-        self.buckets: list[int] = []
+        self.shapes, self.buckets = np.zeros((1024, SHAPES), np.float32), np.zeros(1024, np.int32)
 
     def number(self, word: bytes) -> int:
         n = self.known.get(word)
         if n is None:
-            n = self.known[word] = len(self.shapes)
-            self.shapes.append(shape(word))
-            self.buckets.append(xxhash.xxh32_intdigest(word, 3) % BUCKETS)
+            n = self.known[word] = len(self.known)
+            if n == len(self.shapes):
+                self.shapes, self.buckets = np.concatenate([self.shapes] * 2), np.concatenate([self.buckets] * 2)
+            self.shapes[n] = shape(word)
+            self.buckets[n] = xxhash.xxh32_intdigest(word, 3) % BUCKETS
         return n
 
     def passages(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,14 +66,14 @@ class Words:
         if not len(starts):
             return numbers, starts, np.zeros((0, SHAPES + 3), np.float32), counts
         sizes = np.diff(np.append(starts, len(numbers))).astype(np.float32)
-        sums = np.add.reduceat(np.array(self.shapes, np.float32)[numbers], starts, axis=0) / sizes[:, None]
+        sums = np.add.reduceat(self.shapes[numbers], starts, axis=0) / sizes[:, None]
         place = np.repeat(np.arange(len(starts)), sizes.astype(int))
         pair = np.unique(place * (1 << 32) + numbers)
         distinct = np.bincount(pair >> 32, minlength=len(starts)) / sizes
         again = np.zeros(len(numbers), np.float32)
         again[1:] = (numbers[1:] == numbers[:-1]) & (place[1:] == place[:-1])
         stats = np.column_stack([sums, distinct, np.add.reduceat(again, starts) / sizes, sizes / PASSAGE]).astype(np.float32)
-        return np.array(self.buckets, np.int32)[numbers], starts, stats, counts
+        return self.buckets[numbers], starts, stats, counts
 
 
 class AttentionModel:
