@@ -123,11 +123,12 @@ def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = 0) -> Byte
     text are used.
     """
     labelled = pick(docs, doc_id="doc_id:long", text="text:string", lang="lang:string")
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.coalesce(crc_remainder("doc_id", 3), F.lit(0)) != 1))
-    rows = bounded_sample(labelled, "lang", per_lang).collect()
+    labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.coalesce(crc_remainder("doc_id", 3), F.lit(0)) != 1))
+    ids = bounded_sample(labelled.select("doc_id", "lang"), "lang", per_lang).select("doc_id").distinct()
+    rows = labelled.join(F.broadcast(ids), "doc_id").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0))
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     langs, rng = sorted({r["lang"] for r in rows}), np.random.default_rng(seed)
     x, y = [], []
     for r in rows:
