@@ -131,12 +131,12 @@ def mrr_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_embed_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = R.hashed_vectors(_docs(spark, sf_dir), T.tokens_v1(F.col("text")), 64, slot=lambda t: V.md5_slot(t, 64))
-    return got.select(F.col("doc").alias("doc_id"), "i", F.round("w", 6).alias("w"))
+    return got.select(F.col("doc").alias("doc_id"), "i", (F.round("w", 6) + 0.0).alias("w"))
 
 
 def hash_embed_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = R.hashed_vectors(_docs(spark, sf_dir), T.tokens_v1(F.col("text")), 384, blake=V.blake_slot(384, "hash-model"))
-    return got.select(F.col("doc").alias("doc_id"), "i", F.round("w", 6).alias("w"))
+    return got.select(F.col("doc").alias("doc_id"), "i", (F.round("w", 6) + 0.0).alias("w"))
 
 
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ SELECT model, round(hit_rate, 6) AS hit_rate, round(mean_rank, 6) AS mean_rank,
 WITH t AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc_id AS doc, unnest({TOK1.format('text')}) AS term FROM documents) GROUP BY doc, term),
 s AS (SELECT doc, tf, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM t),
 w AS (SELECT doc, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END * (1 + ln(tf))) AS w FROM s GROUP BY ALL)
-SELECT doc AS doc_id, i, round(CASE WHEN sum(w * w) OVER (PARTITION BY doc) = 0 THEN w ELSE w / sqrt(sum(w * w) OVER (PARTITION BY doc)) END, 6) AS w FROM w""",
+SELECT doc AS doc_id, i, round(CASE WHEN sum(w * w) OVER (PARTITION BY doc) = 0 THEN w ELSE w / sqrt(sum(w * w) OVER (PARTITION BY doc)) END, 6) + 0.0 AS w FROM w""",
     "citation_check": _ranked_sql(POST0, TERMS0, QS, K) + f""", {_EXPECTED},
 c AS (SELECT q, count(*) AS cited, count_if(NOT EXISTS (SELECT 1 FROM ranked r WHERE r.q = expected.q AND r.doc = expected.doc)) AS unretrieved FROM expected GROUP BY q)
 SELECT b.item_id, CASE WHEN c.q IS NULL THEN 'missing_citations' WHEN b.item_id % 7 = 3 THEN 'unknown_citation' WHEN c.unretrieved > 0 THEN 'cites_unretrieved_chunk' ELSE 'valid' END AS status,

@@ -14,9 +14,12 @@ def _plain(frame):
     def one(v):
         if pd.isna(v):
             return "-"
-        if isinstance(v, float):
-            return repr(round(float(v), 5))
-        return str(int(v)) if hasattr(v, "is_integer") and v == int(v) and not isinstance(v, bool) else str(v)
+        if isinstance(v, str | bool):
+            return str(v)
+        try:
+            return str(int(v)) if float(v) == int(v) else repr(round(float(v), 5))
+        except (TypeError, ValueError):
+            return str(v)
 
     return sorted(tuple(one(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
