@@ -11,6 +11,8 @@ from ..functions import text as T
 AUDIT_TYPES = ["abstract", "section", "equation_context", "table_context", "unknown"]
 VALID_TYPES = ["section", "abstract", "equation_context"]
 VERY_SHORT, VERY_LONG = 80, 2500
+#: Positions of one slice of a group that is numbered in pieces.
+SPAN = 1 << 16
 # The fields that a chunk must have.
 REQUIRED = ["chunk_id", "paper_id", "arxiv_id", "title", "source_type", "section_id", "section_heading", "text", "word_count", "metadata"]
 REQUIRED_METADATA = ["domain", "source_pilot", "paper_dir", "source_file", "parsing_status", "source_type_original"]
@@ -71,10 +73,24 @@ def resolve_papers(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     return out.drop("__p", "__pt", "__a", "__ap", "__at")
 
 
+def numbered(rows: DataFrame, by: str, pos: str = "pos", span: int = SPAN) -> DataFrame:
+    """rows with __n, the running number from 1 of each row of its group, in order of pos, a whole number.
+
+    Rows are numbered within slices of span positions, and the small table of slices says how many rows lie before
+    each: a group with a third of all rows is numbered by as many tasks as it has slices.
+    """
+    sliced = rows.withColumn("__slice", F.floor(F.col(pos) / span))
+    held = sliced.groupBy(by, "__slice").agg(F.count("*").alias("__count"))
+    before = F.sum("__count").over(Window.partitionBy(by).orderBy("__slice")) - F.col("__count")
+    held = held.select(F.col(by).alias("__by"), F.col("__slice").alias("__at"), before.alias("__before"))
+    own = sliced.withColumn("__n", F.row_number().over(Window.partitionBy(by, "__slice").orderBy(pos)))
+    joined = own.join(held, F.col(by).eqNullSafe(F.col("__by")) & F.col("__slice").eqNullSafe(F.col("__at")))
+    return joined.withColumn("__n", (F.col("__n") + F.col("__before")).cast("int")).drop("__slice", "__by", "__at", "__before")
+
+
 def with_v1_ids(chunks: DataFrame) -> DataFrame:
     """chunks(resolved_paper_id, section, pos, ...) with chunk_id_v1 (running per paper) and section_normalized."""
-    order = Window.partitionBy("resolved_paper_id").orderBy("pos")
-    out = chunks.withColumn("chunk_id_v1", T.chunk_id_v1(F.col("resolved_paper_id"), F.row_number().over(order)))
+    out = numbered(chunks, "resolved_paper_id").withColumn("chunk_id_v1", T.chunk_id_v1(F.col("resolved_paper_id"), F.col("__n"))).drop("__n")
     return out.withColumn("section_normalized", T.normalize_section(F.col("section")))
 
 
