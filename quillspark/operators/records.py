@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -17,6 +18,11 @@ CONFIDENCE = ["low", "medium", "high"]
 # The fields of metadata, and those that hold lists.
 METADATA = ["arxiv_id", "title", "authors", "abstract", "categories", "published", "url"]
 LISTS = ["authors", "categories"]
+# The fields of a traceable record, by their dotted names.
+TRACED = [
+    *[f"source.{f}" for f in ("arxiv_id", "title", "authors", "categories", "published", "url")], *[f"extraction.{f}" for f in EXTRACTION],
+    *[f"run.{f}" for f in ("run_id", "created_at", "backend", "model", "prompt_version", "prompt_template_sha256", "extraction_schema_version")],
+]
 # What the model without a model says.
 FAKE = {
     "field": "High Energy Physics / detector simulation",
@@ -69,6 +75,34 @@ def traceable(title: Column, ident: Column, extraction: Column, run: Column) ->
     return F.struct(F.struct(ident.alias("arxiv_id"), title.alias("title")).alias("source"), extraction.alias("extraction"), run.alias("run"))
 
 
+def missing_fields(record: Column) -> Column:
+    """The dotted names of a traceable record's fields that are absent, null, blank or an empty list."""
+
+    def lacking(name: str) -> Column:
+        value = F.try_variant_get(record, f"$.{name}", "variant")
+        text = F.try_variant_get(record, f"$.{name}", "string")
+        kind = F.schema_of_variant(value)
+        return value.isNull() | (kind == "VOID") | ((kind == "STRING") & T.blank(text)) | (kind == "ARRAY<VOID>")
+
+    return F.array_compact(F.array(*[F.when(F.coalesce(lacking(f), F.lit(True)), F.lit(f)) for f in TRACED]))
+
+
+def findings(rows: DataFrame) -> DataFrame:
+    """rows(line, record variant) -> (kind, line): each field that a record lacks, and each unknown confidence."""
+    confidence = F.try_variant_get("record", "$.extraction.confidence", "string")
+    odd = F.when(~confidence.isin(CONFIDENCE), F.lit("invalid confidence"))
+    return rows.select(F.explode(F.array_compact(F.concat(missing_fields(F.col("record")), F.array(odd)))).alias("kind"), "line")
+
+
+def formal_summary(rows: DataFrame, require_source: bool = True) -> DataFrame:
+    """One row: total, records_with_source, records with findings, status; without require_source only what is there counts."""
+    found = findings(rows)
+    found = found if require_source else found.where(~F.col("kind").startswith("source."))
+    bad = found.agg(F.count_distinct("line").alias("records_with_findings"))
+    out = rows.agg(F.count("*").alias("total"), F.count_if(F.try_variant_get("record", "$.source", "variant").isNotNull()).alias("records_with_source")).crossJoin(F.broadcast(bad))
+    return out.withColumn("status", F.when((F.col("total") > 0) & (F.col("records_with_findings") == 0), "PASS").otherwise("WARN"))
+
+
 class Model(Protocol):
     """Text in, text out."""
 
@@ -93,9 +127,16 @@ def generator(factory, temperature: float = 0.0):
     return generate
 
 
+PROMPT = "Read the title and abstract. Answer with one JSON object with the string fields " + ", ".join(EXTRACTION) + "; confidence is low, medium or high."
+
+
+def prompt_sha256() -> str:
+    """The digest of the prompt's template, by which runs tell prompts apart."""
+    return hashlib.sha256(PROMPT.encode()).hexdigest()
+
+
 def extraction_prompt(title: Column, abstract: Column) -> Column:
-    head = "Read the title and abstract. Answer with one JSON object with the string fields " + ", ".join(EXTRACTION) + "; confidence is low, medium or high."
-    return F.when(~T.blank(title) & ~T.blank(abstract), F.concat(F.lit(f"{head}\n\nTitle: "), T.trim(title), F.lit("\n\nAbstract: "), T.trim(abstract)))
+    return F.when(~T.blank(title) & ~T.blank(abstract), F.concat(F.lit(f"{PROMPT}\n\nTitle: "), T.trim(title), F.lit("\n\nAbstract: "), T.trim(abstract)))
 
 
 def grounded_prompt(question: Column, hits: Column) -> Column:

@@ -53,5 +53,5 @@ def record_lines(records: DataFrame, most: int = 100) -> DataFrame:
 
 def write(lines: DataFrame, column: str, order: list[str], path: str) -> str:
     """Reports of any size: sections in order of the given columns, in as many files as Spark makes partitions."""
-    lines.orderBy(*order).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+    (lines.orderBy(*order) if order else lines).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
     return path

@@ -49,6 +49,19 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("id <> ''")
 
 
+def query_address(query: str | None = None, identifier: str | None = None, most: int = 1) -> str:
+    """The address that a feed of metadata comes from, for one identifier or one search, newest first."""
+    from urllib.parse import urlencode
+
+    if most < 1 or bool(query and query.strip()) == bool(identifier and identifier.strip()):
+        raise ValueError("a search or an identifier, and one result at least")
+    if identifier:
+        asked = {"id_list": identifier.strip().removeprefix("arXiv:").removeprefix("arxiv:").rsplit("/abs/")[-1].rsplit("/pdf/")[-1].removesuffix(".pdf").strip("/")}
+    else:
+        asked = {"search_query": query.strip(), "sortBy": "submittedDate", "sortOrder": "descending"}
+    return "https://export.arxiv.org/api/query?" + urlencode({"start": 0, "max_results": most} | asked)
+
+
 def atom(feeds: DataFrame) -> DataFrame:
     """feeds(xml) -> one row per entry: identifier, title, abstract, authors, categories, published, url."""
     plain = F.regexp_replace(F.regexp_replace("xml", r'\sxmlns(?::\w+)?="[^"]*"', ""), r"(</?)\w+:", "$1")
