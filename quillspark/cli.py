@@ -118,6 +118,19 @@ def decide(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(a.strict and row["decision"] != "ACCEPT")
 
 
+def pilot(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Extraction, summary, review sheets, inventory and gate, one after another, over 10 to 20 papers."""
+    count = readers.metadata(spark, a.input).count()
+    if count > 20 or (count < 10 and not a.small):
+        raise ValueError("a pilot takes 10 to 20 papers")
+    found, sheets, files = f"{a.out}/extractions", f"{a.out}/sheets", f"{a.out}/manifest"
+    main(["extract", "--input", a.input, "--out", found])
+    main(["summary", "--input", found])
+    main(["checklist", "--input", found, "--out", sheets, "--limit", str(count)])
+    main(["manifest", "--out", files, f"metadata={a.input}"])
+    return main(["gate", "--input", files, "--reviews", sheets, *(["--strict"] if a.strict else [])])
+
+
 def parse(spark: SparkSession, a: argparse.Namespace) -> int:
     """Downloaded sources, a file each, to sections, equations, chunks and papers."""
     blobs = spark.read.format("binaryFile").load(a.input).select(T.safe_paper_id(F.regexp_extract("path", r"([^/]+?)(?:\.[a-z.]+)?$", 1)).alias("paper_id"), "content")
@@ -227,6 +240,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--reviews", nargs="*", default=[])
     one.add_argument("--allow-unreviewed", action="store_true")
     one.add_argument("--strict", action="store_true")
+    one = add("pilot", pilot, "input", "out")
+    one.add_argument("--small", action="store_true")
+    one.add_argument("--strict", action="store_true")
     add("parse", parse, "input", "out")
     add("second", second, "input", "out")
     for name, run in (("retrieve", retrieve), ("ask", ask), ("embed", embed)):

@@ -146,6 +146,14 @@ def grounded_prompt(question: Column, hits: Column) -> Column:
     return F.concat(F.lit("Answer from the context alone, cite chunk ids, and say if it is not enough.\n\nQuestion:\n"), question, F.lit("\n\nContext:\n"), context)
 
 
+def with_abstract(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """rows(arxiv_id, abstract, ...) with a blank abstract filled from metadata(pos, arxiv_id, abstract), the last of equal ids; else ''."""
+    known = metadata.where(~T.blank(F.col("abstract")) & ~T.blank(F.col("arxiv_id"))).groupBy(F.col("arxiv_id").alias("__id")).agg(F.max_by("abstract", "pos").alias("__abstract"))
+    joined = rows.join(known, F.col("arxiv_id") == F.col("__id"), "left")
+    own = F.when(~T.blank(F.col("abstract")), F.col("abstract"))
+    return joined.withColumn("abstract", F.coalesce(own, "__abstract", F.lit(""))).drop("__id", "__abstract")
+
+
 def histogram(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(field, value, records): counts of each value of each field; null and blank as <missing>."""
     filled = [F.struct(F.lit(k).alias("field"), F.coalesce(F.nullif(v.cast("string"), F.lit("")), F.lit("<missing>")).alias("value")) for k, v in fields.items()]

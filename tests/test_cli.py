@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from quillspark.cli import main
 from quillspark.sources import readers
 
@@ -47,3 +49,22 @@ def test_sources(spark, tmp_path, capsys):
     assert main(["parse", "--input", str(tmp_path / "src"), "--out", str(tmp_path / "o")]) == 0 and "success: 1" in capsys.readouterr().out
     assert readers.query_address(identifier="arXiv:1705.0001v1").endswith("max_results=1&id_list=1705.0001v1")
     assert main(["address", "--query", "higgs", "--most", "2"]) == 0 and "search_query=higgs&sortBy=submittedDate" in capsys.readouterr().out
+
+
+def test_whole_pilot(spark, tmp_path, capsys):
+    paper = {"arxiv_id": "1", "title": "Fast showers", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}
+    source = tmp_path / "m.json"
+    source.write_text(json.dumps([paper]))
+    with pytest.raises(ValueError):
+        main(["pilot", "--input", str(source), "--out", str(tmp_path / "p")])
+    assert main(["pilot", "--input", str(source), "--out", str(tmp_path / "p"), "--small", "--strict"]) == 1
+    said = capsys.readouterr().out
+    assert "decision: REVISE" in said and "reviews: 1" in said and "next: REVISE_BEFORE_SCALING" in said
+
+
+def test_abstracts(spark):
+    from quillspark.operators import records
+
+    rows = spark.createDataFrame([("1", "own"), ("1", " "), ("2", None), (None, None)], "arxiv_id string, abstract string")
+    known = spark.createDataFrame([(1, "1", "old"), (2, "1", "new"), (3, "1", "")], "pos long, arxiv_id string, abstract string")
+    assert sorted(r.abstract for r in records.with_abstract(rows, known).collect()) == ["", "", "new", "own"]
