@@ -15,6 +15,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Rows in one Arrow batch: a batch of long texts must fit a worker's memory.
 ARROW_ROWS = 400
+#: Blocks whose sizes one window adds up.
+SPAN = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,23 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
     return joined.drop("__k")
 
 
+def totals_before(sizes: DataFrame, group: str, at: str, size: str, span: int = SPAN) -> DataFrame:
+    """sizes (group, at, size; each pair once) -> (group, at, before): the group's total below each at.
+
+    Runs of span values of at are added up first, so a window orders span rows, or one row for each run: of a group
+    in blocks of a thousand rows, a millionth.
+    """
+    from pyspark.sql import Window
+
+    cut = sizes.withColumn("__run", F.floor(F.col(at) / span).cast("long"))
+    runs = cut.groupBy(group, "__run").agg(F.sum(size).alias("__size"))
+    lower = F.sum("__size").over(Window.partitionBy(group).orderBy("__run")) - F.col("__size")
+    runs = runs.select(F.col(group).alias("__group"), F.col("__run").alias("__at"), lower.alias("__lower"))
+    own = cut.withColumn("__own", F.sum(size).over(Window.partitionBy(group, "__run").orderBy(at)) - F.col(size))
+    joined = own.join(runs, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__run") == F.col("__at")))
+    return joined.select(group, at, (F.col("__own") + F.col("__lower")).alias("before"))
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

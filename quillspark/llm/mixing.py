@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, frozen, pick
+from .common import SPACE_CLASS, frozen, pick, totals_before
 
 #: Target entropy as a share of the highest (equal weights), repetitions of a document at most, rows of a block.
 ENTROPY, MOST_REPEATS, BLOCK_ROWS = 0.95, 4.0, 1024
@@ -98,8 +98,7 @@ def mix(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, m
     dealt = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["s"])).drop("s")
     dealt = dealt.withColumn("block", F.pmod(F.col("key"), F.col("blocks")))
     held = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
-    before = held.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("block")) - F.col("size"))
-    before = before.select(F.col("source").alias("s"), F.col("block").alias("b"), "before")
+    before = totals_before(held, "source", "block", "size").select(F.col("source").alias("s"), F.col("block").alias("b"), "before")
     inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.withColumn("run", F.sum("n_tokens").over(inside))
     out = run.join(before, run["source"].eqNullSafe(before["s"]) & (run["block"] == before["b"]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frozen, pick, small_batches
+from .common import frozen, pick, small_batches, totals_before
 
 WINDOW, END_ID = 2048, 1
 #: Runs of text whose ids a task remembers before it starts anew: a bound on memory, not on the work.
@@ -182,8 +182,7 @@ def numbered(cut: DataFrame, most: int = NUMBERED) -> DataFrame:
     sizes = cut.groupBy("length").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("long").alias("slices"))
     dealt = cut.join(F.broadcast(sizes), "length")
     dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("slices"))).drop("slices")
-    held = dealt.groupBy("length", "slice").count()
-    before = held.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("slice")) - F.col("count")).drop("count")
+    before = totals_before(dealt.groupBy("length", "slice").count(), "length", "slice", "count")
     order = Window.partitionBy("length", "slice").orderBy("doc_id", "start", "ids_crc32")
     ranked = dealt.withColumn("n", F.row_number().over(order))
     return ranked.join(before, ["length", "slice"]).withColumn("n", F.col("n") - 1 + F.col("before")).drop("slice", "before")

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import embeddings, exact, graph, langid, mixing, packing, pii, quality, simhash, substring, tokencount
+from quillspark.llm.common import totals_before
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, h int"
@@ -64,6 +65,13 @@ def test_components(spark, none):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_totals_before(spark):
+    rows = [(g, at, (at * 7 + len(g or "")) % 11) for g in ("a", "bb", None) for at in range(0, 50, 1 + len(g or ""))]
+    got = totals_before(spark.createDataFrame(rows, "g string, at long, n long"), "g", "at", "n", span=8).collect()
+    want = [(str(g), at, sum(n for h, b, n in rows if h == g and b < at)) for g, at, _ in rows]
+    assert sorted((str(r.g), r.at, r.before) for r in got) == sorted(want)
+
+
 def test_exact(spark, odd, none):
     for capacity in (None, 1):
         rows = exact.exact_groups(odd, capacity=capacity).collect()
