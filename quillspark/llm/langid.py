@@ -195,7 +195,8 @@ def verdicts(net: ByteConvNet | None, texts: list[str | None], most: int = 4096)
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without those whose language can't be told: `und`, or a score below least."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names with dots can't be passed to tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
             yield batch.filter(pa.array([score >= least for _, score in verdicts(shared.value, texts)], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, target: float = STAGE_ENTROPY, most_repeats: float =
     gone = taken.where("__repeats <> 1").withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__id"), "left")
     copies = F.explode(F.array_repeat(F.lit(0), F.coalesce("__repeats", F.lit(1)).cast("int")))
-    return joined.withColumn("__copy", copies).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn("__copy", copies).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,6 +329,15 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_stages_keep_any_column(spark, odd):
+    import corpus_pipeline
+
+    named = odd.withColumnRenamed("kept", "a.b").withColumnRenamed("h", "page")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, named, SF)
+        assert kept.columns == named.columns and 0 < kept.count() <= named.count(), name
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
