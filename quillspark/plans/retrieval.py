@@ -59,9 +59,8 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage word for word; the passages, few, go to every task."""
-    questions = _questions(spark, sf_dir)
-    return _docs(spark, sf_dir).join(F.broadcast(questions), F.expr("contains(text, question)")).select("q", "doc")
+    """Documents that hold a benchmark passage word for word."""
+    return R.containing(_docs(spark, sf_dir), _questions(spark, sf_dir))
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +142,10 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's answer cites its expected documents; what was retrieved are the top 5."""
     index = R.build_index(_docs(spark, sf_dir), T.tokens_v0(F.col("text")))
     questions = _questions(spark, sf_dir)
-    name = lambda c: F.concat(F.lit("doc"), F.col(c).cast("string"))
-    hits = R.retrieve(index, questions, T.tokens_v0(F.col("question")), K).groupBy("q").agg(F.collect_list(name("doc")).alias("retrieved"))
-    cited = _expected(spark, sf_dir).groupBy("q").agg(F.collect_list(name("doc")).alias("cited"))
-    rows = questions.join(hits, "q", "left").join(cited, "q", "left")
-    known = F.when(F.col("q") % 7 == 3, F.array().cast("array<string>")).otherwise(F.coalesce("cited", F.array().cast("array<string>")))
-    return rows.select(F.col("q").alias("item_id"), E.citation_status(F.col("cited"), F.col("retrieved"), known).alias("status"), F.coalesce(F.size("cited"), F.lit(0)).cast("long").alias("cited"))
+    hits = R.retrieve(index, questions, T.tokens_v0(F.col("question")), K).select("q", "doc", F.lit(True).alias("got"))
+    cited = _expected(spark, sf_dir).join(hits, ["q", "doc"], "left").groupBy("q").agg(F.count("*").alias("cited"), F.count_if(F.col("got").isNull()).alias("unretrieved"))
+    status = E.citation_label(F.col("cited").isNull(), F.col("q") % 7 == 3, F.col("unretrieved") > 0)
+    return questions.join(cited, "q", "left").select(F.col("q").alias("item_id"), status.alias("status"), F.coalesce("cited", F.lit(0)).cast("long").alias("cited"))
 
 
 # SQL that several queries share.

@@ -78,6 +78,17 @@ def test_vectors(spark):
     assert sorted((r["rank"], r.doc) for r in top) == [(1, 29), (2, 28)]
 
 
+def test_containing(spark):
+    docs = [(1, "a rose is a rose"), (2, "rosé, 漢字"), (3, None), (4, ""), (5, "is a"), (5, "is a")]
+    asked = [(10, "rose"), (11, "is a"), (12, "漢"), (13, ""), (14, None), (15, "rose"), (16, "e is"), (17, "Rose")]
+    want = sorted((q, d) for q, w in asked for d, t in docs if w is not None and t is not None and w in t)
+    rows, passages = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(asked, "q long, question string")
+    for block in (1 << 20, 4):
+        assert sorted((r.q, r.doc) for r in retrieval.containing(rows, passages, block).collect()) == want
+    assert retrieval.containing(rows, passages.where("q < 0")).count() == 0
+    assert retrieval.containing(rows.where("doc < 0"), passages).count() == 0
+
+
 def test_citations(spark):
     rows = spark.createDataFrame([(["c1"], ["c1"], ["c1", "c2"]), ([], ["c1"], ["c1"]), (["c2"], ["c1"], ["c1", "c2"]), (["c9"], ["c1"], ["c1"]), ([None], ["c1"], ["c1"])], "cited array<string>, got array<string>, known array<string>")
     assert [r[0] for r in rows.select(evaluate.citation_status(F.col("cited"), F.col("got"), F.col("known"))).collect()] == ["valid", "missing_citations", "cites_unretrieved_chunk", "unknown_citation", "unknown_citation"]
