@@ -11,7 +11,7 @@ from .common import SPACE_CLASS, frozen, pick, totals_before
 
 #: Target entropy as a share of the highest (equal weights), repetitions of a document at most, rows of a block.
 ENTROPY, MOST_REPEATS, BLOCK_ROWS = 0.95, 4.0, 1024
-#: The stage of the pipeline repeats nothing.
+#: The stage of the pipeline repeats nothing: a source that would be repeated is taken whole, once.
 STAGE_ENTROPY, STAGE_REPEATS = 0.9, 1.0
 SEED = 17
 
@@ -66,10 +66,11 @@ def weights(tokens: dict[str, int], budget: float, target: float, most_repeats:
     return dict(zip(names, found)), exponent, budget
 
 
-def mix(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, most_repeats: float = MOST_REPEATS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, most_repeats: float = MOST_REPEATS, block_rows: int = BLOCK_ROWS, seed: int = SEED, most_taken: float = math.inf) -> DataFrame:
     """One row per row of docs: doc_id, source, n_tokens (words), weight, repeats (copies in the mix, 0 or more).
 
-    A source's quota is its weight of the budget (by default all tokens). It is realised as whole passes over the
+    A source's quota is its weight of the budget (by default all tokens), but never more than most_taken times what
+    it has; what such a source can't fill is left unfilled, and no other source's quota depends on it. It is realised as whole passes over the
     source and a part of one more. For the part, the source's documents are dealt to blocks of about block_rows by
     a keyed hash, which is a permutation of the source; blocks are taken in order while they fit, and within the
     block where the quota ends documents are taken in the order of their hash while they fit. Block totals are a
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, m
     quotas = []
     for r in sources:
         name = _name(r["source"])
-        quota = found.get(name, 0.0) * budget
+        quota = min(found.get(name, 0.0) * budget, most_taken * tokens[name]) if tokens[name] else 0.0
         passes = int(quota // tokens[name] + 1e-9) if tokens[name] else 1
         part = max(0.0, quota - passes * tokens[name]) if tokens[name] else 0.0
         quotas.append((r["source"], found.get(name, 0.0), passes, int(part + 0.5), max(1, -(-r["n"] // block_rows))))
@@ -111,8 +112,14 @@ def _name(source: str | None) -> str:
 
 
 def mixed(docs: DataFrame, target: float = STAGE_ENTROPY, most_repeats: float = STAGE_REPEATS, budget: float | None = None) -> DataFrame:
-    """docs as mix() decides: rows that it leaves out go, rows that it repeats come as often; rows with a null id stay once."""
-    taken = mix(docs, budget, target, most_repeats).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
+    """docs as mix() decides: rows that it leaves out go, rows that it repeats come as often; rows with a null id stay once.
+
+    Where nothing may be repeated, the exponent still keeps to MOST_REPEATS, so that a rare source can't pull the
+    weights far from the shares, and each source is taken once at most. Only sources whose weight is below their
+    share lose documents, however rare the rarest source is.
+    """
+    limit = most_repeats if most_repeats > 1 else MOST_REPEATS
+    taken = mix(docs, budget, target, limit, most_taken=most_repeats).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
     gone = taken.where("__repeats <> 1").withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__id"), "left")
     copies = F.explode(F.array_repeat(F.lit(0), F.coalesce("__repeats", F.lit(1)).cast("int")))

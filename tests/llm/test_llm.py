@@ -229,6 +229,15 @@ def test_mixing(spark, odd, none):
     assert got.columns == odd.columns and got.where("doc_id IS NULL").count() == 1 and got.count() <= odd.count()
 
 
+def test_mixing_stage_loses_nothing_to_rare_sources(spark):
+    sizes = {"hot": 6000, "a": 2000, "b": 1000, "c": 500, "d": 500, "tiny": 1, None: 1}
+    docs = spark.createDataFrame([(k, "a few words", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, text string, source string")
+    kept = {r.source: r["count"] for r in mixing.mixed(docs).groupBy("source").count().collect()}
+    found, _, _ = mixing.weights({str(s): n for s, n in sizes.items()}, 10002.0, mixing.STAGE_ENTROPY, mixing.MOST_REPEATS)
+    assert {s: n for s, n in kept.items() if s != "hot"} == {s: n for s, n in sizes.items() if s != "hot"}
+    assert kept["hot"] == pytest.approx(found["hot"] * 10002, abs=8) and sum(kept.values()) > 0.8 * 10002
+
+
 def test_substring(spark, odd, none):
     rows = [(r.doc_id, split(r.text)) for r in odd.collect()]
     first = {}
