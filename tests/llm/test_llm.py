@@ -122,6 +122,27 @@ def test_simhash(spark, odd, none):
     assert simhash.near_groups(none).count() == 0
 
 
+def test_stage_drops_similar_texts(spark):
+    rng = np.random.default_rng(11)
+    rows, similar = [], []
+    for k in range(300):
+        own = [f"w{n}" for n in rng.integers(0, 5000, 200)]
+        copy = list(own)
+        for at in rng.choice(200, 1 + k % 12, replace=False):
+            copy[at] = "changed"
+        a, b = ({tuple(t[i : i + 5]) for i in range(196)} for t in (own, copy))
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+        similar.append(len(a & b) / len(a | b))
+    rows += [(10_000 + k, "shared start " * 40 + f"end {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs).collect()}
+    close = {k for k, s in enumerate(similar) if s >= 0.8}
+    caught = {k for k in range(300) if 2 * k + 1 not in kept}
+    within = {k for k in range(300) if (slow_fingerprint(rows[2 * k][1], 5) ^ slow_fingerprint(rows[2 * k + 1][1], 5)).bit_count() <= 4}
+    assert len(close) >= 80 and len(caught & close) >= 0.95 * len(close) and caught <= close | within
+    assert {2 * k for k in range(300)} <= kept
+
+
 def test_trees_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
