@@ -21,7 +21,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
+PHONE = r"\+[0-9]{1,3}[ .-][0-9](?:[ .-][0-9]{2}){4}(?![0-9])|(?<![0-9.-])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9]|[.-][0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, HEX, IBAN, ADDRESS, DATE, SOCIAL, PHONE, CARD))
 
@@ -116,6 +116,27 @@ def _is(value: Column, pattern: str) -> Column:
     return value.rlike(f"^(?:{pattern})$")
 
 
+def reading(value: Column, apart: str, valid: Callable[[Column], Column], rank: Callable[[Column], Column], make: Callable[[Column], Column], first: bool = False) -> Column:
+    """value with a run of its groups, which signs of the class apart divide, replaced; null if none is valid.
+
+    Among valid runs (with first, only those from the start) that of the lowest rank is taken, then the first.
+    """
+    groups = F.regexp_extract_all(value, F.lit(f"[^{apart}]+[{apart}]?"), F.lit(0))
+
+    def runs(g: Column) -> Column:
+        def run(i: Column, j: Column) -> Column:
+            mid = F.regexp_replace(F.array_join(F.slice(g, i, j - i + 1), ""), f"[{apart}]$", "")
+            at = F.length(F.array_join(F.slice(g, F.lit(1), i - 1), ""))
+            return let(mid, lambda m: F.struct(rank(m).alias("rank"), at.alias("at"), m.alias("mid")))
+
+        starts = F.array(F.lit(1)) if first else F.sequence(F.lit(1), F.size(g))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.size(g)), lambda j: run(i, j))))
+
+    found = F.array_min(F.filter(let(groups, runs), lambda r: valid(r["mid"])))
+    after = lambda r: F.substr(value, r["at"] + F.length(r["mid"]) + 1, F.length(value))
+    return let(found, lambda r: F.when(r.isNotNull(), F.concat(F.substr(value, F.lit(1), r["at"]), make(r["mid"]), after(r))))
+
+
 def _email(value: Column) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{KEY}|email|"), F.lower(value)), 256), 1, 12), F.lit("@example.org"))
 
@@ -126,9 +147,9 @@ def _hex(value: Column) -> Column:
 
 
 def _iban(value: Column) -> Column:
-    """Country and letters stay, digits are permuted, check digits follow."""
+    """Country and letters stay, digits are permuted, check digits follow; words after it, taken for groups, stay."""
 
-    def remade(compact: Column) -> Column:
+    def remade(compact: Column, value: Column) -> Column:
         country = F.substring(compact, 1, 2)
         account = F.substr(compact, F.lit(5), F.length(compact))
         fresh = let(account, lambda a: refill(a, permute_digits(digits_of(a), F.lit("iban"))))
@@ -137,7 +158,10 @@ def _iban(value: Column) -> Column:
         enough = F.length(digits_of(account)) >= 2
         return F.when((iban_rest(compact) == 1) & enough, refill(value, whole, "[A-Z0-9]"))
 
-    return let(F.replace(value, F.lit(" "), F.lit("")), remade)
+    compact = lambda v: F.replace(v, F.lit(" "), F.lit(""))
+    whole = lambda v: let(compact(v), lambda c: remade(c, v))
+    valid = lambda v: (F.length(compact(v)) >= 15) & (iban_rest(compact(v)) == 1)
+    return F.coalesce(whole(value), reading(value, " ", valid, lambda v: -F.length(v), whole, first=True))
 
 
 def _address(value: Column) -> Column:
@@ -186,14 +210,20 @@ def _phone(value: Column) -> Column:
 
 
 def _card(value: Column) -> Column:
+    """All digits if they are valid, else the groups among them that are: 16 digits, 15, then the longest."""
+
     def checked(fresh: Column) -> Column:
         return F.concat(fresh, ((F.lit(10) - luhn_sum(F.concat(fresh, F.lit("0"))) % 10) % 10).cast("string"))
 
-    def remade(digits: Column) -> Column:
+    def remade(digits: Column, value: Column) -> Column:
         fresh = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("card"))
         return F.when(luhn_sum(digits) % 10 == 0, refill(value, let(fresh, checked)))
 
-    return let(digits_of(value), remade)
+    whole = lambda v: let(digits_of(v), lambda d: remade(d, v))
+    size = lambda v: F.length(digits_of(v))
+    valid = lambda v: size(v).between(13, 19) & (luhn_sum(digits_of(v)) % 10 == 0)
+    rank = lambda v: F.when(size(v) == 16, 0).when(size(v) == 15, 1).otherwise(30 - size(v))
+    return F.coalesce(whole(value), reading(value, " -", valid, rank, whole))
 
 
 #: Kind -> (shape, pseudonym or null where the value isn't valid).
@@ -227,7 +257,8 @@ def pseudonymise(docs: DataFrame) -> DataFrame:
     calendar for dates, issuing rules for social security numbers. Numbers and dates are permuted by a keyed Feistel
     network within their format, so equal values stay equal in all documents, different ones stay different, and
     the result is again valid. E-mail addresses and hexadecimal secrets have no order to permute within; a keyed
-    digest takes their place. Values that fail validation stay.
+    digest takes their place. A card or IBAN that other groups adjoin is looked for among the groups; what else fails
+    validation stays.
 
     Null texts stay null with n_private 0, empty texts empty. Null ids and repeated rows are returned like any
     other; an empty table gives no rows. Nothing is shuffled, and texts without any shape are passed through.

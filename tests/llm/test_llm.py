@@ -334,6 +334,18 @@ def test_pii(spark, odd, none):
     assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(none).count() == 0
 
 
+def test_pii_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [card, f"{card} 123", f"{card} 12/27", f"7 {card}", f"{iban} CALL", iban, "+33 1 42 68 53 00", "555 123 4567"]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(f"see {t} now" for t in texts)), "doc_id long, text string")).collect()
+    got = [r.text[4:-4] for r in sorted(rows)]
+    assert got[0] != card and luhn(got[0].replace(" ", ""))
+    assert got[1:4] == [f"{got[0]} 123", f"{got[0]} 12/27", f"7 {got[0]}"]
+    assert got[5] != iban and got[4] == f"{got[5]} CALL"
+    assert got[6] != texts[6] and got[6].startswith("+33 ") and got[7] != texts[7]
+    assert all(r.n_private == 1 for r in rows)
+
+
 def test_feistel_is_one_to_one(spark):
     rows = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("t")).alias("d"), pii.permute_below(F.col("id"), 1000, 40, 26, "t").alias("b")).collect()
     assert len({r.d for r in rows}) == 1000 and {r.b for r in rows} == set(range(1000))
