@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Rows in one Arrow batch: a batch of long texts must fit a worker's memory.
 ARROW_ROWS = 400
+#: Bytes of text that a task's Python side works on at once.
+BATCH_BYTES = 16 << 20
 #: Blocks whose sizes one window adds up.
 SPAN = 1024
 
@@ -29,10 +31,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; a local one is set only where none is."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only a session on one machine may make its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
 
 
 def frozen(df: DataFrame) -> DataFrame:
@@ -50,6 +55,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*out)
 
 
+def if_small(table: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """table, to be sent to every task if it has at most so many rows; else as it is, for Spark to decide."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """An equi-join on a key that a third of the left rows may share.
 
@@ -105,11 +115,51 @@ def lower_ascii(data: bytes) -> bytes:
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a letter (Unicode category L) is in the text; numbers and signs that look like letters are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def by_bytes(batches: Iterator, column: str, most: int = BATCH_BYTES) -> Iterator:
+    """The same rows in batches of at most so many bytes of the column, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for k, size in enumerate(sizes.tolist()):
+            if held and held + size > most:
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += size
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def text_key(*columns: str) -> Column:
+    """A number for each row's values in these columns; equal rows have equal ones."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
+
+
+def taken(docs: DataFrame, key: Column, plan: DataFrame) -> DataFrame:
+    """docs as often as plan(key, copies, total) says: a row whose key is not in it goes.
+
+    Rows that share a key are equal in what the plan looks at. With copies, each comes so often; where copies is null,
+    one of them comes total times: such rows are first combined in the tasks that read them, so that no task
+    receives them all.
+    """
+    names = docs.columns
+    plain = docs.withColumn("__key", key).toDF(*[f"c{k}" for k in range(len(names))], "__key")
+    own = [f"c{k}" for k in range(len(names))]
+    plan = plan.select(F.col("key").alias("__key"), F.col("copies").alias("__copies"), F.col("total").alias("__total"))
+    each = plain.join(plan.where("__copies > 0").drop("__total"), "__key")
+    out = each.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*own)
+    apart = plan.where("__copies IS NULL AND __total > 0").drop("__copies")
+    if not apart.isEmpty():
+        one = plain.join(apart.select("__key"), "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*own)).alias("__row"))
+        one = one.join(apart, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__total"))))
+        out = out.union(one.select(*[F.col(f"__row.{c}").alias(c) for c in own]))
+    return out.toDF(*names)
 
 
 def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, frozen, pick
+from .common import SPACE_CLASS, frozen, if_small, pick
 
 #: The directory never has more than 2 to this power entries, so it can be broadcast at any input size.
 MAX_DEPTH = 14
 #: Entries that a bucket may hold before it is split, at least; and the share of all entries that sets it above that.
 MIN_CAPACITY, BUCKETS = 16, 2 ** (MAX_DEPTH - 1)
+#: Rows of one hash that one task holds, at most: their ids form one list.
+MOST_ROWS = 1 << 20
 
 
-def normalised(column: str = "text"):
+def _norm(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", " ")
+
+
+def normalised(column: str = "text") -> Column:
     """The text with each run of ASCII white space as one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), f"{SPACE_CLASS}+", " ")
+    return _norm(F.col(column))
 
 
 def directory(leaves: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
@@ -48,64 +54,72 @@ def directory(leaves: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return sorted(entries)
 
 
-def _with_owner(rows: DataFrame, entries: DataFrame, depth: int, hot: DataFrame) -> DataFrame:
-    """Each row's bucket by the first bits of its hash, and its page where one hash alone overfills a bucket."""
+def owners(rows: DataFrame, capacity: int | None = None) -> DataFrame:
+    """rows (doc_id, h, ...) with the bucket and page whose task owns them, and pages, the number of their hash's pages.
+
+    The index on shared files holds how often each 64-bit hash occurs. From it the directory is doubled until no bucket
+    of several hashes is overfull, and a row's bucket is where the first bits of its hash lead. Where one hash alone
+    overfills a bucket, its rows get overflow pages, which different tasks own; the page follows from the id and
+    the row's place in the table (which must be read from files), so rows without an id, or with one id, spread as
+    well. Capacity follows the number of rows up to MOST_ROWS. The directory is bounded, and hashes with pages are
+    at most one in a capacity of rows.
+    """
+    index = frozen(rows.groupBy("h").agg(F.count("*").alias("n")))
+    total = index.agg(F.sum("n")).first()[0] or 0
+    capacity = capacity or min(MOST_ROWS, max(MIN_CAPACITY, -(-total // BUCKETS)))
+    leaf = F.shiftrightunsigned(F.col("h"), 64 - MAX_DEPTH)
+    leaves = index.groupBy(leaf.alias("leaf")).agg(F.sum(F.least("n", F.lit(capacity))).alias("n"))
+    entries = directory({r["leaf"]: r["n"] for r in leaves.collect()}, capacity)
+    depth = entries[0][0]
+    known = rows.sparkSession.createDataFrame([(e, b) for _, e, b in entries], "entry long, bucket long")
+    hot = index.where(F.col("n") > capacity).select("h", F.ceil(F.col("n") / capacity).cast("int").alias("pages"))
     entry = F.shiftrightunsigned(F.col("h"), 64 - depth) if depth else F.lit(0).cast("long")
-    out = rows.withColumn("entry", entry).join(F.broadcast(entries), "entry").join(F.broadcast(hot), "h", "left")
-    pages = F.coalesce(F.col("pages"), F.lit(1))
-    return out.withColumn("page", F.pmod(F.xxhash64(F.lit("page"), F.col("doc_id")), pages)).drop("entry", "pages")
+    out = rows.withColumn("entry", entry).withColumn("place", F.monotonically_increasing_id())
+    out = out.join(F.broadcast(known), "entry").join(if_small(hot), "h", "left").withColumn("pages", F.coalesce("pages", F.lit(1)))
+    return out.withColumn("page", F.pmod(F.xxhash64(F.lit("page"), "doc_id", "place"), "pages")).drop("entry", "place")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The index on shared files holds (doc_id, 64-bit hash, digest) of each text. From its counts the directory is
-    doubled until no bucket of several keys is overfull. Texts then go to the task that owns their bucket, where
-    rows of one hash form a chain: they are grouped by the text's bytes, so colliding texts stay apart. Where the
-    copies of a single text overfill a bucket, it gets overflow pages, owned by different tasks; the small
-    results of all pages of a chain are merged, and the decision returns to the rows page by page.
-    Capacity follows the number of rows, so buckets and hot hashes are at most about 16,000 at any size: both
-    tables can be broadcast.
+    Texts go to the task that owns their bucket (see owners()), where rows of one hash form a chain: they are told
+    apart by comparing their bytes, so colliding texts are different groups. A group of one page leaves its task
+    decided. A group that overfills its bucket leaves each page with the ids it holds there and the text once; pages
+    are merged by comparing the bytes again, and their ids follow. The digest is returned, but decides nothing.
 
     Null texts count as empty; empty texts are copies of each other. The smallest doc_id of a group stays. Repeated
     rows with one doc_id are counted in group_size and kept or dropped together; with a null doc_id a row is not
     kept unless nothing else decides (keep_id is null where all ids are). An empty table gives no rows.
     """
     rows = pick(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string")
-    rows = rows.select("doc_id", normalised().alias("norm")).withColumn("h", F.xxhash64("norm"))
-    index = frozen(rows.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")))
-    total = index.count()
-    capacity = capacity or max(MIN_CAPACITY, -(-total // BUCKETS))
-    keys = frozen(index.groupBy("h").count())
-    hot = keys.where(F.col("count") > capacity).select("h", F.ceil(F.col("count") / capacity).cast("int").alias("pages"))
-    leaf = F.shiftrightunsigned(F.col("h"), 64 - MAX_DEPTH)
-    leaves = keys.groupBy(leaf.alias("leaf")).agg(F.sum(F.least("count", F.lit(capacity))).alias("n"))
-    entries = directory({r["leaf"]: r["n"] for r in leaves.collect()}, capacity)
-    depth = entries[0][0]
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(e, b) for _, e, b in entries], "entry long, bucket long")
-
-    owned = _with_owner(rows, known, depth, hot).repartition("bucket", "page")
-    chains = owned.groupBy("bucket", "page", "h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    chains = chains.select("bucket", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "n")
-    groups = chains.groupBy("h", "sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
-    by_page = groups.join(F.broadcast(hot), "h", "left").withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("pages", F.lit(1)) - 1).cast("long"))))
-    placed = _with_owner(index, known, depth, hot).drop("bucket")
-    out = placed.join(by_page.drop("pages"), ["h", "sha", "page"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    rows = owners(rows.select("doc_id", normalised().alias("norm")).withColumn("h", F.xxhash64("norm")), capacity).repartition("bucket", "page")
+    chains = rows.groupBy("bucket", "page", "pages", "h", "norm").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id")).alias("ids"))
+    part = F.when(F.col("pages") > 1, F.col("norm")).alias("norm")
+    chains = frozen(chains.select("h", "low", "n", "ids", F.lower(F.sha2("norm", 256)).alias("text_sha256"), part))
+    single, paged = chains.where("norm IS NULL").select("low", "n", "ids", "text_sha256"), chains.where("norm IS NOT NULL")
+    merged = paged.groupBy("h", "norm").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    paged = paged.drop("low", "n").join(merged, ["h", "norm"]).select("low", "n", "ids", "text_sha256")
+    out = single.union(paged).select("low", "n", "text_sha256", F.explode("ids").alias("id"))
+    kept = F.coalesce(F.col("id.doc_id") == F.col("low"), F.lit(False))
+    return out.select("id.doc_id", F.col("low").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups() drops; rows with a null doc_id stay."""
-    dropped = exact_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    """docs with one row of each group of equal texts: that with the smallest doc_id, rows without an id last.
+
+    Rows themselves go to the owner of their bucket, which compares texts and lets one pass. Rows whose text overfills
+    a bucket are first combined in the tasks that read them. Of rows that share the id as well, that with the smallest
+    text stays, of equal ones any.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    ident, text = F.col(f"row.c{names.index('doc_id')}").cast("long"), F.col(f"row.c{names.index('text')}").cast("string")
+    rows = plain.select(F.struct("*").alias("row"))
+    rows = owners(rows.withColumn("doc_id", ident).withColumn("h", F.xxhash64(_norm(text)))).drop("doc_id")
+    first = F.min_by("row", F.struct(ident.isNull(), ident, text)).alias("row")
+    cold = rows.where("pages = 1").repartition("bucket", "page").withColumn("norm", _norm(text)).groupBy("bucket", "page", "h", "norm").agg(first)
+    hot = rows.where("pages > 1").withColumn("norm", _norm(text)).groupBy("h", "norm").agg(first)
+    return cold.select("row.*").union(hot.select("row.*")).toDF(*names)
 
 
 #: The same rows in DuckDB's SQL.
