@@ -4,29 +4,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forest, frozen, lower_ascii, pick, small_batches, split_join
+from .common import by_bytes, forest, frozen, if_small, lower_ascii, pick, small_batches, split_join, taken, text_key
 from .graph import components
 
-#: The operator's defaults; the contract of op2 asks for shingles of 4 words and 4 bits.
+#: The operator's defaults, which the contract of op2 asks for.
 WORDS, BITS, SEED = 4, 4, 42
-#: Fingerprints compared all with all at the bottom of a tree; members of a shard aimed at; rows of the sample.
-LEAF, SHARD, SAMPLE = 128, 512, 4096
+#: Fingerprints compared all with all at the bottom of a tree; members of a shard aimed at; rows of the sample; levels learnt from it.
+LEAF, SHARD, SAMPLE, TOP = 128, 4096, 4096, 10
+#: A shard of more fingerprints is searched in pairs of parts of so many. With more points than FEW, blocks are joined in twos.
+TILE, FEW = 1 << 15, 1 << 29
 #: Bits are counted in blocks of so many shingles, so a very long text needs no more memory.
 BLOCK = 1 << 16
-#: The pipeline's stage also links texts whose sets of shingles have this Jaccard similarity. They are looked for in
-#: BANDS bands of ROWS minima: 1 - (1 - 0.8**5)**12 = 0.99 of the pairs at 0.8 share a band.
-SIMILARITY, BANDS, ROWS = 0.8, 12, 5
-#: Of a band's texts that agree, all pairs up to so many texts; beyond, each text with so many of its bands' first ones.
-PAIRS, CENTRES = 12, 2
-#: Pairs that differ in more bits are no candidates: at 0.8, 10 bits differ on average, with a deviation of 3.
-FAR = 26
+#: The pipeline's stage takes 5 words and also links texts whose sets of shingles have this Jaccard similarity. They are
+#: looked for in BANDS bands of ROWS minima: 1 - (1 - 0.8**5)**12 = 0.99 of the pairs at 0.8 share a band.
+STAGE_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
+#: Of a band's texts that agree, all pairs up to so many texts; beyond, in rounds, each with the first that is left.
+PAIRS = 12
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,69 +69,67 @@ def sketch(text: bytes, words: int, bands: int) -> tuple[int, list[int]]:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, bands: int = 0) -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed long; whole texts, null as empty. With bands also mark, which tells texts apart, and keys."""
+    """(doc_id, fp, mark) of each row, fp as a signed long; whole texts, null as empty. mark tells texts apart. With bands also keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            made = [sketch(t or b"", words, bands) for t in texts]
-            fps = np.fromiter((fp for fp, _ in made), np.uint64, len(texts))
-            out = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
-            if bands:
-                out |= {"mark": batch.column("mark"), "keys": pa.array([k for _, k in made], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_pydict(out)
+        for batch in by_bytes(batches, "text"):
+            made = [sketch(t or b"", words, bands) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            fps = np.fromiter((fp for fp, _ in made), np.uint64, len(made))
+            keys = pa.array([k for _, k in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("mark"), keys], ["doc_id", "fp", "mark", "keys"])
 
     small_batches(docs.sparkSession)
-    if bands:
-        return marked(docs).mapInArrow(run, "doc_id long, fp long, mark long, keys array<long>")
-    return pick(docs, doc_id="doc_id:long", text="text:string").mapInArrow(run, "doc_id long, fp long")
+    rows = pick(docs, doc_id="doc_id:long", text="text:string").withColumn("mark", text_key("text"))
+    out = rows.mapInArrow(run, "doc_id long, fp long, mark long, keys array<long>")
+    return out if bands else out.drop("keys")
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    return pick(docs, doc_id="doc_id:long", text="text:string").withColumn("mark", F.xxhash64("doc_id", "text"))
+def scattered(x: np.ndarray) -> np.ndarray:
+    """Spreads numbers over 64 bits, one to one."""
+    x = x.astype(np.uint64) + np.uint64(0x51ED2701A3C5E96B)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 class Tree:
-    """The upper levels of one vantage-point tree, built from a bounded sample and sent to every task.
-
-    Points are compared by the bits of mask alone. Each inner node has a vantage point and the median distance mu
-    of the sample: points within mu go to the inside. Two points within radius that part company there are at most
-    mu and more than mu - radius from the vantage point, by the triangle inequality, so inside points of that
-    rim also go outside, and every pair within radius meets in a shard.
+    """One vantage-point tree, whose nodes are numbered like those of a heap; it is sent to every task.
+
+    Points are compared by the bits of mask alone. Each inner node has a vantage point and a distance mu: points
+    within mu go to the inside. Two points within radius that part company there are at most mu and more than
+    mu - radius from the vantage point, by the triangle inequality, so inside points of that rim also go outside, and
+    every pair within radius meets in a shard. The upper TOP levels are learnt from a bounded sample, mu being its
+    median; below, and where the sample says nothing, a vantage point follows from its node's number and mu is
+    half of the bits, so the tree takes some kilobytes however deep it is.
     """
 
     def __init__(self, sample: np.ndarray, mask: int, radius: int, depth: int):
-        self.mask, self.radius = np.uint64(mask), radius
-        self.nodes: dict[int, tuple[np.uint64, int]] = {}
-        self._grow(1, sample & self.mask, depth)
-
-    def _grow(self, name: int, points: np.ndarray, depth: int) -> None:
-        if not depth:
-            return
-        cut = divide(points, self.radius, name) if len(points) > 4 else None
-        if cut is None:  # the sample says nothing here: any vantage point keeps the result right
-            at, mu = np.uint64(int(xxhash.xxh64_intdigest(str(name), 7)) & int(self.mask)), int(self.mask).bit_count() // 2
-            inside, outside = points[:0], points[:0]
-        else:
-            at, mu, inside, outside = cut[0], cut[1], points[cut[2]], points[cut[3]]
-        self.nodes[name] = (at, mu)
-        self._grow(2 * name, inside, depth - 1)
-        self._grow(2 * name + 1, outside, depth - 1)
+        self.mask, self.radius, self.depth = np.uint64(mask), radius, depth
+        top = min(depth, TOP)
+        self.points = scattered(np.arange(1 << top)) & self.mask
+        self.mus = np.full(1 << top, int(mask).bit_count() // 2, np.int16)
+        self._grow(1, sample & self.mask, top)
+
+    def _grow(self, name: int, points: np.ndarray, levels: int) -> None:
+        cut = divide(points, self.radius, name) if levels and len(points) > 4 else None
+        if cut is not None:
+            self.points[name], self.mus[name] = cut[0], cut[1]
+            self._grow(2 * name, points[cut[2]], levels - 1)
+            self._grow(2 * name + 1, points[cut[3]], levels - 1)
 
     def shards(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in fps, shard) pairs: the home shard of each and those whose boundary it overlaps."""
-        rows, names, todo = [], [], [(1, np.arange(len(fps)))]
-        own = fps & self.mask
-        while todo:
-            name, at = todo.pop()
-            if name not in self.nodes:
-                rows.append(at)
-                names.append(np.full(len(at), name, np.int64))
-                continue
-            point, mu = self.nodes[name]
-            far = np.bitwise_count(own[at] ^ point).astype(np.int16)
-            todo += [(2 * name, at[far <= mu]), (2 * name + 1, at[far > mu - self.radius])]
-        return np.concatenate(rows), np.concatenate(names)
+        own, at, names = fps & self.mask, np.arange(len(fps)), np.ones(len(fps), np.int64)
+        for _ in range(self.depth):
+            known = names < len(self.points)
+            slot = np.where(known, names, 0)
+            points = np.where(known, self.points[slot], scattered(names) & self.mask)
+            mus = np.where(known, self.mus[slot], int(self.mask).bit_count() // 2)
+            far = np.bitwise_count(own[at] ^ points).astype(np.int16)
+            inside, outside = far <= mus, far > mus - self.radius
+            at = np.concatenate([at[inside], at[outside]])
+            names = np.concatenate([2 * names[inside], 2 * names[outside] + 1])
+        return at, names
 
 
 def divide(points: np.ndarray, radius: int, seed: int) -> tuple | None:
@@ -184,125 +183,173 @@ def _walk(fps: np.ndarray, at: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def masks(bits: int) -> list[int]:
-    """Blocks of the 64 bits such that a pair within bits differs in at most one bit of some block."""
-    count = bits // 2 + 1
+def masks(bits: int, points: int = 0) -> list[int]:
+    """Bits of the 64, as masks, such that a pair within bits differs in at most one bit of some mask.
+
+    With bits // 2 + 1 blocks, some block has at most one of the differing bits (pigeonhole). With bits + 1 blocks, two
+    of them together have at most one: such pairs of blocks are longer, so that more points can be told apart.
+    """
+    count, joined = (bits // 2 + 1, 1) if points <= FEW else (bits + 1, 2)
     edges = [round(64 * k / count) for k in range(count + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return [sum(own) for own in combinations(blocks, joined)]
 
 
-def link_edges(distinct: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
-    """distinct (fp long, rep long) -> edges (a, b) between reps whose fingerprints differ in at most bits bits.
+def link_edges(distinct: DataFrame, bits: int = BITS, shard: int = SHARD, tile: int = TILE, blocks: list[int] | None = None) -> DataFrame:
+    """distinct (fp long), each once -> edges (a, b) between fingerprints that differ in at most bits bits.
 
-    64 random bits lie too evenly for triangle bounds: at radius 4 most branches survive. The bits are therefore
-    split in bits // 2 + 1 blocks; a linked pair differs in one bit at most in some block (pigeonhole), so each
-    block has a tree with radius 1, where bounds prune, and the full distance is tested at the bottom. Nothing is
-    lost. Shards deepen with the number of fingerprints; each is searched by one task, which returns a spanning
-    forest of its links, never all pairs.
+    64 random bits lie too evenly for triangle bounds: at radius 4 most branches survive. Trees therefore look at
+    blocks of the bits in which a linked pair differs in one bit at most (see masks()); with radius 1 bounds
+    prune, and the full distance is tested at the bottom. Nothing is lost. Shards deepen, and blocks lengthen, with the
+    number of fingerprints. A shard of more than two tiles, as a large family of near copies makes, is searched in
+    pairs of parts by different tasks. Each returns a spanning forest of its links, never all pairs.
     """
     spark = distinct.sparkSession
     total = distinct.count()
-    depth = min(20, max(1, math.ceil(math.log2(max(2, total / shard)))))
+    blocks = blocks or masks(bits, total)
+    depth = min(40, max(1, math.ceil(math.log2(max(2, total / shard)))))
     order = F.xxhash64(F.lit("vantage"), F.col("fp"))
     sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(order, "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    blocks = masks(bits)
-    radius = bits // len(blocks)
-    trees = spark.sparkContext.broadcast([Tree(sample, mask, radius, depth) for mask in blocks])
+    trees = spark.sparkContext.broadcast([Tree(sample, mask, 1, depth) for mask in blocks])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fps = batch.column("fp").to_numpy(zero_copy_only=False)
             for block, tree in enumerate(trees.value):
-                at, name = tree.shards(fps)
-                took = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int32)), pa.array(name), took.column("fp"), took.column("rep")], ["block", "shard", "fp", "rep"])
+                at, name = tree.shards(fps.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int32)), pa.array(name), pa.array(fps[at])], ["block", "shard", "fp"])
 
     def search(key: tuple, members: pa.Table) -> pa.Table:
-        fps = members.column("fp").to_numpy().view(np.uint64)
-        reps = members.column("rep").to_numpy()
-        found = links(fps, blocks[key[0].as_py()], radius, bits)
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(reps[at[:, 0]]), "b": pa.array(reps[at[:, 1]])})
+        fps = members.column("fp").to_numpy()
+        at = np.array(links(fps.view(np.uint64), blocks[key[0].as_py()], 1, bits), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(fps[at[:, 0]]), "b": pa.array(fps[at[:, 1]])})
 
-    dealt = distinct.select("fp", "rep").mapInArrow(deal, "block int, shard long, fp long, rep long")
-    return dealt.groupBy("block", "shard").applyInArrow(search, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(deal, "block int, shard long, fp long")
+    large = frozen(dealt.groupBy("block", "shard").count().where(F.col("count") > 2 * tile))
+    dealt = dealt.withColumn("parts", F.lit(1)) if large.isEmpty() else dealt.join(if_small(large), ["block", "shard"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / tile).cast("int"), F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.where("parts = 1 OR part <> other").select("block", "shard", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp")
+    return dealt.groupBy("block", "shard", "low", "high").applyInArrow(search, "a long, b long")
 
 
-def candidates(distinct: DataFrame, bits: int) -> DataFrame:
-    """distinct (fp, rep, mark, keys) -> pairs (a, b) of structs (rep, mark, fp) that share a band and aren't linked by bits.
+def similar_edges(docs: DataFrame, each: DataFrame, words: int, similarity: float) -> DataFrame:
+    """docs and each (fp, mark, keys) -> edges (a, b) between fingerprints of texts whose sets of shingles, compared in full, are as similar.
 
-    Where many texts share a band's key, a third of all perhaps, they are not paired with each other but each with
-    the first of them; of these first ones a text meets those that share most bands with it.
+    Texts that share a band's key are candidates. Up to PAIRS of them are paired with each other. Of more, a third of
+    all texts perhaps, each is compared with the first of them; those that are similar to none of the texts chosen
+    go on to another round among themselves, with four times as many chosen, until few are left. A family of near
+    copies is settled in one round, so pairs grow with the texts and not with their square.
     """
-    node = F.struct("rep", "mark", "fp").alias("node")
-    banded = frozen(distinct.select(node, F.explode("keys").alias("key")))
-    shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    held = frozen(split_join(banded, shared, ["key"], "inner"))
-    listed = held.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    left = listed.select("nodes", F.posexplode("nodes").alias("at", "a"))
-    few = left.select("a", F.explode(F.slice("nodes", F.col("at") + 2, PAIRS)).alias("b"))
-    many = held.where((F.col("n") > PAIRS) & (F.col("node") != F.col("first"))).groupBy("node", "first").agg(F.count("*").alias("bands"))
-    order = Window.partitionBy("node").orderBy(F.desc("bands"), "first")
-    many = many.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES)
-    pairs = few.union(many.select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct()
-    apart = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    return pairs.where((apart > bits) & (apart <= FAR))
-
-
-def similar_edges(docs: DataFrame, distinct: DataFrame, words: int, bits: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between reps whose sets of shingles, compared in full, have at least the similarity."""
-    pairs = frozen(candidates(distinct, bits).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.mark").alias("left"), F.col("b.mark").alias("right")))
-    used = pairs.select(F.col("left").alias("mark")).union(pairs.select("right")).distinct()
-    texts = frozen(marked(docs).join(used, "mark", "left_semi").select("mark", "text").dropDuplicates(["mark"]))
-    both = split_join(pairs, texts.select(F.col("mark").alias("left"), F.col("text").alias("x")), ["left"], "inner")
-    both = split_join(both, texts.select(F.col("mark").alias("right"), F.col("text").alias("y")), ["right"], "inner")
+    node = F.struct("mark", "fp").alias("node")
+    texts = each.groupBy("mark").agg(F.first(F.struct("fp", "keys")).alias("own")).select("mark", "own.*")
+    held, done, chosen = frozen(shared_keys(texts.select(node, F.posexplode("keys").alias("band", "key")))), None, 0
+    bucket = ["band", "key"]
+    while not held.isEmpty():
+        few = held.where(F.col("n") <= PAIRS).groupBy(*bucket).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+        left = few.select("nodes", F.posexplode("nodes").alias("at", "a"))
+        pairs = left.select("a", F.explode(F.slice("nodes", F.col("at") + 2, PAIRS)).alias("b"))
+        many = held.where(F.col("n") > PAIRS)
+        first = many.where((F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(chosen)), "n") < chosen)).select(*bucket, F.col("node").alias("a"))
+        met = frozen(split_join(many.select(*bucket, F.col("node").alias("b")), first, bucket, "inner").where("a <> b"))
+        pairs = frozen(pairs.union(met.select("a", "b")).where("a.fp <> b.fp").distinct())
+        found = frozen(similar(docs, pairs, words, similarity))
+        done = found if done is None else done.union(found)
+        solved = met.join(found, ["a", "b"], "left_semi").union(met.where("a.fp = b.fp").select("a", "b", *bucket)).select(*bucket, F.col("b").alias("node"))
+        solved = solved.union(first.select(*bucket, F.col("a").alias("node")))
+        held = frozen(shared_keys(many.select("node", *bucket).join(solved, [*bucket, "node"], "left_anti")))
+        chosen = max(4, 4 * chosen)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    return none if done is None else done.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def shared_keys(banded: DataFrame) -> DataFrame:
+    """banded (node, band, key) with n, how many nodes share the key, and the first of them, where there are several."""
+    shared = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return split_join(banded, shared, ["band", "key"], "inner")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of structs (mark, fp), those whose texts are as similar; texts are read again and joined by their marks."""
+    used = pairs.select("a.mark").union(pairs.select("b.mark")).distinct()
+    texts = pick(docs, text="text:string").withColumn("mark", text_key("text"))
+    texts = frozen(texts.join(used, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
+    both = split_join(pairs.withColumn("x", F.col("a.mark")), texts.toDF("x", "left"), ["x"], "inner").drop("x")
+    both = split_join(both.withColumn("y", F.col("b.mark")), texts.toDF("y", "right"), ["y"], "inner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("x", "y")]
-            near = [jaccard(x or b"", y or b"", words) >= similarity for x, y in zip(*texts)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        for batch in by_bytes(batches, "left"):
+            texts = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("left", "right")]
+            near, last, kept = [], None, None
+            for x, y in zip(*texts):
+                if x != last:
+                    last, kept = x, shingle_set(x or b"", words)
+                near.append(jaccard(kept, shingle_set(y or b"", words)) >= similarity)
+            yield batch.select(["am", "af", "bm", "bf"]).filter(pa.array(near, pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    flat = both.select(F.col("a.mark").alias("am"), F.col("a.fp").alias("af"), F.col("b.mark").alias("bm"), F.col("b.fp").alias("bf"), "left", "right")
+    near = flat.mapInArrow(compare, "am long, af long, bm long, bf long")
+    return near.select(F.struct(F.col("am").alias("mark"), F.col("af").alias("fp")).alias("a"), F.struct(F.col("bm").alias("mark"), F.col("bf").alias("fp")).alias("b"))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    own = list(shingles(text, words))
+    return np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
 
-def jaccard(x: bytes, y: bytes, words: int) -> float:
-    """The Jaccard similarity of two texts' sets of shingles; 0 where one has none."""
-    a, b = (list(shingles(t, words)) for t in (x, y))
-    if not a or not b:
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of shingles; 0 where one is empty."""
+    if not len(a) or not len(b):
         return 0.0
-    a, b = np.unique(np.concatenate(a)), np.unique(np.concatenate(b))
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def near_groups(docs: DataFrame, words: int = 5, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Fingerprints within bits are linked; with a similarity, so are texts that reach it (see similar_edges).
 
     Texts without words (null, empty, blank) have fingerprint zero and link like any other. Rows with equal
-    fingerprints, a third of all rows perhaps, are one node from the start. A row with a null doc_id gets its
-    fingerprint and component but is never a component's name unless all its ids are null. Repeated rows are
-    each returned. An empty table gives no rows.
+    fingerprints, a third of all rows perhaps, are one node from the start, and links are between fingerprints: ids
+    that occur twice link nothing. A row with a null doc_id gets its fingerprint and component but is never a
+    component's name; the name is null where all ids are. Repeated rows are each returned. An empty table gives no rows.
     """
+    each, named = _grouped(docs, words, bits, similarity)
+    out = split_join(each, named.drop("class"), ["fp"], "inner")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, bits: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """(each row's doc_id, fp, mark; each fingerprint's class, named by a fingerprint, and its component_id)."""
     each = frozen(fingerprints(docs, words, 0 if similarity is None else BANDS))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("rep"), *([] if similarity is None else [F.min_by(F.struct("mark", "keys"), "doc_id").alias("own")]))
-    distinct = frozen(distinct)
-    known = distinct.where("rep IS NOT NULL")
-    edges = link_edges(known, bits)
+    distinct = frozen(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    edges = link_edges(distinct, bits)
     if similarity is not None:
-        edges = edges.union(similar_edges(docs, known.select("fp", "rep", "own.*"), words, bits, similarity))
-    found = components(edges)
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = split_join(each, named, ["fp"], "inner")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        edges = edges.union(similar_edges(docs, each, words, similarity))
+    found = frozen(components(edges))
+    members = found.union(found.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("fp"), "component")
+    least = members.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("least"))
+    told = split_join(members, least, ["component"], "inner")
+    named = distinct.join(told, "fp", "left")
+    return each.select("doc_id", "fp", "mark"), named.select("fp", F.coalesce("component", "fp").alias("class"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, bits: int = BITS, similarity: float | None = SIMILARITY) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id, rows without an id last.
+
+    Rows are told apart by id and text. Of rows equal in both, one stays.
+    """
+    each, named = _grouped(docs, words, bits, similarity)
+    rows = each.groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n"))
+    rows = split_join(rows, named.select("fp", "class"), ["fp"], "inner")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("row"))
+    plan = first.select(_row_key(F.col("row.doc_id"), F.col("row.mark")).alias("key"), F.when(F.col("row.n") == 1, 1).alias("copies"), F.lit(1).cast("long").alias("total"))
+    return taken(docs, _row_key(F.col("doc_id").cast("long"), text_key("text")), frozen(plan))
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, bits: int = BITS, similarity: float | None = SIMILARITY) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id; rows with a null doc_id stay."""
-    dropped = near_groups(docs, words, bits, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+def _row_key(ident: Column, mark: Column) -> Column:
+    return F.xxhash64(F.coalesce(ident.cast("string"), F.lit("none")), mark)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
