@@ -83,7 +83,31 @@ def test_exact(spark, odd, none):
         assert all(r.kept == (r.doc_id is not None and r.doc_id == r.keep_id) for r in rows)
     assert exact.exact_groups(none).count() == 0
     kept = exact.drop_exact_copies(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "6", "7", "None", "9", "10", "11", "12"])
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "6", "7", "9", "10", "11", "12"])
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """One id on different texts, equal rows, and many rows without an id: a text is never lost, and one row of equal ones stays."""
+    rows = [(3, "A"), (5, "A"), (5, "B unique text of its own"), (5, "B unique text of its own"), (None, "A"), (7, "C is only here"), (None, "no id"), (None, "no  id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [("3", "A"), ("5", "B unique text of its own"), ("7", "C is only here"), ("None", "no id")]
+    for keep in (exact.drop_exact_copies, simhash.keep_one_of_each):
+        got = sorted((str(r.doc_id), re.sub(" +", " ", r.text)) for r in keep(docs).collect())
+        assert got == want, keep
+    assert mixing.mixed(docs.withColumn("source", F.lit("s"))).count() == len(rows)
+
+
+def test_many_rows_without_an_id(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+    docs.write.mode("overwrite").parquet(path := f"/tmp/spark-nulls-{id(docs)}")
+    docs, distinct = spark.read.parquet(path), 100_000 * 2 // 3 + 1
+    assert exact.drop_exact_copies(docs).count() == distinct
+    assert exact.exact_groups(docs).where("group_size = 33334").count() == 33_334
+    spread = exact.owners(docs.withColumn("h", F.xxhash64("text"))).where("pages > 1").groupBy("page").count().agg(F.max("count"), F.count("*")).first()
+    assert spread[1] > 100 and spread[0] < 4 * 33_334 / spread[1]
+    mixed = mixing.mix(docs, block_rows=512)
+    assert mixed.count() == 100_000 and mixed.groupBy("source", "block").count().agg(F.max("count")).first()[0] < 1024
+    assert substring.remove_repeats(docs).where("n_removed = 0").count() == 100_000
 
 
 def test_directory_splits_only_overfull_buckets():
@@ -150,12 +174,23 @@ def test_trees_lose_no_link(spark):
     for _ in range(4):
         near ^= np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64)
     cluster = np.array([int(centres[0]) ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)], np.uint64)
-    fps = np.unique(np.concatenate([centres, near, cluster]))
-    want = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4]
-    rows = spark.createDataFrame([(int(f), k) for k, f in enumerate(fps.view(np.int64))], "fp long, rep long")
-    got = {r.node: r.component for r in graph.components(simhash.link_edges(rows, 4, shard=20)).collect()}
-    full = classes(want, range(len(fps)))
-    assert {k: got.get(k, k) for k in range(len(fps))} == full
+    fps = np.unique(np.concatenate([centres, near, cluster])).view(np.int64)
+    fps = [int(f) for f in fps]
+    want = classes([(x, y) for k, x in enumerate(fps) for y in fps[k + 1 :] if ((x ^ y) & (2**64 - 1)).bit_count() <= 4], fps)
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for shard, tile, blocks in ((20, 1 << 15, None), (4096, 40, None), (1, 1 << 15, simhash.masks(4, 1 << 40)), (60, 30, simhash.masks(4, 1 << 40))):
+        got = {r.node: r.component for r in graph.components(simhash.link_edges(rows, 4, shard, tile, blocks)).collect()}
+        assert {k: got.get(k, k) for k in fps} == want, (shard, tile)
+
+
+def test_masks_are_enough():
+    for bits in (2, 4, 6):
+        for points in (0, 1 << 40):
+            own = simhash.masks(bits, points)
+            rng = np.random.default_rng(bits)
+            for _ in range(500):
+                apart = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
+                assert min((apart & m).bit_count() for m in own) <= 1
 
 
 def test_token_counts(spark, odd, none):
@@ -259,22 +294,41 @@ def test_mixing_stage_loses_nothing_to_rare_sources(spark):
     assert kept["hot"] == pytest.approx(found["hot"] * 10002, abs=8) and sum(kept.values()) > 0.8 * 10002
 
 
-def test_substring(spark, odd, none):
-    rows = [(r.doc_id, split(r.text)) for r in odd.collect()]
+def slow_repeats(rows, window):
     first = {}
     for i, own in rows:
-        for p in range(len(own) - 49 if i is not None else 0):
-            key = tuple(own[p : p + 50])
+        for p in range(len(own) - window + 1 if i is not None else 0):
+            key = tuple(own[p : p + window])
             first[key] = min(i, first.get(key, i))
-    want = []
+    out = []
     for i, own in rows:
-        gone = {q for p in range(len(own) - 49) if i is not None and first[tuple(own[p : p + 50])] < i for q in range(p, p + 50)}
-        want.append((str(i), len(own), len(gone), hashlib.sha256(" ".join(w for q, w in enumerate(own) if q not in gone).encode()).hexdigest()))
+        gone = {q for p in range(len(own) - window + 1) if i is not None and first[tuple(own[p : p + window])] < i for q in range(p, p + window)}
+        out.append((str(i), len(own), len(gone), hashlib.sha256(" ".join(w for q, w in enumerate(own) if q not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_substring(spark, odd, none):
+    rows = [(r.doc_id, split(r.text)) for r in odd.collect()]
     got = substring.remove_repeats(odd).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_repeats(rows, 50)
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_substring_levels_and_ways(spark):
+    """Windows of other lengths, short windows joined in place of the filter, passages in every document, one id on two texts."""
+    rng = np.random.default_rng(8)
+    common, rows = [f"c{n}" for n in range(260)], []
+    for k in range(150):
+        own = [f"w{n}" for n in rng.integers(0, 400, int(rng.integers(5, 300)))]
+        at, size = int(rng.integers(0, 200)), int(rng.integers(10, 60) if k % 3 else 260)
+        rows.append((k - k % 10 if k % 7 == 0 else k, own + common[at : at + size] + own[:40] + own[:60]))
+    rows += [(500, rows[3][1]), (500, rows[3][1][:70]), (500, rows[3][1]), (None, rows[3][1])]
+    docs = spark.createDataFrame([(i, " ".join(own)) for i, own in rows], "doc_id long, text string").repartition(7)
+    for window, filtered, many in ((50, 1 << 22, 64), (50, 0, 3), (51, 1 << 22, 3), (130, 0, 64), (130, 1 << 22, 2), (12, 1 << 22, 5)):
+        got = substring.remove_repeats(docs, window, filtered, many).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_repeats(rows, window), (window, filtered, many)
+
+
 def test_quality(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
