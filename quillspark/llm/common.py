@@ -94,19 +94,16 @@ def crc_remainder(column: str, modulus: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, by: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """At most per_class rows of each class, those with the smallest hash of their key; classes are few.
+    """About per_class rows of each class, those with the smallest hashes of their key, or all of a smaller class; classes are few.
 
-    A count of each class says below which hash its smallest ones must lie, with eight times as many for safety,
-    so a few thousand rows are ranked whatever the input's size.
+    A count of each class says below which hash they lie; the number taken differs from per_class by chance, by its
+    root. Rows with one key are taken together: the caller combines them.
     """
-    from pyspark.sql import Window
-
     span = 1 << 40
     hashed = df.withColumn("__h", F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(span)))
     sizes = df.groupBy(by).agg(F.count("*").alias("__n"))
-    low = hashed.join(F.broadcast(sizes), by).where(F.col("__h").cast("double") * F.col("__n") < F.lit(float(span) * 8 * per_class + span))
-    ranked = low.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("__h", key)))
-    return ranked.where(F.col("__r") <= per_class).drop("__r", "__h", "__n")
+    low = hashed.join(F.broadcast(sizes), by).where(F.col("__h").cast("double") * F.col("__n") < F.lit(float(span) * per_class))
+    return low.drop("__h", "__n")
 
 
 def lower_ascii(data: bytes) -> bytes:
@@ -136,9 +133,9 @@ def by_bytes(batches: Iterator, column: str, most: int = BATCH_BYTES) -> Iterato
             yield batch.slice(at)
 
 
-def text_key(*columns: str) -> Column:
+def text_key(*columns: str | Column) -> Column:
     """A number for each row's values in these columns; equal rows have equal ones."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
+    return F.xxhash64(*[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00null")) for c in columns])
 
 
 def taken(docs: DataFrame, key: Column, plan: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_remainder, has_letter, pick, small_batches
+from .common import bounded_sample, by_bytes, crc_remainder, has_letter, pick, small_batches
 
 #: Bytes of a window, filter widths, filters of each width, values of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
@@ -18,8 +18,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 DOCS_PER_LANG, WINDOWS_PER_DOC, EPOCHS, RATE, BATCH = 400, 4, 6, 0.004, 64
 #: Windows that go through the filters at once: the working set stays in cache.
 BLOCK = 32
-#: The stage of the pipeline rejects documents below this score.
-LEAST_SCORE = 0.3
+#: The stage of the pipeline rejects documents whose score is below so many times chance, one over the number of languages.
+LEAST_RATIO = 1.2
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -117,27 +117,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_lang: int = DOCS_PER_LANG, seed: int = 0) -> ByteConvNet | None:
-    """Learns from at most per_lang documents of each language, outside the held-out fold; None without any.
+    """Learns from about per_lang documents of each language, outside the held-out fold; None without any.
 
-    The bound on the sample is the parameter per_lang. Of each sampled document some windows spread over the whole
-    text are used.
+    The bound on the sample is the parameter per_lang. Of each sampled document some windows, spread over the whole
+    text, are cut where the text lies; they alone reach the driver. Rows with one id count once.
     """
     labelled = pick(docs, doc_id="doc_id:long", text="text:string", lang="lang:string")
     labelled = labelled.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.coalesce(crc_remainder("doc_id", 3), F.lit(0)) != 1))
     ids = bounded_sample(labelled.select("doc_id", "lang"), "lang", per_lang).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id").collect()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            own = []
+            for text in batch.column("text").to_pylist():
+                got = windows(text.encode("utf-8", "surrogatepass"))
+                own.append([got[k].tobytes() for k in np.unique(np.linspace(0, len(got) - 1, WINDOWS_PER_DOC).astype(int))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(own, pa.list_(pa.binary()))], ["doc_id", "lang", "windows"])
+
+    small_batches(docs.sparkSession)
+    some = labelled.join(F.broadcast(ids), "doc_id").mapInArrow(cut, "doc_id long, lang string, windows array<binary>")
+    rows = some.groupBy("doc_id").agg(F.min(F.struct("lang", "windows")).alias("own")).select("doc_id", "own.*").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
     langs, rng = sorted({r["lang"] for r in rows}), np.random.default_rng(seed)
-    x, y = [], []
-    for r in rows:
-        got = windows(r["text"].encode("utf-8", "surrogatepass"))
-        some = got[np.unique(np.linspace(0, len(got) - 1, WINDOWS_PER_DOC).astype(int))]
-        x.append(some)
-        y += [langs.index(r["lang"])] * len(some)
+    x = np.stack([np.frombuffer(w, np.uint8) for r in rows for w in r["windows"]])
+    y = np.array([langs.index(r["lang"]) for r in rows for _ in r["windows"]])
     net = ByteConvNet.new(langs, rng)
-    net.fit(np.concatenate(x), np.array(y), rng)
+    net.fit(x, y, rng)
     return net
 
 
@@ -152,7 +159,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             got = verdicts(shared.value, batch.column("text").to_pylist())
             columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "lang_pred", "score"])
@@ -192,9 +199,11 @@ def verdicts(net: ByteConvNet | None, texts: list[str | None], most: int = 4096)
     return out
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs without those whose language can't be told: `und`, or a score below least."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """docs without those whose language can't be told: `und`, or a score below least (by default LEAST_RATIO times chance)."""
+    net = train(docs)
+    least = least if least is not None else min(0.5, LEAST_RATIO / max(1, len(net.langs) if net else 1))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names with dots can't be passed to tasks
 

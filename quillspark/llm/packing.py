@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frozen, pick, small_batches, totals_before
+from .common import by_bytes, frozen, pick, small_batches, totals_before
 
 WINDOW, END_ID = 2048, 1
 #: Runs of text whose ids a task remembers before it starts anew: a bound on memory, not on the work.
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encoder.encode(text or "") + end

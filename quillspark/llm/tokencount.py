@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches
+from .common import by_bytes, pick, small_batches
 
 #: Cached runs and pre-tokens that a task holds before it starts anew; rows and bytes of one trie: bounds on memory, not on the work.
 CACHED, ROWS, WIDTH = 800_000, 20_000, 48
@@ -232,7 +232,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             got = counter.count_all([t or "" for t in batch.column("text").to_pylist()])
             counts = [pa.array(got[:, k].astype(kind)) for k, kind in enumerate((np.int64, np.int64, np.float64))]
             columns = [batch.column("doc_id"), *counts]
