@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, frozen, pick, totals_before
+from .common import SPACE_CLASS, frozen, if_small, pick, taken, text_key, totals_before
 
 #: Target entropy as a share of the highest (equal weights), repetitions of a document at most, rows of a block.
 ENTROPY, MOST_REPEATS, BLOCK_ROWS = 0.95, 4.0, 1024
@@ -67,22 +67,32 @@ def weights(tokens: dict[str, int], budget: float, target: float, most_repeats:
 
 
 def mix(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, most_repeats: float = MOST_REPEATS, block_rows: int = BLOCK_ROWS, seed: int = SEED, most_taken: float = math.inf) -> DataFrame:
-    """One row per row of docs: doc_id, source, n_tokens (words), weight, repeats (copies in the mix, 0 or more).
+    """One row per row of docs: doc_id, source, n_tokens (words), weight, repeats (copies in the mix, 0 or more), block, place.
 
     A source's quota is its weight of the budget (by default all tokens), but never more than most_taken times what
-    it has; what such a source can't fill is left unfilled, and no other source's quota depends on it. It is realised as whole passes over the
-    source and a part of one more. For the part, the source's documents are dealt to blocks of about block_rows by
-    a keyed hash, which is a permutation of the source; blocks are taken in order while they fit, and within the
-    block where the quota ends documents are taken in the order of their hash while they fit. Block totals are a
+    it has; what such a source can't fill is left unfilled, and no other source's quota depends on it. It is realised
+    as whole passes over the source and a part of one more. A pass is a block permutation: documents are dealt to
+    blocks of about block_rows by a keyed hash, blocks are read by number, and block and place say where in a pass a
+    document stands. Copy c of a document is in pass c. The part takes the permutation's documents while they fit:
+    blocks in order, and of the block where the quota ends, those whose tokens so far still fit. Block totals are a
     table of their own; only one row per source reaches the driver (the number of sources is small, and its
     collection fails loudly beyond maxResultSize). A source with a third of all rows has a third of the blocks.
 
-    A null source is a source of its own, returned as null. Texts without words have no tokens and are taken with
-    every whole pass and with the part while it lasts. Repeated rows share their hash and are ordered alike, so
-    they are interchangeable. Null ids are allowed. An empty table gives no rows.
+    The hash is that of id, source and text. Equal rows share it, and are interchangeable; where they are more than a
+    block's rows, their places in the table, which must be read from files, spread them. A null source is a source of its
+    own, returned as null. Texts without words have no tokens and are taken with every whole pass and with the part while
+    it lasts. Null ids are allowed. An empty table gives no rows.
     """
-    rows = pick(docs, doc_id="doc_id:long", source="source:string", text="text:string").select("doc_id", "source", words().alias("n_tokens"))
-    rows = frozen(rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")))
+    return _mixed_rows(docs, budget, target, most_repeats, block_rows, seed, most_taken).drop("mark")
+
+
+def _mixed_rows(docs: DataFrame, budget: float | None, target: float, most_repeats: float, block_rows: int, seed: int, most_taken: float) -> DataFrame:
+    rows = pick(docs, doc_id="doc_id:long", source="source:string", text="text:string")
+    rows = rows.select("doc_id", "source", words().alias("n_tokens"), text_key("doc_id", "source", "text").alias("mark"))
+    rows = frozen(rows.withColumn("key", F.xxhash64(F.lit(seed), "mark")).withColumn("at", F.monotonically_increasing_id()))
+    many = frozen(rows.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.lit(True).alias("many")))
+    if not many.isEmpty():
+        rows = rows.join(if_small(many), "key", "left").withColumn("key", F.when(F.col("many"), F.xxhash64("key", "at")).otherwise(F.col("key"))).drop("many")
     sources = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()
     tokens = {_name(r["source"]): r["tokens"] for r in sources}
     total = sum(tokens.values())
@@ -100,11 +110,11 @@ def mix(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, m
     dealt = dealt.withColumn("block", F.pmod(F.col("key"), F.col("blocks")))
     held = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
     before = totals_before(held, "source", "block", "size").select(F.col("source").alias("s"), F.col("block").alias("b"), "before")
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    run = dealt.withColumn("run", F.sum("n_tokens").over(inside))
+    order = Window.partitionBy("source", "block").orderBy("key", "at")
+    run = dealt.withColumn("run", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order).cast("long") - 1)
     out = run.join(before, run["source"].eqNullSafe(before["s"]) & (run["block"] == before["b"]))
     extra = (F.col("part") > 0) & (F.col("before") + F.col("run") <= F.col("part"))
-    return out.select("doc_id", "source", "n_tokens", "weight", (F.col("passes") + extra.cast("long")).alias("repeats"))
+    return out.select("doc_id", "source", "n_tokens", "weight", (F.col("passes") + extra.cast("long")).alias("repeats"), "block", "place", "mark")
 
 
 def _name(source: str | None) -> str:
@@ -112,18 +122,18 @@ def _name(source: str | None) -> str:
 
 
 def mixed(docs: DataFrame, target: float = STAGE_ENTROPY, most_repeats: float = STAGE_REPEATS, budget: float | None = None) -> DataFrame:
-    """docs as mix() decides: rows that it leaves out go, rows that it repeats come as often; rows with a null id stay once.
+    """docs as mix() decides: rows that it leaves out go, rows that it repeats come as often.
 
     Where nothing may be repeated, the exponent still keeps to MOST_REPEATS, so that a rare source can't pull the
     weights far from the shares, and each source is taken once at most. Only sources whose weight is below their
-    share lose documents, however rare the rarest source is.
+    share lose documents, however rare the rarest source is. Rows are told apart by id, source and text; rows equal in
+    all three come as often together as mix() says.
     """
     limit = most_repeats if most_repeats > 1 else MOST_REPEATS
-    taken = mix(docs, budget, target, limit, most_taken=most_repeats).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
-    gone = taken.where("__repeats <> 1").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("__id"), "left")
-    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce("__repeats", F.lit(1)).cast("int")))
-    return joined.withColumn("__copy", copies).select(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = _mixed_rows(docs, budget, target, limit, BLOCK_ROWS, SEED, most_repeats)
+    plan = rows.groupBy("mark").agg(F.min("repeats").alias("least"), F.max("repeats").alias("most"), F.sum("repeats").alias("total"))
+    plan = plan.select(F.col("mark").alias("key"), F.when(F.col("least") == F.col("most"), F.col("least")).alias("copies"), "total")
+    return taken(docs, text_key(F.col("doc_id").cast("long"), "source", "text"), frozen(plan))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
