@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_remainder, pick, small_batches
+from .common import bounded_sample, by_bytes, crc_remainder, pick, small_batches
 
 #: Words of a passage; buckets and values of the word embedding; values of the encoder and of the attention.
 PASSAGE, BUCKETS, EMBED, HIDDEN, GATE = 64, 4096, 8, 16, 8
-#: Training: documents of each label at most, passes, step, documents of a step.
-DOCS_PER_LABEL, EPOCHS, RATE, BATCH = 1200, 12, 0.01, 32
+#: Training: documents of each label, passages of a document at most, passes, step, documents of a step.
+DOCS_PER_LABEL, PASSAGES_PER_DOC, EPOCHS, RATE, BATCH = 1200, 64, 12, 0.01, 32
 CUT, CACHED = 0.3, 300_000
 #: Per word: length, letters, capitals, digits, other signs, repeated signs, ends a sentence, not ASCII.
 SHAPES = 8
@@ -159,30 +159,47 @@ class AttentionModel:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL, seed: int = 0) -> AttentionModel | None:
-    """Learns from at most per_label documents of each label, outside the held-out fold; None without any.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL, per_doc: int = PASSAGES_PER_DOC, seed: int = 0) -> AttentionModel | None:
+    """Learns from about per_label documents of each label, outside the held-out fold; None without any.
 
-    The ids are sampled first, by hash, and only their texts are read into the driver; per_label is the bound.
+    The ids are sampled first, by hash. Passages are made where the texts lie, at most per_doc of each document,
+    spread over the whole text; they alone reach the driver. per_label and per_doc are the bounds. Rows with one id
+    count once.
     """
     known = pick(labels, doc_id="doc_id:long", y="quality:int").where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.where(crc_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = bounded_sample(known, "y", per_label)
     texts = pick(docs, doc_id="doc_id:long", text="text:string").join(F.broadcast(ids), "doc_id")
-    rows = sorted({(r["doc_id"], r["y"], r["text"] or "") for r in texts.collect()})
-    bags, y, words = [], [], Words()
-    for _, label, text in rows:
-        buckets, starts, stats, counts = words.passages([text.encode("utf-8", "surrogatepass")])
-        if counts[0]:
-            bags.append((buckets, starts, stats))
-            y.append(label)
-    if not bags:
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in by_bytes(batches, "text"):
+            bags = [_some(*words.passages([t or b""])[:3], per_doc) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [pa.array([b[k].ravel() for b in bags], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float32())))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *columns], ["doc_id", "y", "buckets", "starts", "stats"])
+
+    small_batches(docs.sparkSession)
+    bagged = texts.select("doc_id", "y", "text").mapInArrow(cut, "doc_id long, y int, buckets array<int>, starts array<long>, stats array<float>")
+    rows = bagged.where("size(starts) > 0").groupBy("doc_id").agg(F.min(F.struct("y", "buckets", "starts", "stats")).alias("bag")).select("doc_id", "bag.*").collect()
+    if not rows:
         return None
+    rows.sort(key=lambda r: r["doc_id"])
+    bags = [(np.array(r["buckets"], np.int32), np.array(r["starts"], np.int64), np.array(r["stats"], np.float32).reshape(-1, SHAPES + 3)) for r in rows]
     rng = np.random.default_rng(seed)
     model = AttentionModel(rng)
-    model.fit(bags, np.array(y, np.float64), rng)
+    model.fit(bags, np.array([r["y"] for r in rows], np.float64), rng)
     return model
 
 
+def _some(buckets: np.ndarray, starts: np.ndarray, stats: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most so many of one document's passages, spread over it."""
+    at = np.unique(np.linspace(0, max(0, len(starts) - 1), most).astype(int)) if len(starts) else np.zeros(0, int)
+    ends = np.append(starts, len(buckets))
+    parts = [buckets[ends[k] : ends[k + 1]] for k in at]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum(sizes) - sizes, stats[at]
+
+
 def score(docs: DataFrame, model: AttentionModel | None, cut: float = CUT) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
@@ -194,7 +211,7 @@ def score(docs: DataFrame, model: AttentionModel | None, cut: float = CUT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Words(), shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             got = model.score(*words.passages(texts)) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(got, 0, 1).astype(np.float64))], ["doc_id", "score"])
