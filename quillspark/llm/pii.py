@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-KEY = "quillspark"
+#: Where a session may hold the key of the permutations; whoever has it can undo them.
+KEY_CONF = "spark.quillspark.pii.key"
 ROUNDS, WALK = 10, 40
 #: Dates are permuted among the days from FIRST_DAY to LAST_DAY.
 FIRST_DAY, LAST_DAY, DAYS = "1900-01-01", "2099-12-31", 73049
@@ -18,12 +20,16 @@ FIRST_DAY, LAST_DAY, DAYS = "1900-01-01", "2099-12-31", 73049
 EMAIL = r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 HEX = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+KEYS = r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[sprk]k_(?:live|test)_|gh[opsu]_|xox[abps]-)[A-Za-z0-9-]{16,}"
+ADDRESS_6 = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
+DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}[ .-][0-9](?:[ .-][0-9]{2}){4}(?![0-9])|(?<![0-9.-])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9]|[.-][0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
+PHONE = r"\+[0-9]{1,3}[ .-][0-9](?:[ .-][0-9]{2}){4}(?![0-9])|(?<![0-9.-])(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! ?[0-9]|[.-][0-9])|\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9./-])(?<![0-9] )0[0-9]{2,4}[ /-][0-9]{6,8}(?![0-9]|[./-][0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((EMAIL, HEX, IBAN, ADDRESS, DATE, SOCIAL, PHONE, CARD))
+ANY = "|".join((EMAIL, HEX, KEYS, IBAN, ADDRESS_6, ADDRESS, DATE, SOCIAL, PHONE, CARD))
+# The countries' calling codes, of one and two digits; all others have three.
+CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,12 +38,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _keyed(*parts: Column) -> Column:
-    """A non-negative long from the key and the parts, by SHA-256."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(KEY), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
+    """A non-negative long from the parts, by SHA-256; the first one holds the key."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
 
 
 def feistel(left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column, rounds: int = ROUNDS) -> Column:
-    """struct(l, r): an alternating Feistel network over pairs below (left_size, right_size), one to one for each tweak."""
+    """struct(l, r): an alternating Feistel network over pairs below (left_size, right_size), one to one for each tweak, which begins with the key."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
     def turn(acc: Column, i: Column) -> Column:
@@ -137,22 +143,44 @@ def reading(value: Column, apart: str, valid: Callable[[Column], Column], rank:
     return let(found, lambda r: F.when(r.isNotNull(), F.concat(F.substr(value, F.lit(1), r["at"]), make(r["mid"]), after(r))))
 
 
-def _email(value: Column) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{KEY}|email|"), F.lower(value)), 256), 1, 12), F.lit("@example.org"))
+def _email(value: Column, key: str) -> Column:
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(value)), 256), 1, 12), F.lit("@example.org"))
 
 
-def _hex(value: Column) -> Column:
-    fresh = F.substr(F.sha2(F.concat(F.lit(f"{KEY}|hex|"), value), 256), F.lit(1), F.length(value))
-    return F.when(value.rlike("[A-F]"), F.upper(fresh)).otherwise(fresh)
+def _digest(value: Column, kind: str, key: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), value), 256)
 
 
-def _iban(value: Column) -> Column:
+def _hex(value: Column, key: str) -> Column:
+    """Digits and letters must be mixed, as chance mixes them: a long number stays. A file's digest can't be told from a secret."""
+    fresh = F.substr(_digest(value, "hex", key), F.lit(1), F.length(value))
+    mixed = (F.regexp_count(value, F.lit("[A-Fa-f]")) >= 4) & (F.regexp_count(value, F.lit("[0-9]")) >= 4)
+    return F.when(mixed, F.when(value.rlike("[A-F]"), F.upper(fresh)).otherwise(fresh))
+
+
+def _token(value: Column, key: str) -> Column:
+    """The prefix that names the issuer stays."""
+    head = F.regexp_extract(value, r"^(?:A[KS]IA|[a-z]+_(?:live_|test_)?|xox[a-z]-)", 0)
+    rest = F.length(value) - F.length(head)
+    fresh = let(_digest(value, "token", key), lambda d: F.rpad(d, rest, d))
+    return F.concat(head, F.when(head.rlike("^A"), F.upper(fresh)).otherwise(fresh))
+
+
+def _address_6(value: Column, key: str) -> Column:
+    """Groups keep their lengths; at most seven of them beside a double colon."""
+    groups = F.regexp_count(value, F.lit("[0-9A-Fa-f]+"))
+    signs = F.substr(_digest(F.lower(value), "address", key), F.lit(1), F.regexp_count(value, F.lit("[0-9A-Fa-f]")))
+    fresh = refill(value, signs, "[0-9A-Fa-f]")
+    return F.when((groups <= 7) | ~value.contains("::"), fresh)
+
+
+def _iban(value: Column, key: str) -> Column:
     """Country and letters stay, digits are permuted, check digits follow; words after it, taken for groups, stay."""
 
     def remade(compact: Column, value: Column) -> Column:
         country = F.substring(compact, 1, 2)
         account = F.substr(compact, F.lit(5), F.length(compact))
-        fresh = let(account, lambda a: refill(a, permute_digits(digits_of(a), F.lit("iban"))))
+        fresh = let(account, lambda a: refill(a, permute_digits(digits_of(a), F.lit(f"{key}|iban"))))
         check = lambda f: F.lpad((F.lit(98) - iban_rest(F.concat(country, F.lit("00"), f))).cast("string"), 2, "0")
         whole = let(fresh, lambda f: F.concat(country, check(f), f))
         enough = F.length(digits_of(account)) >= 2
@@ -164,31 +192,31 @@ def _iban(value: Column) -> Column:
     return F.coalesce(whole(value), reading(value, " ", valid, lambda v: -F.length(v), whole, first=True))
 
 
-def _address(value: Column) -> Column:
+def _address(value: Column, key: str) -> Column:
     def remade(o: Column) -> Column:
-        got = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit("address"))
+        got = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit(f"{key}|address"))
         dotted = let(got, lambda g: F.concat_ws(".", *[x.cast("string") for x in (F.floor(g["l"] / 256), g["l"] % 256, F.floor(g["r"] / 256), g["r"] % 256)]))
         return F.when(F.forall(o, lambda x: x <= 255), dotted)
 
     return let(F.transform(F.split(value, r"\."), lambda x: x.cast("int")), remade)
 
 
-def _date(value: Column) -> Column:
+def _date(value: Column, key: str) -> Column:
     """The formats that DATE has, day before month where both can be read; a number that is no date in range stays."""
-    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy")
-    fits = (r"^\d{4}-", r"^\d{2}/", r"^\d{2}/", r"^\d{2}\.")
+    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "d/M/yyyy", "M/d/yyyy", "dd.MM.yyyy")
+    fits = (r"^\d{4}-", r"^\d\d/\d\d/", r"^\d\d/\d\d/", r"^(?:\d/|\d\d/\d/)", r"^(?:\d/|\d\d/\d/)", r"^\d{2}\.")
     first = F.lit(FIRST_DAY).cast("date")
     read = F.array(*[F.when(value.rlike(fit), F.struct(F.lit(form).alias("form"), F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), first).alias("index"))) for form, fit in zip(forms, fits)])
     valid = F.filter(read, lambda r: r["index"].between(0, DAYS - 1))
 
     def remade(r: Column) -> Column:
-        day = F.date_add(first, permute_below(r["index"], DAYS, 272, 270, "date").cast("int"))
+        day = F.date_add(first, permute_below(r["index"], DAYS, 272, 270, f"{key}|date").cast("int"))
         return let(day, lambda d: F.coalesce(*[F.when(r["form"] == form, F.date_format(d, form)) for form in forms]))
 
     return F.get(F.transform(valid, remade), F.lit(0))
 
 
-def _social(value: Column) -> Column:
+def _social(value: Column, key: str) -> Column:
     """Areas 001-899 but 666, groups 01-99, serials 0001-9999."""
     area, group, serial = (F.substring(value, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group >= 1) & (serial >= 1)
@@ -199,24 +227,24 @@ def _social(value: Column) -> Column:
         parts = (a + F.when(a >= 665, 2).otherwise(1), F.floor(got / 9999) % 99 + 1, got % 9999 + 1)
         return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4))])
 
-    return F.when(valid, let(permute_below(index, 898 * 99 * 9999, 31000, 31000, "social"), remade))
+    return F.when(valid, let(permute_below(index, 898 * 99 * 9999, 31000, 31000, f"{key}|social"), remade))
 
 
-def _phone(value: Column) -> Column:
+def _phone(value: Column, key: str) -> Column:
     """The country's digits stay; the rest, 7 to 14 digits, is permuted."""
-    head = F.regexp_extract(value, r"^(\+[0-9]{1,3})(?=[ .(-])", 1)
-    fresh = let(F.substr(value, F.length(head) + 1, F.length(value)), lambda rest: refill(rest, permute_digits(digits_of(rest), F.lit("phone"))))
+    head = F.regexp_extract(value, CALLING, 0)
+    fresh = let(F.substr(value, F.length(head) + 1, F.length(value)), lambda rest: refill(rest, permute_digits(digits_of(rest), F.lit(f"{key}|phone"))))
     return F.when((F.length(digits_of(value)) - F.length(digits_of(head))).between(7, 14), F.concat(head, fresh))
 
 
-def _card(value: Column) -> Column:
+def _card(value: Column, key: str) -> Column:
     """All digits if they are valid, else the groups among them that are: 16 digits, 15, then the longest."""
 
     def checked(fresh: Column) -> Column:
         return F.concat(fresh, ((F.lit(10) - luhn_sum(F.concat(fresh, F.lit("0"))) % 10) % 10).cast("string"))
 
     def remade(digits: Column, value: Column) -> Column:
-        fresh = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("card"))
+        fresh = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit(f"{key}|card"))
         return F.when(luhn_sum(digits) % 10 == 0, refill(value, let(fresh, checked)))
 
     whole = lambda v: let(digits_of(v), lambda d: remade(d, v))
@@ -226,8 +254,11 @@ def _card(value: Column) -> Column:
     return F.coalesce(whole(value), reading(value, " -", valid, rank, whole))
 
 
-#: Kind -> (shape, pseudonym or null where the value isn't valid).
-KINDS = {"email": (EMAIL, _email), "secret": (HEX, _hex), "iban": (IBAN, _iban), "address": (ADDRESS, _address), "date": (DATE, _date), "social": (SOCIAL, _social), "phone": (PHONE, _phone), "card": (CARD, _card)}
+#: Kind -> (shape, pseudonym under a key, or null where the value isn't valid).
+KINDS = {
+    "email": (EMAIL, _email), "secret": (HEX, _hex), "token": (KEYS, _token), "iban": (IBAN, _iban), "address6": (ADDRESS_6, _address_6), "address": (ADDRESS, _address),
+    "date": (DATE, _date), "social": (SOCIAL, _social), "phone": (PHONE, _phone), "card": (CARD, _card),
+}
 
 
 def _bare(pattern: str) -> str:
@@ -242,31 +273,34 @@ def kind_of(value: Column) -> Column:
     return F.coalesce(*[F.when(_is(value, _bare(shape)), F.lit(kind)) for kind, (shape, _) in KINDS.items()])
 
 
-def pseudonym(kind: Column, value: Column) -> Column:
+def pseudonym(kind: Column, value: Column, key: str) -> Column:
     """What takes the place of a value; null if it isn't valid."""
     out = F.lit(None).cast("string")
     for name, (_, make) in KINDS.items():
-        out = F.when(kind == name, make(value)).otherwise(out)
+        out = F.when(kind == name, make(value, key)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text with pseudonyms, n_private, kinds (comma-joined, sorted).
 
     Values are found by shape and validated: Luhn's sum for cards, remainder 97 for IBANs, octets for addresses, the
     calendar for dates, issuing rules for social security numbers. Numbers and dates are permuted by a keyed Feistel
     network within their format, so equal values stay equal in all documents, different ones stay different, and
-    the result is again valid. E-mail addresses and hexadecimal secrets have no order to permute within; a keyed
-    digest takes their place. A card or IBAN that other groups adjoin is looked for among the groups; what else fails
+    the result is again valid. E-mail addresses, secrets and addresses of the sixth version have no order to permute
+    within; a keyed digest takes their place. The key is a parameter or the session's setting KEY_CONF; there is no other. A card or IBAN that other groups adjoin is looked for among the groups; what else fails
     validation stays.
 
     Null texts stay null with n_private 0, empty texts empty. Null ids and repeated rows are returned like any
     other; an empty table gives no rows. Nothing is shuffled, and texts without any shape are passed through.
     """
+    key = key or docs.sparkSession.conf.get(KEY_CONF, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key, given or in {KEY_CONF}")
     rows = pick(docs, doc_id="doc_id:long", text="text:string")
     rows = rows.withColumn("found", F.when(F.col("text").rlike(ANY), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     typed = F.transform("found", lambda v: F.struct(v.alias("old"), kind_of(v).alias("kind")))
-    changed = F.transform(typed, lambda t: F.struct(t["old"].alias("old"), t["kind"].alias("kind"), pseudonym(t["kind"], t["old"]).alias("fresh")))
+    changed = F.transform(typed, lambda t: F.struct(t["old"].alias("old"), t["kind"].alias("kind"), pseudonym(t["kind"], t["old"], key).alias("fresh")))
     rows = rows.withColumn("changed", changed)
     joined = F.zip_with(F.split("text", ANY, -1), F.col("changed"), lambda t, c: F.concat(t, F.coalesce(c["fresh"], c["old"], F.lit(""))))
     kinds = F.transform(F.filter("changed", lambda c: c["fresh"].isNotNull()), lambda c: c["kind"])
@@ -279,4 +313,5 @@ def pseudonymise(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Under the session's key, or one made for this run alone."""
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(KEY_CONF, None) or secrets.token_hex(16))
