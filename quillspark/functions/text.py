@@ -10,7 +10,10 @@ WORD = r"(?U)\b[\w'-]+\b"
 TOKEN_V0 = r"[a-zA-Z0-9_]+"
 TOKEN_V1 = r"[a-zA-Z][a-zA-Z0-9_+-]*|[0-9]+(?:\.[0-9]+)?"
 # The stop words of the second tokenizer.
-STOP_WORDS = "a about an and are as at be by can does for from how in is it of on or paper selected that the their this to used what when where which with".split()
+STOP_WORDS = [
+    "a", "about", "an", "and", "are", "as", "at", "be", "by", "can", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "paper",
+    "selected", "that", "the", "their", "this", "to", "used", "what", "when", "where", "which", "with",
+]
 # Terms added to a query by the type of its question.
 EXPANSIONS = {
     "method": ["method", "model", "approach", "architecture", "training"],
@@ -30,6 +33,10 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def is_blank(text: str | None) -> bool:
+    return not (text or "").strip()
+
+
 def blank(text: Column) -> Column:
     return F.coalesce(trim(text) == "", F.lit(True))
 

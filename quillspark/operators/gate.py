@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Verdicts from best to worst, outcomes of a review, checks of a record.
+# Verdicts from best to worst, and the outcomes of a review.
 VERDICTS = ["ACCEPT", "REVISE", "REJECT"]
-OUTCOMES = ["pass", "revise", "reject", "unclear"]
+OUTCOMES = ["pass", "reject", "revise", "unclear"]
+# The checks of a review by what their line says.
+CHECKS = {
+    "main_claim_supported": "main_claim",
+    "method_supported": "method",
+    "limitations_supported": "limitations",
+    "no_unsupported_claim": "No unsupported scientific claim",
+    "confidence_plausible": "confidence label",
+}
+# The lines of a review that are read.
+RECORD, IDENTIFIER = r"(?m)^## Record\s+(\d+):\s*(.*?)\s*$", r"(?m)^- arXiv ID:\s*`?([^`\n]+)`?\s*$"
+NOTES, OUTCOME = r"(?m)^- \[[ xX]\]\s+Notes:\s*(.*?)\s*$", r"(?m)^Review outcome:\s*`?([^`\n]+)`?\s*$"
 
 
 def rank(verdict: Column) -> Column:
@@ -20,30 +33,45 @@ def verdict(rank_: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, VERDICTS)), rank_.cast("int"))
 
 
-def review_records(files: DataFrame, checks: list[str]) -> DataFrame:
-    """files(path, text) -> one row per `## Record n:` section: record_index, checks, notes, outcome."""
-    rows = files.select("path", F.explode(F.split("text", r"(?m)(?=^## Record\s+\d+:)")).alias("s")).where(F.col("s").rlike(r"^## Record\s+\d+:"))
-    ticked = lambda c: F.lower(F.regexp_extract("s", rf"(?mi)^- \[([ xX])\] +.*\Q{c}\E.*$", 1)) == "x"
-    outcome = F.lower(F.regexp_extract("s", r"(?m)^Review outcome:\s*([A-Za-z]+)", 1))
-    return rows.select(
-        "path", F.regexp_extract("s", r"^## Record\s+(\d+):", 1).cast("long").alias("record_index"),
-        F.create_map(*[x for c in checks for x in (F.lit(c), ticked(c))]).alias("checks"),
-        T.trim(F.regexp_extract("s", r"(?m)^Notes:\s*(.*)$", 1)).alias("notes"),
+def review_records(files: DataFrame, checks: dict[str, str] = CHECKS) -> DataFrame:
+    """files(path, text) -> one row per `## Record n:` section: record_index, title, arxiv_id, checks, notes, outcome, fully_checked.
+
+    The outcome is the whole line, with or without back quotes; a line that is none of OUTCOMES, the template's as well,
+    is unclear. A file without such a section gives no rows (see review_error()).
+    """
+    rows = files.select("path", F.explode(F.split("text", r"(?m)(?=^## Record\s+\d+:)")).alias("s")).where(F.col("s").rlike(r"\A## Record\s+\d+:"))
+    get = lambda pattern, group=1: T.trim(F.regexp_extract("s", pattern, group))
+    ticked = lambda c: F.lower(F.regexp_extract("s", rf"(?m)^- \[([ xX])\]\s+.*\Q{c}\E.*$", 1)) == "x"
+    outcome = F.lower(get(OUTCOME))
+    rows = rows.select(
+        "path", get(RECORD).cast("long").alias("record_index"), get(RECORD, 2).alias("title"), F.when(get(IDENTIFIER) == "-", "").otherwise(get(IDENTIFIER)).alias("arxiv_id"),
+        F.create_map(*[x for k, c in checks.items() for x in (F.lit(k), ticked(c))]).alias("checks"), get(NOTES).alias("notes"),
         F.when(outcome.isin(OUTCOMES), outcome).otherwise("unclear").alias("outcome"),
     )
+    return rows.withColumn("fully_checked", F.forall(F.map_values("checks"), lambda x: x))
+
 
+def review_error(text: Column) -> Column:
+    """Why a file is no review; null if it is one."""
+    return F.when(T.blank(text), "empty").when(~text.rlike(RECORD), "no record")
 
-def review_summary(reviews: DataFrame) -> DataFrame:
-    """reviews(outcome, fully_checked) -> one row: counts of each outcome and the status, PASS only if all passed."""
+
+def review_summary(reviews: DataFrame, checks: dict[str, str] | None = None) -> DataFrame:
+    """reviews(outcome, fully_checked) -> one row: counts of each outcome and the status, PASS only if all passed; with checks also how often each is ticked."""
     counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    out = reviews.agg(F.count("*").alias("total_records"), *counts, F.count_if("fully_checked").alias("fully_checked"))
-    status = (
-        F.when((F.col("pass") == F.col("total_records")) & (F.col("fully_checked") == F.col("total_records")) & (F.col("total_records") > 0), "PASS")
-        .when(F.col("reject") > 0, "REVIEW_REJECTED_RECORDS")
-        .when(F.col("revise") > 0, "REVIEW_REVISIONS_NEEDED")
+    ticked = [F.count_if(F.coalesce(F.try_element_at("checks", F.lit(c)), F.lit(False))).alias(c) for c in checks or {}]
+    out = reviews.agg(F.count("*").alias("total_records"), *counts, F.count_if("fully_checked").alias("fully_checked"), *ticked)
+    return out.withColumn("status", review_status(F.col("total_records"), F.col("pass"), F.col("reject"), F.col("revise"), F.col("fully_checked")))
+
+
+def review_status(total: Column, passed: Column, reject: Column, revise: Column, fully_checked: Column) -> Column:
+    # The statuses of a review.
+    return (
+        F.when((passed == total) & (fully_checked == total) & (total > 0), "PASS")
+        .when(reject > 0, "REVIEW_REJECTED_RECORDS")
+        .when(revise > 0, "REVIEW_REVISIONS_NEEDED")
         .otherwise("REVIEW_INCOMPLETE")
     )
-    return out.withColumn("status", status)
 
 
 def manifest_verdict(status: Column, missing: Column, files: Column) -> Column:
@@ -65,6 +93,7 @@ def gate(manifest: str, reviews: DataFrame, require_review: bool = True) -> Data
 
 
 def recommendation(manifest_status: Column, missing: Column, decision: Column) -> Column:
+    # What a pilot's report recommends.
     return (
         F.when((F.coalesce(manifest_status, F.lit("")) != "PASS") | (missing > 0), "FIX_TRACEABILITY")
         .when(decision.isNull(), "RUN_QUALITY_GATE")
@@ -75,36 +104,59 @@ def recommendation(manifest_status: Column, missing: Column, decision: Column) -
     )
 
 
-def file_entries(spark, wanted: list[tuple[str, str]]) -> DataFrame:
-    """(path, role) pairs, each once -> one row each: exists, size_bytes, sha256, record_count, json_top_level_type.
+def file_entries(spark, wanted: list[tuple[str, str]], base: str | None = None, whole: bool = True) -> DataFrame:
+    """(path, role) pairs, each once -> one row each: exists, size_bytes, sha256, record_count, json_top_level_type, with base also relative_path.
 
-    Files are listed and read by Spark, so any store will do; missing ones are found by a left join.
+    The files asked for, and no others, are listed and read by Spark, so any store will do; missing ones are found by
+    a left join. A file is read whole in one row, as its digest needs it; without whole only size and existence are told.
+    Folders of files, as Spark writes them, are there with the size of nothing.
     """
-    asked = spark.createDataFrame(list(dict.fromkeys(wanted)), "path string, role string")
-    known = None
-    for folder in sorted({p.rsplit("/", 1)[0] for p, _ in wanted}):
+    if any(T.is_blank(role) for _, role in wanted):
+        raise ValueError("a file needs a role")
+    pairs = list(dict.fromkeys((p, r.strip()) for p, r in wanted))
+    asked = spark.createDataFrame([(*pair, n) for n, pair in enumerate(pairs)], "path string, role string, pos long")
+    known = spark.createDataFrame([], "path string, length long, content binary")
+    for folder in sorted({p.rpartition("/")[0] for p, _ in pairs}):
+        names = sorted({p.rpartition("/")[2] for p, _ in pairs if p.rpartition("/")[0] == folder})
+        some = "{" + ",".join(re.sub(r"([\[\]{}*?,\\])", r"\\\1", n) for n in names) + "}"
         try:
-            own = spark.read.format("binaryFile").load(folder)
+            own = spark.read.format("binaryFile").option("pathGlobFilter", some).load(folder or ".")
         except Exception as error:
             if "PATH_NOT_FOUND" in str(error):
                 continue
             raise
-        known = own if known is None else known.union(own)
-    if known is None:
-        known = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+        known = known.union(own.select("path", "length", *(["content"] if whole else [F.lit(None).cast("binary").alias("content")])))
     content = F.col("content").cast("string")
     top = F.schema_of_variant(F.try_parse_json(content))
     records = F.when(F.col("path").endswith(".jsonl"), F.size(F.filter(F.split(content, "\n"), lambda x: ~T.blank(x))).cast("long"))
     kind = F.when(top.startswith("OBJECT"), "object").when(top.startswith("ARRAY"), "list").otherwise(F.lower(top))
-    read = known.select(F.regexp_replace("path", "^file:(?://)?", "").alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), records.alias("record_count"), F.when(F.col("path").endswith(".json"), kind).alias("json_top_level_type"))
-    return asked.join(read, "path", "left").withColumn("exists", F.col("size_bytes").isNotNull())
+    kind = F.when(F.col("path").endswith(".jsonl"), "jsonl").when(F.col("path").endswith(".json"), kind)
+    read = known.select(plain_path(F.col("path")).alias("__path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), records.alias("record_count"), kind.alias("json_top_level_type"))
+    out = asked.join(read, plain_path(F.col("path")) == F.col("__path"), "left").drop("__path").withColumn("exists", F.col("size_bytes").isNotNull())
+    if base is None:
+        return out
+    prefix = base.rstrip("/") + "/"
+    return out.withColumn("relative_path", F.when(F.col("path").startswith(prefix), F.substr("path", F.lit(len(prefix) + 1), F.length("path"))).otherwise(F.col("path")))
+
+
+def plain_path(path: Column) -> Column:
+    """A path as it is written without the scheme of local files."""
+    return F.regexp_replace(path, "^file:(?://)?", "")
 
 
 def manifest_summary(entries: DataFrame) -> DataFrame:
-    out = entries.agg(F.count("*").alias("files"), F.count_if(~F.col("exists")).alias("missing"), F.sum(F.when(F.col("role") == "jsonl_extractions", F.col("record_count"))).alias("extraction_records"))
+    """One row: files, missing ones and their paths in order, records in extractions, status."""
+    out = entries.agg(
+        F.count("*").alias("files"), F.count_if(~F.col("exists")).alias("missing"), F.sum(F.when(F.col("role") == "jsonl_extractions", F.col("record_count"))).alias("extraction_records"),
+        F.transform(F.array_sort(F.collect_list(F.when(~F.col("exists"), F.struct("pos", "path")))), lambda m: m["path"]).alias("missing_paths"),
+    )
     return out.withColumn("status", F.when((F.col("missing") == 0) & (F.col("files") > 0), "PASS").otherwise("WARN"))
 
 
+def role_counts(entries: DataFrame) -> DataFrame:
+    return entries.groupBy(F.coalesce(F.nullif("role", F.lit("")), F.lit("<missing>")).alias("role")).agg(F.count("*").alias("files"))
+
+
 def markdown(rows: DataFrame, line: Column, order: list[str], title: str) -> DataFrame:
     """One row: a report with a line per row, in order. For reports of bounded size: the rows are gathered."""
     parts = rows.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("all"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,12 +13,32 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
-def review_section(index: Column, title: Column, identifier: Column, checks: list[str], fields: dict[str, Column] | None = None) -> Column:
-    """The sheet of one record, in the form that gate.review_records() reads: what it says, boxes, notes, an outcome."""
-    said = [F.concat(F.lit(f"{name}: "), T.ws(_text(value)), F.lit("\n")) for name, value in (fields or {}).items()]
-    boxes = "".join(f"- [ ] {c}\n" for c in checks)
-    head = F.concat(F.lit("## Record "), _text(index), F.lit(": "), T.ws(_text(title)), F.lit("\n\nIdentifier: "), _text(identifier), F.lit("\n"))
-    return F.concat(head, *said, F.lit(f"\n{boxes}\nNotes: \nReview outcome: unclear\n"))
+# The lines of a review sheet that reviewers tick and fill in.
+TICKS = [
+    "- [ ] `main_claim` is directly supported by the abstract.",
+    "- [ ] `method` is directly supported by the abstract.",
+    "- [ ] `limitations` are directly supported by the abstract.",
+    "- [ ] No unsupported scientific claim was introduced.",
+    "- [ ] The confidence label is plausible for this extraction.",
+    "- [ ] Notes:",
+]
+UNDECIDED = "Review outcome: `pass | revise | reject | unclear`"
+
+
+def review_section(index: Column, record: Column, abstract: Column | None = None, most: int = 4000) -> Column:
+    """The sheet of one record (a variant), in the form that gate.review_records() reads.
+
+    It shows where the record comes from, the abstract, cut to most characters, what the model said, and boxes to tick.
+    """
+    get = lambda *paths: F.coalesce(*[F.nullif(T.ws(F.try_variant_get(record, f"$.{p}", "string")), F.lit("")) for p in paths], F.lit("-"))
+    body = T.truncate(T.trim(F.coalesce(*([] if abstract is None else [abstract]), F.try_variant_get(record, "$.source.abstract", "string"), F.lit(""))), most)
+    parts = [
+        "## Record ", _text(index), ": ", get("source.title", "extraction.title"), "\n\n- arXiv ID: `", get("source.arxiv_id"), "`\n- URL: ", get("source.url"),
+        "\n- backend/model: `", get("run.backend"), "` / `", get("run.model"), "`\n- prompt version: `", get("run.prompt_version"), "`\n- extraction confidence: `", get("extraction.confidence"),
+        "`\n\n### Abstract\n\n", F.coalesce(F.nullif(body, F.lit("")), F.lit("[the record has no abstract]")), "\n\n### Extracted fields\n\n",
+        *[x for f in ("main_claim", "method", "limitations") for x in (f"- `{f}`: ", get(f"extraction.{f}"), "\n")], "\n### Checks\n\n" + "\n".join(TICKS) + f"\n\n{UNDECIDED}\n",
+    ]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
 def cell(value: Column) -> Column:
@@ -43,6 +63,31 @@ def miss_lines(asked: DataFrame) -> DataFrame:
     return asked.where("has_expected AND NOT hit").select("q", F.concat(F.lit("- `"), _text(F.col("q")), F.lit("`: "), T.shorten(F.col("question")), F.lit("; retrieved "), F.coalesce(F.nullif(found, F.lit("")), F.lit("nothing"))).alias("line"))
 
 
+def debug_sections(asked: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """asked(q, question, retrieved, has_expected, hit), diagnostics(q, expected_chunks, best_overlap, best_chunk) -> (q, section) of each miss."""
+    met = asked.where("has_expected AND NOT hit").join(diagnostics, "q", "left")
+    found = F.array_join(F.transform("retrieved", lambda h: F.concat(F.lit("- "), h["citation_label"], F.lit(" "), h["chunk_id"], F.lit(" "), F.format_string("%.6f", h["score"]))), "\n")
+    parts = ["## ", _text(F.col("q")), "\n\nQuestion: ", T.ws(F.col("question")), "\nExpected chunks: ", _text(F.coalesce("expected_chunks", F.lit(0))), "\nMost terms in common: ", _text(F.coalesce("best_overlap", F.lit(0))), ", in ", F.coalesce(_text(F.col("best_chunk")), F.lit("none")), "\n\n", found, "\n"]
+    return met.select("q", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("section"))
+
+
+def answer_sheet(answered: DataFrame) -> DataFrame:
+    """answered(q, question, retrieved, answer, citations) -> (q, section): what was retrieved, said and cited, with boxes to tick."""
+    found = F.array_join(F.transform("retrieved", lambda h: F.concat(F.lit("- "), h["citation_label"], F.lit(" "), h["chunk_id"])), "\n")
+    boxes = "\n".join(f"- [ ] {x}" for x in ("What was retrieved fits the question.", "The answer rests on it.", "Citations are right.", "Notes:"))
+    parts = ["## ", _text(F.col("q")), "\n\nQuestion: ", T.ws(F.col("question")), "\n\n", F.coalesce(F.nullif(found, F.lit("")), F.lit("- nothing")), "\n\nAnswer: ", F.coalesce(F.nullif("answer", F.lit("")), F.lit("none")), "\nCited: ", F.coalesce(F.nullif(F.array_join("citations", ", "), F.lit("")), F.lit("nothing")), f"\n\n{boxes}\n"]
+    return answered.select("q", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("section"))
+
+
+def quality_report(validation: DataFrame, counts: DataFrame, title: str, most: int = 200) -> DataFrame:
+    """One row of Markdown: validation (one row) as a list, counts(topic, name, number) as tables, of each topic the first names."""
+    row = F.concat(*[x for c in validation.columns for x in (F.lit(f"- {c}: "), _text(F.col(c)), F.lit("\n"))])
+    ranked = counts.withColumn("__n", F.row_number().over(Window.partitionBy("topic").orderBy("name"))).where(F.col("__n") <= most)
+    line = F.concat(F.lit("| "), cell(F.col("topic")), F.lit(" | "), cell(F.col("name")), F.lit(" | "), _text(F.col("number")), F.lit(" |"))
+    lists = ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic", "name", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return validation.select(row.alias("head")).crossJoin(F.broadcast(lists)).select(F.concat(F.lit(f"# {title}\n\n"), "head", F.lit("\n| topic | name | number |\n| --- | --- | --- |\n"), "lines", F.lit("\n")).alias("report"))
+
+
 def record_lines(records: DataFrame, most: int = 100) -> DataFrame:
     """records(line, record variant) -> (line, preview): title, field, confidence and claim of each extraction."""
     get = lambda path: T.shorten(F.coalesce(F.try_variant_get("record", path, "string"), F.lit("<missing>")), most)
