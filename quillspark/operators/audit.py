@@ -41,12 +41,12 @@ def with_flags(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     ids = papers.select(F.col("paper_id").alias("__paper")).where("__paper IS NOT NULL").distinct().withColumn("__known", F.lit(True))
     rows = chunks.withColumn("__norm", T.normalized_text(F.col("text"))).withColumn("__digest", F.sha2("__norm", 256)).drop("__norm")
     counts = rows.groupBy("__digest").agg(F.count("*").alias("__copies"))
-    rows = rows.join(ids, F.trim("paper_id") == F.col("__paper"), "left").join(counts, "__digest")
+    rows = rows.join(ids, T.trim(F.col("paper_id")) == F.col("__paper"), "left").join(counts, "__digest")
     text, filled = F.col("text"), ~T.blank(F.col("text"))
     tests = [
         (~filled, "empty_text"), (T.blank(F.col("paper_id")), "missing_paper_id"), (T.blank(F.col("arxiv_id")), "missing_arxiv_id"),
         (T.blank(F.col("title")), "missing_title"), (T.blank(F.col("section")), "missing_section"),
-        (~F.coalesce(F.trim("source_type"), F.lit("")).isin(AUDIT_TYPES), "unknown_source_type"),
+        (~F.coalesce(T.trim(F.col("source_type")), F.lit("")).isin(AUDIT_TYPES), "unknown_source_type"),
         (filled & (F.length(text) < VERY_SHORT), "very_short_text"), (F.length(text) > VERY_LONG, "very_long_text"),
         (~T.blank(F.col("paper_id")) & F.col("__known").isNull(), "orphan_chunk"), (filled & (F.col("__copies") > 1), "duplicate_text_candidate"),
     ]
@@ -54,6 +54,12 @@ def with_flags(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     return rows.withColumn("quality_flags", flags).drop("__digest", "__copies", "__paper", "__known")
 
 
+def duplicate_texts(rows: DataFrame, ident: str) -> DataFrame:
+    """(digest, copies, first_id) of texts that several rows have, white space and case apart."""
+    digest = F.md5(T.normalized_text(F.col("text")).cast("binary")).alias("digest")
+    return rows.groupBy(digest).agg(F.count("*").alias("copies"), F.min(ident).alias("first_id")).where("copies > 1")
+
+
 def flag_counts(flagged: DataFrame) -> DataFrame:
     return flagged.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("chunks"))
 
@@ -102,26 +108,83 @@ def attach_equations(chunks: DataFrame, equations: DataFrame) -> DataFrame:
     return joined.withColumn("equation_ids", ids).drop("__p", "__s", "__e")
 
 
+def missing_of(chunks: DataFrame) -> Column:
+    """The names of the fields that a chunk must have and lacks, those of its metadata by dotted names; a null word_count is named twice.
+
+    A column that the table hasn't is missing everywhere. Metadata may be a map or a struct.
+    """
+    kinds = dict(chunks.dtypes)
+    here = lambda f: missing(F.col(f), kinds[f]) if f in kinds else F.lit(True)
+    names = [F.when(here(f), F.lit(f)) for f in REQUIRED] + [F.when(F.col("word_count").isNull() if "word_count" in kinds else F.lit(True), F.lit("word_count"))]
+    if kinds.get("metadata", "").startswith("map"):
+        inner = {f: T.blank(F.try_element_at("metadata", F.lit(f))) for f in REQUIRED_METADATA}
+    elif kinds.get("metadata", "").startswith("struct"):
+        own = chunks.schema["metadata"].dataType.fieldNames()
+        inner = {f: T.blank(F.col(f"metadata.{f}").cast("string")) if f in own else F.lit(True) for f in REQUIRED_METADATA}
+    else:
+        inner = {}
+    names += [F.when(F.col("metadata").isNotNull() & test, F.lit(f"metadata.{f}")) for f, test in inner.items()]
+    return F.array_compact(F.array(*names))
+
+
+def missing_counts(chunks: DataFrame) -> DataFrame:
+    """(field, chunks): how often each required field is missing."""
+    return chunks.select(F.explode(missing_of(chunks)).alias("field")).groupBy("field").agg(F.count("*").alias("chunks"))
+
+
+def with_columns(chunks: DataFrame) -> DataFrame:
+    """chunks with nulls in the place of columns that it hasn't."""
+    lacking = [f for f in REQUIRED if f not in chunks.columns and f != "metadata"]
+    return chunks.withColumns({f: F.lit(None).cast("long" if f == "word_count" else "string") for f in lacking})
+
+
 def validate_chunks(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """One row: counts of missing fields, duplicate ids, orphans, empties, papers without chunks, statistics, status.
 
-    A null word_count counts twice among missing fields; a count beside the tolerance is a warning only.
+    A count beside the tolerance, or a source type of another kind, is a warning only. Statistics are zero without counts.
     """
-    kinds = dict(chunks.dtypes)
-    fields = [f for f in REQUIRED if f in kinds]
-    lacking = sum((missing(F.col(f), kinds[f]).cast("long") for f in fields), F.lit(0).cast("long")) + F.col("word_count").isNull().cast("long")
+    chunks = with_columns(chunks.withColumn("__missing", F.size(missing_of(chunks)).cast("long")))
     actual = T.word_count(F.col("text"))
     off = F.abs(F.col("word_count") - actual) > F.greatest(F.lit(3), F.floor(actual * 0.2))
-    ids = papers.select(F.col("paper_id").alias("__p")).where("__p IS NOT NULL").distinct()
+    ids = papers.select(F.col("paper_id").alias("__p")).where("__p IS NOT NULL AND __p <> ''").distinct()
     joined = chunks.join(ids, F.coalesce("paper_id", F.lit("")) == F.col("__p"), "left")
     main = joined.agg(
-        F.count("*").alias("chunks"), F.coalesce(F.sum(lacking), F.lit(0)).alias("missing_fields"), F.count_if(F.col("__p").isNull()).alias("orphan_chunks"),
+        F.count("*").alias("chunks"), F.coalesce(F.sum("__missing"), F.lit(0)).alias("missing_fields"), F.count_if(F.col("__p").isNull()).alias("orphan_chunks"),
         F.count_if(T.blank(F.col("text"))).alias("empty_chunks"), F.count_if(~F.coalesce("source_type", F.lit("")).isin(VALID_TYPES)).alias("invalid_types"),
-        F.count_if(off).alias("word_count_mismatch"), F.min("word_count").alias("min_words"), F.median("word_count").alias("median_words"), F.max("word_count").alias("max_words"),
+        F.count_if(off).alias("word_count_mismatch"), *[F.coalesce(f("word_count"), F.lit(0)).alias(n) for n, f in (("min_words", F.min), ("median_words", F.median), ("max_words", F.max))],
     )
-    doubled = chunks.where(~T.blank(F.col("chunk_id"))).groupBy("chunk_id").count().where("count > 1").agg(F.count("*").alias("duplicate_ids"))
-    lonely = ids.join(chunks, F.col("__p") == F.col("paper_id"), "left_anti").agg(F.count("*").alias("papers_without_chunks"))
+    doubled = duplicate_ids(chunks).agg(F.count("*").alias("duplicate_ids"))
+    lonely = without_chunks(chunks, papers).agg(F.count("*").alias("papers_without_chunks"))
     out = main.crossJoin(F.broadcast(doubled)).crossJoin(F.broadcast(lonely))
     bad = (F.col("orphan_chunks") > 0) | (F.col("empty_chunks") > 0) | (F.col("duplicate_ids") > 0) | (F.col("missing_fields") > 0)
     warn = (F.col("papers_without_chunks") > 0) | (F.col("invalid_types") > 0) | (F.col("word_count_mismatch") > 0)
     return out.withColumn("status", F.when(bad, "FAIL").when(warn, "REVISE").otherwise("PASS"))
+
+
+def duplicate_ids(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, chunks) of ids that several chunks have."""
+    return chunks.where("chunk_id <> ''").groupBy("chunk_id").agg(F.count("*").alias("chunks")).where("chunks > 1")
+
+
+def without_chunks(chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    return papers.select("paper_id").where("paper_id <> ''").distinct().join(chunks.select("paper_id"), "paper_id", "left_anti")
+
+
+def chunk_warnings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, warning) of each chunk whose source type isn't allowed."""
+    kind = F.coalesce(F.nullif("source_type", F.lit("")), F.lit("<missing>"))
+    return chunks.where(~kind.isin(VALID_TYPES)).select(F.coalesce(F.nullif("chunk_id", F.lit("")), F.lit("<missing>")).alias("chunk_id"), F.concat(F.lit("invalid source_type "), kind).alias("warning"))
+
+
+def quality_counts(chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """(topic, name, number): chunks of each paper and source type, missing fields, papers of each status, in one table."""
+    named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("<missing>"))
+    per_paper = chunks.where("paper_id <> ''").groupBy(F.lit("chunks_per_paper").alias("topic"), F.col("paper_id").alias("name")).agg(F.count("*").alias("number"))
+    types = chunks.groupBy(F.lit("source_type_counts").alias("topic"), named("source_type").alias("name")).agg(F.count("*").alias("number"))
+    lacking = missing_counts(chunks).select(F.lit("missing_field_counts").alias("topic"), F.col("field").alias("name"), F.col("chunks").alias("number"))
+    states = papers.groupBy(F.lit("parsing_status_counts").alias("topic"), named("parsing_status").alias("name")).agg(F.count("*").alias("number"))
+    return per_paper.union(types).union(lacking).union(states)
+
+
+def quality_recommendation(status: Column) -> Column:
+    return F.when(status == "FAIL", "repair the chunks before anything is retrieved").when(status == "REVISE", "look at warnings and at papers without chunks").otherwise("look at some chunks by hand, then go on")

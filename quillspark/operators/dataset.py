@@ -61,15 +61,35 @@ def parsed(sources: DataFrame) -> dict[str, DataFrame]:
 
 
 def paper_status(sources: DataFrame, parts: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counts of each paper, its errors and its status: failed without text, partial without chunks or headings."""
-    s = parts.groupBy("paper_id").agg(F.count("*").alias("sections_count"), F.sum("word_count").alias("plain_text_word_count"), F.bool_or(F.col("heading") != "Full text").alias("headed"))
+    """Counts of each paper, its errors and warnings, and its status.
+
+    An error (no text, no chunks) makes a paper failed, or partial if there are text and chunks all the same; a warning
+    (no sections, no equations) makes it partial. The text is that of headings and sections together.
+    """
+    text = F.when(F.col("text") != "", F.concat_ws("\n", "heading", "text"))
+    s = parts.groupBy("paper_id").agg(F.count("*").alias("sections_count"), F.sum(T.word_count(text)).alias("plain_text_word_count"), F.count(text).alias("filled"))
     e, c = found.groupBy("paper_id").agg(F.count("*").alias("equations_count")), chunks.groupBy("paper_id").agg(F.count("*").alias("chunks_count"))
     out = sources.select("paper_id").distinct().join(s, "paper_id", "left").join(e, "paper_id", "left").join(c, "paper_id", "left")
-    out = out.fillna(0, ["sections_count", "plain_text_word_count", "equations_count", "chunks_count"]).fillna(False, ["headed"])
-    tests = [(F.col("plain_text_word_count") == 0, "plain_text_empty"), (F.col("chunks_count") == 0, "chunk_generation_empty"), (~F.col("headed"), "section_extraction_weak"), (F.col("equations_count") == 0, "equation_extraction_weak")]
-    out = out.withColumn("errors", F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in tests]))).drop("headed")
-    weak = F.array_contains("errors", "chunk_generation_empty") | F.array_contains("errors", "section_extraction_weak")
-    return out.withColumn("parsing_status", F.when(F.col("plain_text_word_count") == 0, "failed").when(weak, "partial").otherwise("success"))
+    out = out.fillna(0, ["sections_count", "plain_text_word_count", "filled", "equations_count", "chunks_count"])
+    named = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in tests]))
+    out = out.withColumn("errors", named([(F.col("filled") == 0, "plain_text_empty"), (F.col("chunks_count") == 0, "chunk_generation_empty")]))
+    out = out.withColumn("warnings", named([(F.col("sections_count") == 0, "section_extraction_weak"), (F.col("equations_count") == 0, "equation_extraction_weak")]))
+    return out.withColumn("parsing_status", parsing_status(F.size("errors"), F.size("warnings"), F.col("filled") > 0, F.col("chunks_count"))).drop("filled")
+
+
+def parsing_status(errors: Column, warnings: Column, has_text: Column, chunks: Column) -> Column:
+    return F.when(errors > 0, F.when(has_text & (chunks > 0), "partial").otherwise("failed")).when(warnings > 0, "partial").otherwise("success")
+
+
+def failed_papers(papers: DataFrame) -> DataFrame:
+    """papers(arxiv_id, metadata fields or null, kind, message) that can't be parsed -> their records: no parts, one error, status failed."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c) if c in papers.columns else F.lit("").alias(c)
+    key = T.paper_key(F.col("arxiv_id"))
+    return papers.select(
+        T.safe_paper_id(key).alias("paper_id"), key.alias("arxiv_id"), empty("title"), empty("abstract"), F.lit("failed").alias("parsing_status"),
+        F.when(F.col("kind") == "source_unavailable", "unavailable").otherwise("error").alias("source_type"), *[F.lit(0).cast("long").alias(f"{n}_count") for n in ("sections", "equations", "chunks")],
+        F.lit(0).cast("long").alias("plain_text_word_count"), F.array(F.when(F.col("kind").isin(ERRORS), F.col("kind")).otherwise("unknown_error")).alias("errors"), F.array().cast("array<string>").alias("warnings"),
+    )
 
 
 def parsing_errors(papers: DataFrame) -> DataFrame:

@@ -91,11 +91,18 @@ def equation_sections(found: DataFrame, parts: DataFrame) -> DataFrame:
     return found.join(first, ["paper_id", "equation_no"], "left")
 
 
+# What marks a main file, in points beside its size in bytes, and the names that do.
+MAIN_POINTS = [("\\documentclass", 1_000_000), ("\\begin{document}", 500_000)]
+MAIN_NAMES, NAME_POINTS = ["main", "paper", "ms", "article"], 25_000
+
+
 def main_file(files: DataFrame) -> DataFrame:
-    """files(paper_id, path, text) -> the main file of each paper, by size and what marks a whole document."""
-    stem = F.lower(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
-    score = F.length("text") + 1e6 * F.col("text").contains("\\documentclass").cast("int") + 5e5 * F.col("text").contains("\\begin{document}").cast("int") + 25e3 * stem.isin("main", "paper", "article", "ms").cast("int")
-    return files.groupBy("paper_id").agg(F.max_by(F.struct("path", "text"), F.struct(score, F.length("text"), "path")).alias("f")).select("paper_id", "f.*")
+    """files(paper_id, path, text) -> the main file of each paper, among those that end in .tex."""
+    stem = F.lower(F.regexp_extract("path", r"([^/]+)\.tex$", 1))
+    points = [F.when(F.col("text").contains(mark), n).otherwise(0) for mark, n in MAIN_POINTS] + [F.when(stem.isin(MAIN_NAMES), NAME_POINTS).otherwise(0)]
+    score = F.struct(sum(points, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.coalesce(F.length("text"), F.lit(0)), "path")
+    own = files.where(F.col("path").endswith(".tex"))
+    return own.groupBy("paper_id").agg(F.max_by(F.struct("path", "text"), score).alias("f")).select("paper_id", "f.*")
 
 
 def html_sections(pages: DataFrame) -> DataFrame:
