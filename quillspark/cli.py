@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import answers, dataset, evaluate, gate, records, reports, retrieval
+from .operators.shared import frozen
 from .sources import readers, sinks
 
-CHECKS = ["Claim is in the text", "Method is in the text", "Limits are in the text", "Source is named", "Nothing is invented"]
 CHUNK = "pos long, chunk_id string, paper_id string, arxiv_id string, title string, section string, section_id string, section_heading string, source_type string, text string, word_count long"
 QUESTION = "question_id string, question string, question_type string, expected_source_arxiv_ids array<string>, expected_section_keywords array<string>"
 
@@ -75,17 +76,18 @@ def summary(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def checklist(spark: SparkSession, a: argparse.Namespace) -> int:
-    get = lambda path: F.try_variant_get("record", path, "string")
     rows = readers.jsonl(spark, a.input).orderBy("line").limit(a.limit)
-    sheet = reports.review_section(F.col("line"), get("$.source.title"), get("$.source.arxiv_id"), CHECKS, {f: get(f"$.extraction.{f}") for f in records.EXTRACTION})
-    reports.write(rows.select("line", sheet.alias("sheet")), "sheet", ["line"], a.out)
+    reports.write(rows.select("line", reports.review_section(F.col("line"), F.col("record")).alias("sheet")), "sheet", ["line"], a.out)
     return 0
 
 
 def reviewed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The summary of review sheets; files that hold none are an error."""
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    done = F.forall(F.map_values("checks"), lambda x: x)
-    return gate.review_summary(gate.review_records(files, CHECKS).withColumn("fully_checked", done))
+    records_ = gate.review_records(files)
+    if records_.isEmpty():
+        raise ValueError("no record of a review in " + ", ".join(paths))
+    return gate.review_summary(records_, gate.CHECKS)
 
 
 def review(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -106,7 +108,7 @@ def manifest(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def decide(spark: SparkSession, a: argparse.Namespace) -> int:
     """The gate over an inventory of files and reviews; then what to do next."""
-    entries = spark.read.schema("path string, role string, exists boolean, record_count long").json(a.input)
+    entries = spark.read.schema("path string, role string, pos long, exists boolean, record_count long").json(a.input)
     state = gate.manifest_summary(entries)
     first = state.select("*", gate.manifest_verdict(F.col("status"), F.col("missing"), F.col("files")).alias("verdict")).first()
     judged = [reviewed(spark, [p]).select(gate.summary_verdict(F.col("status"), F.col("total_records"), F.col("reject"), F.col("fully_checked")).alias("verdict")) for p in a.reviews]
@@ -167,7 +169,7 @@ def ranked_v1(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 def retrieve(spark: SparkSession, a: argparse.Namespace) -> int:
     """Rates of hits at each k, the questions missed, and the contexts at the largest k."""
     chunks, questions, expected = _dataset(spark, a)
-    asked = answers.contexts(questions, answers.hits(ranked_v1(chunks, questions, max(a.top_k)), chunks), expected)
+    asked = frozen(answers.contexts(questions, answers.hits(ranked_v1(chunks, questions, max(a.top_k)), chunks), expected))
     sinks.write_jsonl(asked, f"{a.out}/contexts")
     each = evaluate.at_each_k(asked.drop("hit"), a.top_k)
     rates = each.groupBy("k").agg(*evaluate.hit_metrics())
@@ -182,7 +184,7 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> int:
     chunks, questions, expected = _dataset(spark, a)
     index = retrieval.build_index(chunks, T.tokens_v0(F.col("text")))
     hits = answers.hits(retrieval.retrieve(index, questions, T.tokens_v0(F.col("question")), max(a.top_k)), chunks)
-    out = answers.answers(answers.contexts(questions, hits, expected), None if a.retrieval_only else answers.CitingModel)
+    out = frozen(answers.answers(answers.contexts(questions, hits, expected), None if a.retrieval_only else answers.CitingModel))
     sinks.write_jsonl(out, f"{a.out}/answers")
     sinks.write_jsonl(answers.error_counts(out), f"{a.out}/errors")
     _show(answers.answer_summary(out))
@@ -192,18 +194,23 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> int:
 def embed(spark: SparkSession, a: argparse.Namespace) -> int:
     """Hashed vectors in place of each model's, compared by hits and reciprocal ranks."""
     chunks, questions, expected = _dataset(spark, a)
-    rows = None
+    rows, top = None, max(a.top_k)
     for pos, name in enumerate(a.models or answers.MODELS):
         full, width, _, _ = answers.model_config(name)
         slot = V.blake_slot(width, full)
         text = answers.embedding_text(F.col("title"), F.col("section_heading"), F.col("text"))
-        passages = retrieval.hashed_vectors(chunks, T.tokens_v1(answers.with_prefix(text, name, "passage")), width, blake=slot)
-        asked = retrieval.hashed_vectors(questions.withColumnRenamed("q", "doc"), T.tokens_v1(answers.with_prefix(F.col("question"), name, "query")), width, blake=slot)
-        pairs = asked.select(F.col("doc").alias("q"), "i", F.col("w").alias("wq")).join(passages, "i").groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
-        found = answers.hits(retrieval.top_k(pairs, max(a.top_k)), chunks)
-        got = answers.contexts(questions, found, expected).agg(*evaluate.hit_metrics()).select(F.lit(full).alias("model"), F.lit(pos).alias("pos"), "*", F.lit(0.0).alias("seconds"))
+        vectors = lambda table, said, kind: frozen(retrieval.dense(retrieval.hashed_vectors(table, T.tokens_v1(answers.with_prefix(said, name, kind)), width, blake=slot), width))  # noqa: B023, E731
+        began = time.monotonic()
+        passages = vectors(chunks, text, "passage")
+        built, began = time.monotonic() - began, time.monotonic()
+        asked = vectors(questions.withColumnRenamed("q", "doc"), F.col("question"), "query").withColumnRenamed("doc", "q")
+        ranked = frozen(retrieval.vector_top_k(asked, passages, top))
+        took = (time.monotonic() - began) / max(1, questions.count())
+        got = answers.contexts(questions, answers.hits(ranked, chunks), expected).agg(*evaluate.hit_metrics())
+        got = got.select(F.lit(full).alias("model"), F.lit(pos).alias("pos"), "*", F.lit(built).alias("index_seconds"), F.lit(took).alias("seconds"))
         rows = got if rows is None else rows.union(got)
-    reports.write(reports.table(rows, ["model", "hit_rate", "mean_rank", "mrr"], ["pos"], "Models"), "report", [], f"{a.out}/report")
+    rows = frozen(rows)
+    reports.write(reports.table(rows, ["model", "hit_rate", "mean_rank", "mrr", "seconds", "index_seconds"], ["pos"], "Models"), "report", [], f"{a.out}/report")
     _show(evaluate.choose(rows))
     return 0
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -94,15 +94,55 @@ def findings(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_compact(F.concat(missing_fields(F.col("record")), F.array(odd)))).alias("kind"), "line")
 
 
+# What a formal summary counts records by.
+GROUPS = {
+    "confidence": "extraction.confidence",
+    "backend": "run.backend",
+    "model": "run.model",
+    "prompt_version": "run.prompt_version",
+    "prompt_template_sha256": "run.prompt_template_sha256",
+    "extraction_schema_version": "run.extraction_schema_version",
+}
+
+
+def group_counts(rows: DataFrame) -> DataFrame:
+    """rows(record variant) -> (field, value, records) for each field of GROUPS; what is absent or blank is <missing>."""
+    get = lambda path: F.try_variant_get("record", f"$.{path}", "string")
+    return histogram(rows, {name: F.when(~T.blank(get(path)), get(path)) for name, path in GROUPS.items()})
+
+
+def finding_counts(found: DataFrame, shown: int = 10) -> DataFrame:
+    """findings -> (kind, records, lines): of each kind how many records have it, and the first of them."""
+    first = found.withColumn("__n", F.row_number().over(Window.partitionBy("kind").orderBy("line"))).where(F.col("__n") <= shown)
+    lists = first.groupBy("kind").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return found.groupBy("kind").agg(F.count("*").alias("records")).join(lists, "kind")
+
+
 def formal_summary(rows: DataFrame, require_source: bool = True) -> DataFrame:
     """One row: total, records_with_source, records with findings, status; without require_source only what is there counts."""
     found = findings(rows)
     found = found if require_source else found.where(~F.col("kind").startswith("source."))
     bad = found.agg(F.count_distinct("line").alias("records_with_findings"))
-    out = rows.agg(F.count("*").alias("total"), F.count_if(F.try_variant_get("record", "$.source", "variant").isNotNull()).alias("records_with_source")).crossJoin(F.broadcast(bad))
+    source = F.coalesce(F.schema_of_variant(F.try_variant_get("record", "$.source", "variant")).startswith("OBJECT"), F.lit(False))
+    out = rows.agg(F.count("*").alias("total"), F.count_if(source).alias("records_with_source")).crossJoin(F.broadcast(bad))
     return out.withColumn("status", F.when((F.col("total") > 0) & (F.col("records_with_findings") == 0), "PASS").otherwise("WARN"))
 
 
+def summary_text(rows: DataFrame, path: str, require_source: bool = True, shown: int = 10) -> str:
+    """A formal summary as lines to print: its tables are small, one row a value or a field."""
+    total = formal_summary(rows, require_source).first()
+    if not total["total"]:
+        raise ValueError(f"no record in {path}")
+    out = [f"JSONL file: {path}", f"Records: {total['total']}", f"Records with source block: {total['records_with_source']}", f"Source required: {str(require_source).lower()}", ""]
+    counts = group_counts(rows).orderBy("field", "value").collect()
+    for name in GROUPS:
+        out += [f"{name}:", *[f"  {r['value']}: {r['records']}" for r in counts if r["field"] == name], ""]
+    found = findings(rows)
+    for r in finding_counts(found if require_source else found.where(~F.col("kind").startswith("source.")), shown).orderBy("kind").collect():
+        out.append(f"{r['kind']}: {r['records']} record(s) [{', '.join(map(str, r['lines']))}{' ...' if r['records'] > shown else ''}]")
+    return "\n".join([*out, f"Evaluation status: {total['status']}"])
+
+
 class Model(Protocol):
     """Text in, text out."""
 

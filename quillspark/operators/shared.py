@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,3 +28,9 @@ def frozen(df: DataFrame) -> DataFrame:
 def if_small(table: DataFrame, most: int = 1 << 20) -> DataFrame:
     """table, to be sent to every task if it has at most so many rows; else as it is, for Spark to join by key."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,15 +16,27 @@ from ..functions import text as T
 METADATA = "arxiv_id string, title string, authors array<string>, abstract string, categories array<string>, published string, url string"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of each line of text files, numbered from 1 as they stand in their file.
+
+    Files are split by Spark's reader at any size. Lines are numbered within their split; a small table of how many
+    lines the splits before hold does the rest.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = splits.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", before.alias("before"))
+    out = rows.join(told, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
+    return out.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
+
+
 def jsonl(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     """(file, line, record variant, bad boolean) of each line that isn't blank.
 
     Lines are numbered as they stand in their file. Without permissive, a line that is no JSON object ends the
     query with an error that names it; with it, such lines are marked and keep their text.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("n", "text"))
-    rows = whole.where(~T.blank(F.col("text"))).select("file", (F.col("n") + 1).cast("long").alias("line"), "text")
-    rows = rows.withColumn("record", F.try_parse_json("text"))
+    rows = numbered_lines(spark, path).where(~T.blank(F.col("text"))).withColumn("record", F.try_parse_json("text"))
     rows = rows.withColumn("bad", ~F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False)))
     if permissive:
         return rows
@@ -37,16 +49,56 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def json_document(spark: SparkSession, path: str, kind: str = "OBJECT") -> DataFrame:
+    """(file, record variant) of small JSON files, one document each; one that can't be parsed or is of another kind (OBJECT, ARRAY) ends the query."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    record = F.try_parse_json("text")
+    wrong = F.when(record.isNull(), "invalid JSON").when(~F.schema_of_variant(record).startswith(kind), f"no JSON {kind.lower()}")
+    return rows.select("file", F.when(wrong.isNotNull(), F.raise_error(F.concat("file", F.lit(": "), wrong)).cast("variant")).otherwise(record).alias("record"))
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """A file with a list of metadata records, or with one."""
     return spark.read.schema(METADATA).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def metadata_records(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+    """(file, index, METADATA fields) of a JSON list of metadata records, or of one object; each obeys records.metadata_error().
+
+    An empty list, a list in place of one object or the reverse, and the first record that breaks a rule, named by its
+    index from 1, end the query with an error.
+    """
+    from ..operators import records
+
+    if single:
+        rows = json_document(spark, path).select("file", F.lit(1).alias("index"), "record")
+    else:
+        each = json_document(spark, path, "ARRAY").withColumn("items", F.try_variant_get("record", "$", "array<variant>"))
+        each = each.withColumn("items", F.when(F.size("items") == 0, F.raise_error(F.concat("file", F.lit(": no record in the list"))).cast("array<variant>")).otherwise(F.col("items")))
+        rows = each.select("file", F.posexplode("items").alias("index", "record")).withColumn("index", F.col("index") + 1)
+    error = F.coalesce(F.when(~F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False)), "no object"), records.metadata_error(F.col("record")))
+    rows = rows.withColumn("record", F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("record "), F.col("index").cast("string"), F.lit(": "), error)).cast("variant")).otherwise(F.col("record")))
+    fields = [F.try_variant_get("record", f"$.{f}", "array<string>" if f in records.LISTS else "string").alias(f) for f in records.METADATA]
+    return rows.select("file", F.col("index").cast("long").alias("index"), *fields)
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, id) of a text file: blank lines and comments left out, order and repeats kept."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
-    rows = rows.select(F.col("pos").cast("long").alias("pos"), T.trim(F.substring_index("line", "#", 1)).alias("id"))
-    return rows.where("id <> ''")
+    """(pos, id) of a text file: blank lines and comments left out, order and repeats kept; a list without ids is an error."""
+    rows = numbered_lines(spark, path).select((F.col("line") - 1).alias("pos"), T.trim(F.substring_index("text", "#", 1)).alias("id")).where("id <> ''")
+    if rows.isEmpty():
+        raise ValueError(f"no identifier in {path}")
+    return rows
+
+
+def dataset_tables(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
+    """name -> path of JSON lines; all are there, or the error names every one that isn't."""
+    from ..operators import gate
+
+    entries = gate.file_entries(spark, [(path, name) for name, path in files.items()], whole=False)
+    lacking = [r["path"] for r in entries.where("NOT exists").orderBy("pos").collect()]
+    if lacking:
+        raise FileNotFoundError("not there: " + ", ".join(lacking))
+    return {name: jsonl(spark, path) for name, path in files.items()}
 
 
 def query_address(query: str | None = None, identifier: str | None = None, most: int = 1) -> str:
@@ -63,7 +115,9 @@ def query_address(query: str | None = None, identifier: str | None = None, most:
 
 
 def atom(feeds: DataFrame) -> DataFrame:
-    """feeds(xml) -> one row per entry: identifier, title, abstract, authors, categories, published, url."""
+    """feeds(xml) -> one row per entry: identifier, title, abstract, authors, categories, published, url; a feed without entries is an error."""
+    none = ~F.coalesce(F.col("xml").rlike(r"(?s)<(?:\w+:)?entry\b.*?</(?:\w+:)?entry>"), F.lit(False))
+    feeds = feeds.select(F.when(none, F.raise_error("a feed without entries").cast("string")).otherwise(F.col("xml")).alias("xml"))
     plain = F.regexp_replace(F.regexp_replace("xml", r'\sxmlns(?::\w+)?="[^"]*"', ""), r"(</?)\w+:", "$1")
     entries = feeds.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?s)<entry\b.*?</entry>"), F.lit(0))).alias("e"))
     one = lambda p: T.ws(F.xpath_string("e", F.lit(p)))
