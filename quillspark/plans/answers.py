@@ -18,7 +18,6 @@ from . import retrieval as P
 #: Questions with this word get no answer from the model of these queries.
 REFUSED = "the"
 BASELINE = 0.5
-CHECKS = ["Claim is in the text", "Source is named"]
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +103,15 @@ def running_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document, in two marked-up files of which one includes the other, flattened and parsed."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("paper_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\{}%$~]", " ").alias("t"))
+    """Documents as marked-up files: some without equation, some without heading or words, all beside a style file larger than they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\{}%$~]", " ").alias("t"))
     main = docs.select("paper_id", F.lit("src/main.tex").alias("path"), F.lit("\\documentclass{a}\\begin{document}\\input{body}\\input{lost}\\end{document}").alias("text"))
-    body = docs.select("paper_id", F.lit("src/body.tex").alias("path"), F.concat(F.lit("\\section{Body}\n"), "t", F.lit("\n\\[ e = 1 \\]\n")).alias("text"))
-    got = dataset.parsed(dataset.flattened(main.union(body)))["papers"]
-    return got.select(F.col("paper_id").cast("long").alias("doc_id"), "sections_count", "equations_count", "parsing_status", F.array_join("errors", ",").alias("errors"))
+    heading, equation = F.when(F.col("doc_id") % 5 == 1, "").otherwise("\\section{Body}\n"), F.when(F.col("doc_id") % 3 == 1, "").otherwise("\n\\[ e = 1 \\]\n")
+    words = F.when(F.col("doc_id") % 5 == 2, "").otherwise(F.col("t"))
+    body = docs.select("paper_id", F.lit("src/body.tex").alias("path"), F.concat(heading, words, F.when(F.col("doc_id") % 5 == 2, "").otherwise(equation)).alias("text"))
+    style = docs.select("paper_id", F.lit("src/big.sty").alias("path"), F.concat(F.lit("\\documentclass \\begin{document}"), F.repeat(F.lit("x"), 400)).alias("text"))
+    got = dataset.parsed(dataset.flattened(main.union(body).union(style)))["papers"]
+    return got.select(F.col("paper_id").cast("long").alias("doc_id"), "sections_count", "equations_count", "parsing_status", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
 def parsing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,20 +122,30 @@ def parsing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return docs.withColumn("sheet", reports.review_section(F.col("doc_id"), F.col("source"), F.concat(F.lit("a-"), F.col("doc_id").cast("string")), CHECKS))
+    record = F.to_variant_object(F.struct(F.struct(F.concat(F.lit("a-"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.col("source").alias("title")).alias("source")))
+    return docs.withColumn("sheet", reports.review_section(F.col("doc_id"), record, F.lit("As is.")))
 
 
 def review_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sheets(spark, sf_dir).select("doc_id", F.md5(F.col("sheet").cast("binary")).alias("sheet_md5"))
 
 
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets as reviewers return them: ticked or not, with outcomes quoted, bare, unknown or left as they were, some with notes."""
+    ticked = F.when(F.col("doc_id") % 2 == 0, F.replace("sheet", F.lit("- [ ] "), F.lit("- [x] "))).otherwise(F.col("sheet"))
+    said = F.element_at(F.array(*[F.lit(x) for x in ("`pass`", "pass", "`Revise`", " reject ", "passed", "`pass | revise | reject | unclear`")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    judged = F.replace(ticked, F.lit(reports.UNDECIDED), F.concat(F.lit("Review outcome: "), said))
+    noted = F.when(F.col("doc_id") % 4 == 0, F.replace(judged, F.lit("- [x] Notes:"), F.concat(F.lit("- [x] Notes: see "), F.col("doc_id").cast("string")))).otherwise(judged)
+    return gate.review_records(_sheets(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), noted.alias("text")))
+
+
+def review_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _reviewed(spark, sf_dir)
+    return got.select(F.col("record_index").alias("doc_id"), "title", "arxiv_id", F.when(F.col("record_index") % 4 == 0, F.col("notes")).otherwise("").alias("notes"), "outcome", "fully_checked")
+
+
 def review_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets, some ticked and judged, are read back: outcomes and checks."""
-    ticked = F.when(F.col("doc_id") % 2 == 0, F.replace("sheet", F.lit("- [ ]"), F.lit("- [x]"))).otherwise(F.col("sheet"))
-    judged = F.when(F.col("doc_id") % 3 == 0, F.replace(ticked, F.lit("Review outcome: unclear"), F.lit("Review outcome: pass"))).otherwise(ticked)
-    read = gate.review_records(_sheets(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), judged.alias("text")), CHECKS)
-    done = F.forall(F.map_values("checks"), lambda x: x)
-    return gate.review_summary(read.withColumn("fully_checked", done))
+    return gate.review_summary(_reviewed(spark, sf_dir), gate.CHECKS)
 
 
 def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieved_contexts, answer_records, answers_skipped, answer_summary, answer_errors, missed_questions, best_k, overlap_diagnostics, citation_summary, dataset_chunks,
-        dataset_chunks_v1, chunk_id_map, running_numbers, parse_papers, parsing_errors, review_sheets, review_round_trip, source_report,
+        dataset_chunks_v1, chunk_id_map, running_numbers, parse_papers, parsing_errors, review_sheets, review_records, review_round_trip, source_report,
     )
 }
 
@@ -164,7 +176,11 @@ _V1 = corpus.FLAGS_SQL + """, v AS (
          CASE WHEN doc_id % 11 = 0 THEN 'unknown' ELSE 'section' END AS source_type, length(text) AS text_length_chars, TOKENS AS text_length_tokens_est,
          array_to_string(list_sort(list_distinct(flags)), ',') AS flags, doc_id::VARCHAR IN (SELECT paper_id FROM papers) AS known
   FROM documents JOIN f USING (doc_id))""".replace("TOKENS", f"len({P.TOK1.format('text')})")
-_SHEET = "'## Record ' || doc_id || ': ' || source || chr(10) || chr(10) || 'Identifier: a-' || doc_id || chr(10) || chr(10) || " + " || ".join(f"'- [ ] {c}' || chr(10)" for c in CHECKS) + " || chr(10) || 'Notes: ' || chr(10) || 'Review outcome: unclear' || chr(10)"
+_TICKS = " || chr(10) || ".join(f"'{t}'" for t in reports.TICKS)
+_SHEET = f"""'## Record ' || doc_id || ': ' || source || chr(10) || chr(10) || '- arXiv ID: `a-' || doc_id || '`' || chr(10) || '- URL: -' || chr(10) || '- backend/model: `-` / `-`' || chr(10)
+|| '- prompt version: `-`' || chr(10) || '- extraction confidence: `-`' || chr(10) || chr(10) || '### Abstract' || chr(10) || chr(10) || 'As is.' || chr(10) || chr(10) || '### Extracted fields' || chr(10) || chr(10)
+|| '- `main_claim`: -' || chr(10) || '- `method`: -' || chr(10) || '- `limitations`: -' || chr(10) || chr(10) || '### Checks' || chr(10) || chr(10) || {_TICKS} || chr(10) || chr(10) || '{reports.UNDECIDED}' || chr(10)"""
+_OUTCOME = "CASE doc_id % 6 WHEN 0 THEN 'pass' WHEN 1 THEN 'pass' WHEN 2 THEN 'revise' WHEN 3 THEN 'reject' ELSE 'unclear' END"
 
 ORACLES = {
     "retrieved_contexts": _ASKED + """SELECT a.item_id, coalesce(string_agg('[C' || r.rank || ']', ',' ORDER BY r.rank), '') AS labels, coalesce(string_agg('doc' || r.doc, ',' ORDER BY r.rank), '') AS chunks,
@@ -193,10 +209,18 @@ FROM documents d JOIN labels USING (doc_id) WHERE d.doc_id % 3 < 2""",
     "running_numbers": "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents",
     "parsing_errors": f"""WITH l AS (SELECT unnest({dataset.ERRORS}) AS label)
 SELECT label, (SELECT count(*) FROM events WHERE CASE WHEN event_type = 'error' THEN 'pdf_parse_error' ELSE 'unknown_error' END = label) AS records FROM l""",
-    "parse_papers": r"""SELECT doc_id, 1 AS sections_count, 1 AS equations_count, 'success' AS parsing_status, '' AS errors FROM documents""",
+    "parse_papers": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '' ELSE trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\{}%$~]', ' ', 'g'), '\s+', ' ', 'g')) END AS words,
+  CASE WHEN doc_id % 5 = 2 OR doc_id % 3 = 1 THEN 0 ELSE 1 END AS equations_count, doc_id % 5 <> 1 AS headed FROM documents),
+t AS (SELECT *, words <> '' OR equations_count = 1 AS filled FROM d),
+p AS (SELECT *, CASE WHEN headed OR filled THEN 1 ELSE 0 END AS sections_count FROM t)
+SELECT doc_id, sections_count, equations_count, CASE WHEN NOT filled THEN 'failed' WHEN equations_count = 0 THEN 'partial' ELSE 'success' END AS parsing_status,
+CASE WHEN filled THEN '' ELSE 'plain_text_empty,chunk_generation_empty' END AS errors,
+array_to_string(list_filter([CASE WHEN sections_count = 0 THEN 'section_extraction_weak' END, CASE WHEN equations_count = 0 THEN 'equation_extraction_weak' END], lambda x: x IS NOT NULL), ',') AS warnings FROM p""",
     "review_sheets": f"SELECT doc_id, md5({_SHEET}) AS sheet_md5 FROM documents",
-    "review_round_trip": """SELECT count(*) AS total_records, count_if(doc_id % 3 = 0)::BIGINT AS "pass", 0 AS revise, 0 AS reject, count_if(doc_id % 3 <> 0)::BIGINT AS unclear, count_if(doc_id % 2 = 0)::BIGINT AS fully_checked,
-'REVIEW_INCOMPLETE' AS status FROM documents""",
+    "review_records": f"""SELECT doc_id, source AS title, 'a-' || doc_id AS arxiv_id, CASE WHEN doc_id % 4 = 0 THEN 'see ' || doc_id ELSE '' END AS notes, {_OUTCOME} AS outcome, doc_id % 2 = 0 AS fully_checked FROM documents""",
+    "review_round_trip": f"""WITH r AS (SELECT {_OUTCOME} AS o, doc_id % 2 = 0 AS done FROM documents)
+SELECT count(*) AS total_records, count_if(o = 'pass')::BIGINT AS "pass", count_if(o = 'revise')::BIGINT AS revise, count_if(o = 'reject')::BIGINT AS reject, count_if(o = 'unclear')::BIGINT AS unclear, count_if(done)::BIGINT AS fully_checked,
+{", ".join(f"count_if(done)::BIGINT AS {c}" for c in gate.CHECKS)}, 'REVIEW_REJECTED_RECORDS' AS status FROM r""",
     "source_report": """WITH c AS (SELECT coalesce(source, '<missing>') AS source, count(*) AS n FROM documents GROUP BY 1)
 SELECT '# Sources' || chr(10) || chr(10) || '| source | documents |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || source || ' | ' || n || ' |', chr(10) ORDER BY source) || chr(10) AS report FROM c""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,29 +59,51 @@ def chunk_v1_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one source as the chunks of one paper: running ids by position, resolved titles."""
     docs = _t(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("pos"), F.col("source").alias("paper_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.concat(F.lit(" "), "lang", F.lit(" Details / "), "source").alias("section"))
-    papers = _papers(spark, sf_dir).where("pos % 2 = 0")
-    got = audit.with_v1_ids(audit.resolve_papers(chunks, papers))
+    got = audit.with_v1_ids(audit.resolve_papers(chunks, _papers(spark, sf_dir)))
     return got.select(F.col("pos").alias("doc_id"), F.col("chunk_id_v1").alias("chunk_id"), "section_normalized", F.coalesce("paper_title", F.lit("")).alias("title"))
 
 
 def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = F.when(F.col("pos") % 13 == 0, F.lit(None)).when(F.col("pos") % 17 == 0, F.lit(1)).otherwise(T.word_count(F.col("text")))
-    chunks = _chunks(spark, sf_dir).withColumn("word_count", count.cast("long"))
-    got = audit.validate_chunks(chunks, _papers(spark, sf_dir))
+    return _validated(spark, sf_dir, count)
+
+
+def _with_metadata(spark: SparkSession, sf_dir: str, count: Column) -> DataFrame:
+    """Chunks whose metadata lack one field or another, or are not there."""
+    some = {f: F.when(F.col("pos") % (n + 7) == 0, " ").otherwise("x") for n, f in enumerate(audit.REQUIRED_METADATA)}
+    own = F.when(F.col("pos") % 19 > 0, F.create_map(*[x for k, v in some.items() for x in (F.lit(k), v)]))
+    return _chunks(spark, sf_dir).withColumn("word_count", count.cast("long")).withColumn("metadata", own)
+
+
+def chunk_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each required field is missing; the column title is missing altogether."""
+    return audit.missing_counts(_with_metadata(spark, sf_dir, F.when(F.col("pos") % 13 > 0, 1)).drop("title"))
+
+
+def chunk_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _with_metadata(spark, sf_dir, F.lit(1))
+    return audit.quality_counts(chunks, _papers(spark, sf_dir).withColumn("parsing_status", F.when(F.col("pos") % 3 > 0, "success")))
+
+
+def chunk_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.chunk_warnings(_chunks(spark, sf_dir))
+
+
+def _validated(spark: SparkSession, sf_dir: str, count: Column) -> DataFrame:
+    got = audit.validate_chunks(_with_metadata(spark, sf_dir, count), _papers(spark, sf_dir))
     return got.withColumn("median_words", F.col("median_words").cast("double"))
 
 
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalized_text(F.col("text")).cast("binary")).alias("digest"))
-    return docs.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return audit.duplicate_texts(_t(spark, sf_dir, "documents"), "doc_id")
 
 
 def papers_without_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _papers(spark, sf_dir).join(_chunks(spark, sf_dir), "paper_id", "left_anti").select("paper_id")
+    return audit.without_chunks(_chunks(spark, sf_dir), _papers(spark, sf_dir))
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).join(_papers(spark, sf_dir), "paper_id", "left_anti").select("chunk_id")
+    return audit.with_flags(_chunks(spark, sf_dir), _papers(spark, sf_dir)).where("array_contains(quality_flags, 'orphan_chunk')").select("chunk_id")
 
 
 def sections_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +150,13 @@ def status_histogram_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's labels as a manual review; then its verdict."""
+    """Fifty shares of each source's labels as manual reviews, not all of whose records are checked; then their verdicts."""
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
-    rows = docs.select("doc_id", "source").join(labels, "doc_id")
-    per = rows.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("reject"), F.count_if(F.col("quality") == 0).alias("revise"))
-    status = F.when(F.col("reject") > 0, "REVIEW_REJECTED_RECORDS").when(F.col("revise") > 0, "REVIEW_REVISIONS_NEEDED").otherwise("PASS")
-    return per.select("source", "total", "reject", "revise", gate.summary_verdict(status, F.col("total"), F.col("reject"), F.col("total")).alias("verdict"))
+    rows = docs.select("doc_id", "source", F.when(F.col("doc_id") % 7 > 0, "lang").alias("lang")).join(labels, "doc_id")
+    rows = rows.withColumn("source", F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")))
+    per = rows.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("reject"), F.count_if(F.col("quality") == 0).alias("revise"), F.count_if(F.col("lang").isNull()).alias("unchecked"))
+    status = gate.review_status(F.col("total"), F.col("total") - F.col("reject") - F.col("revise"), F.col("reject"), F.col("revise"), F.col("total"))
+    return per.select("source", "total", "reject", "revise", gate.summary_verdict(status, F.col("total"), F.col("reject"), F.col("total") - F.col("unchecked")).alias("verdict"))
 
 
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,15 +218,28 @@ f AS (SELECT doc_id, list_filter([
 QUERIES = {
     f.__name__: f
     for f in (
-        word_count, chunk_windows, chunk_audit_flags, audit_summary, chunk_length_stats, chunk_v1_ids, chunk_validation, duplicate_texts, papers_without_chunks,
+        word_count, chunk_windows, chunk_audit_flags, audit_summary, chunk_length_stats, chunk_v1_ids, chunk_validation, chunk_missing_fields, chunk_quality_counts, chunk_warnings, duplicate_texts, papers_without_chunks,
         orphans, sections_by_line, markup_clean, markup_sections, latex_sections, record_summary, json_contract, status_histogram_zero_filled, gate_verdict,
         gate_decision, qa_pairs, file_manifest, top_docs_per_source, fake_extraction, normalized_ids, previews,
     )
 }
 
-VERDICT_SQL = """SELECT d.source, count(*) AS total, count_if(toxic = 1)::BIGINT AS reject, count_if(quality = 0)::BIGINT AS revise,
-CASE WHEN count_if(toxic = 1) > 0 THEN 'REJECT' WHEN count_if(quality = 0) > 0 THEN 'REVISE' ELSE 'ACCEPT' END AS verdict
-FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source"""
+VERDICT_SQL = """SELECT d.source || '/' || (doc_id % 50) AS source, count(*) AS total, count_if(toxic = 1)::BIGINT AS reject, count_if(quality = 0)::BIGINT AS revise,
+CASE WHEN count_if(toxic = 1) > 0 THEN 'REJECT' WHEN count_if(quality = 0) > 0 OR count_if(doc_id % 7 = 0) > 0 THEN 'REVISE' ELSE 'ACCEPT' END AS verdict
+FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL"""
+
+_META = "CASE WHEN doc_id % 19 > 0 THEN " + " + ".join(f"CASE WHEN doc_id % {n + 7} = 0 THEN 1 ELSE 0 END" for n in range(len(audit.REQUIRED_METADATA))) + " ELSE 1 END"
+_LACKING = {
+    "arxiv_id": "doc_id % 5 = 0", "text": "trim(text) = ''", "metadata": "doc_id % 19 = 0",
+    **{f"metadata.{f}": f"doc_id % 19 > 0 AND doc_id % {n + 7} = 0" for n, f in enumerate(audit.REQUIRED_METADATA)},
+}
+
+
+def _missing_sql(lacking: dict[str, str], twice: str | None = None) -> str:
+    parts = [f"SELECT '{f}' AS field, count_if({test})::BIGINT AS chunks FROM documents" for f, test in lacking.items()]
+    parts += [f"SELECT 'word_count', 2 * count_if({twice})::BIGINT FROM documents"] if twice else []
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE chunks > 0"
+
 
 ORACLES = {
     "word_count": f"SELECT doc_id, len(regexp_extract_all(text, '{WORD_SQL}')) AS words FROM documents",
@@ -216,20 +252,27 @@ SELECT doc_id, chunk_no, md5(array_to_string(part, ' ')) AS text_md5, len(part):
     "chunk_audit_flags": FLAGS_SQL + " SELECT doc_id, array_to_string(flags, ',') AS flags FROM f",
     "audit_summary": FLAGS_SQL + ", e AS (SELECT unnest(flags) AS flag FROM f) SELECT flag, count(*) AS chunks FROM e GROUP BY flag",
     "chunk_length_stats": "SELECT lang, count(*) AS chunks, min(length(text)) AS least, round(avg(length(text)), 4) AS mean, median(length(text)) AS median, max(length(text)) AS most FROM documents GROUP BY lang",
-    "chunk_v1_ids": f"""WITH {PAPERS_SQL}, p AS (SELECT * FROM papers WHERE pos % 2 = 0),
+    "chunk_v1_ids": f"""WITH {PAPERS_SQL}, p AS (SELECT * FROM papers),
 c AS (SELECT d.doc_id, coalesce(p.paper_id, d.source) AS paper, d.lang, d.source, coalesce(p.title, '') AS title FROM documents d LEFT JOIN p ON p.arxiv_id = 'a' || d.doc_id)
 SELECT doc_id, paper || '::chunk_v1::' || printf('%04d', row_number() OVER (PARTITION BY paper ORDER BY doc_id)) AS chunk_id,
        trim(regexp_replace(lower(trim(' ' || lang || ' Details / ' || source)), '[^a-z0-9]+', '_', 'g'), '_') AS section_normalized, title FROM c""",
     "chunk_validation": f"""WITH {PAPERS_SQL}, ids AS (SELECT DISTINCT paper_id FROM papers),
 c AS (SELECT doc_id, doc_id::VARCHAR AS paper_id, text, len(regexp_extract_all(text, '{WORD_SQL}')) AS actual FROM documents),
 w AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 1 ELSE actual END AS word_count FROM c),
-m AS (SELECT count(*) AS chunks, sum(CASE WHEN trim(text) = '' THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN word_count IS NULL THEN 2 ELSE 0 END)::BIGINT AS missing_fields,
+m AS (SELECT count(*) AS chunks, sum(CASE WHEN trim(text) = '' THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN word_count IS NULL THEN 2 ELSE 0 END + {_META})::BIGINT AS missing_fields,
   count_if(paper_id NOT IN (SELECT paper_id FROM ids))::BIGINT AS orphan_chunks, count_if(trim(text) = '')::BIGINT AS empty_chunks, count_if(doc_id % 11 = 0)::BIGINT AS invalid_types,
   count_if(abs(word_count - actual) > greatest(3, floor(actual * 0.2)))::BIGINT AS word_count_mismatch, min(word_count) AS min_words, median(word_count) AS median_words, max(word_count) AS max_words FROM w),
 x AS (SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS duplicate_ids,
   (SELECT count(*) FROM ids WHERE paper_id NOT IN (SELECT paper_id FROM c)) AS papers_without_chunks)
 SELECT m.*, x.*, CASE WHEN orphan_chunks > 0 OR empty_chunks > 0 OR duplicate_ids > 0 OR missing_fields > 0 THEN 'FAIL'
   WHEN papers_without_chunks > 0 OR invalid_types > 0 OR word_count_mismatch > 0 THEN 'REVISE' ELSE 'PASS' END AS status FROM m, x""",
+    "chunk_missing_fields": _missing_sql(_LACKING | {"title": "true"}, "doc_id % 13 = 0"),
+    "chunk_warnings": "SELECT 'd' || doc_id AS chunk_id, 'invalid source_type figure' AS warning FROM documents WHERE doc_id % 11 = 0",
+    "chunk_quality_counts": f"""WITH {PAPERS_SQL}
+SELECT 'chunks_per_paper' AS topic, doc_id::VARCHAR AS name, count(*) AS number FROM documents GROUP BY doc_id
+UNION ALL SELECT 'source_type_counts', CASE WHEN doc_id % 11 = 0 THEN 'figure' ELSE 'section' END, count(*) FROM documents GROUP BY ALL
+UNION ALL SELECT 'missing_field_counts', field, chunks FROM ({_missing_sql(_LACKING)})
+UNION ALL SELECT 'parsing_status_counts', CASE WHEN pos % 3 > 0 THEN 'success' ELSE '<missing>' END, count(*) FROM papers GROUP BY ALL""",
     "duplicate_texts": f"SELECT md5({NORM_SQL}) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "papers_without_chunks": f"WITH {PAPERS_SQL} SELECT paper_id FROM papers WHERE paper_id NOT IN (SELECT doc_id::VARCHAR FROM documents)",
     "orphans": f"WITH {PAPERS_SQL} SELECT 'd' || doc_id AS chunk_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT paper_id FROM papers)",

@@ -55,7 +55,8 @@ def test_papers_get_a_status(spark):
     texts = [("a", "\\section{One} words here \\[ e=1 \\]"), ("b", "plain words alone"), ("c", None), ("d", "% nothing")]
     rows = {r.paper_id: r for r in dataset.parsed(spark.createDataFrame(texts, "paper_id string, text string"))["papers"].collect()}
     assert [rows[p].parsing_status for p in "abcd"] == ["success", "partial", "failed", "failed"]
-    assert rows["b"].errors == ["section_extraction_weak", "equation_extraction_weak"]
+    assert rows["b"].errors == [] and rows["b"].warnings == ["equation_extraction_weak"]
+    assert rows["c"].errors == ["plain_text_empty", "chunk_generation_empty"]
     assert dataset.parsing_summary(spark.createDataFrame([("success",), (None,)], "parsing_status string"), 3).first()[:4] == (3, 1, 0, 1)
 
 
@@ -86,9 +87,10 @@ def test_runs(spark):
 
 
 def test_sheets_are_read_back(spark, tmp_path):
-    sheet = spark.range(1, 3).select("id", reports.review_section(F.col("id"), F.lit("A\nb"), F.lit("x"), ["One", "Two"], {"Field": F.lit(None).cast("string")}).alias("text"))
-    rows = gate.review_records(sheet.select(F.col("id").cast("string").alias("path"), "text"), ["One", "Two"]).collect()
-    assert sorted(r.record_index for r in rows) == [1, 2] and all(r.outcome == "unclear" and r.checks == {"One": False, "Two": False} for r in rows)
+    record = F.parse_json(F.lit('{"source": {"title": "A\\nb", "arxiv_id": "1705.1"}}'))
+    sheet = spark.range(1, 3).select("id", reports.review_section(F.col("id"), record, F.lit("We do.")).alias("text"))
+    rows = gate.review_records(sheet.select(F.col("id").cast("string").alias("path"), "text")).collect()
+    assert sorted(r.record_index for r in rows) == [1, 2] and all((r.title, r.arxiv_id, r.outcome, r.fully_checked) == ("A b", "1705.1", "unclear", False) for r in rows)
     reports.write(sheet, "text", ["id"], str(tmp_path / "out"))
     assert "## Record 1: A b" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
 

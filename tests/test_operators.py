@@ -4,11 +4,12 @@ import io
 import json
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.operators import audit, chunking, evaluate, gate, markup, records, retrieval
+from quillspark.operators import audit, chunking, evaluate, gate, manifest, markup, pilot, questions, records, reports, retrieval
 from quillspark.sources import readers, sinks
 from quillspark.streaming import ingest
 
@@ -158,9 +159,157 @@ def test_gate(spark):
 
 
 def test_reviews(spark):
-    text = "# R\n## Record 1: x\n- [x] Claim ok\n- [ ] Method ok\nNotes: fine\nReview outcome: pass\n## Record 2: y\n- [X] Claim ok\n- [x] Method ok\nNotes: -\nReview outcome: maybe\n"
-    rows = gate.review_records(spark.createDataFrame([("f", text)], "path string, text string"), ["Claim ok", "Method ok"]).orderBy("record_index").collect()
-    assert [(r.record_index, r.checks, r.outcome) for r in rows] == [(1, {"Claim ok": True, "Method ok": False}, "pass"), (2, {"Claim ok": True, "Method ok": True}, "unclear")]
+    lines = ["- [x] `main_claim` ok", "- [X] `method` ok", "- [x] `limitations` ok", "- [x] No unsupported scientific claim", "- [x] The confidence label fits"]
+    sheet = lambda n, notes, outcome: f"## Record {n}: Title {n}\n- arXiv ID: `17.{n}`\n" + "\n".join(lines if n < 4 else lines[:4]) + f"\n{notes}\n\nReview outcome: {outcome}\n"
+    text = "# R\n" + sheet(1, "- [x] Notes: fine", "`pass`") + sheet(2, "- [ ] Notes: no", "`pass | revise | reject | unclear`") + sheet(3, "- [ ] Notes: -", "maybe") + sheet(4, "- [ ] Notes: x", "Reject")
+    rows = gate.review_records(spark.createDataFrame([("f", text), ("none", "nothing")], "path string, text string"))
+    got = rows.orderBy("record_index").collect()
+    assert [(r.title, r.arxiv_id, r.notes, r.outcome, r.fully_checked) for r in got] == [("Title 1", "17.1", "fine", "pass", True), ("Title 2", "17.2", "no", "unclear", True), ("Title 3", "17.3", "-", "unclear", True), ("Title 4", "17.4", "x", "reject", False)]
+    total = gate.review_summary(rows, gate.CHECKS).first()
+    assert (total.status, total.total_records, total.fully_checked, total.confidence_plausible, total.method_supported) == ("REVIEW_REJECTED_RECORDS", 4, 3, 3, 4)
+    assert gate.review_summary(rows.where("outcome = 'pass'")).first().status == "PASS" and gate.review_summary(rows.limit(0)).first().status == "REVIEW_INCOMPLETE"
+
+
+def test_main_file(spark):
+    files = [("p", "a/paper.tex", "\\documentclass{a} \\begin{document} x"), ("p", "a/big.sty", "\\documentclass \\begin{document}" + "x" * 90_000), ("p", "a/long.tex", "x" * 70_000), ("q", "ms.tex", "é" * 10), ("q", "other.tex", "x" * 25_021)]
+    got = {r.paper_id: r.path for r in markup.main_file(spark.createDataFrame(files, "paper_id string, path string, text string")).collect()}
+    assert got == {"p": "a/paper.tex", "q": "other.tex"}
+
+
+def test_validation_names_what_is_missing(spark):
+    whole = {f: "x" for f in audit.REQUIRED_METADATA}
+    rows = [("c1", "p1", "a", "s", "i", "h", "one two", 2, whole), ("c1", "p9", " ", "figure", "i", "h", "", None, {**whole, "domain": ""}), ("c3", "p1", "a", "s", "i", "h", "t", 1, None)]
+    names = ["chunk_id", "paper_id", "arxiv_id", "source_type", "section_id", "section_heading", "text", "word_count", "metadata"]
+    chunks = spark.createDataFrame(rows, "chunk_id string, paper_id string, arxiv_id string, source_type string, section_id string, section_heading string, text string, word_count long, metadata map<string,string>")
+    papers = spark.createDataFrame([("p1",), ("p2",), ("",)], "paper_id string")
+    got = {r.field: r.chunks for r in audit.missing_counts(chunks).collect()}
+    assert names == chunks.columns and got == {"title": 3, "arxiv_id": 1, "text": 1, "word_count": 2, "metadata": 1, "metadata.domain": 1}
+    row = audit.validate_chunks(chunks, papers).first()
+    assert (row.status, row.missing_fields, row.duplicate_ids, row.papers_without_chunks, row.orphan_chunks) == ("FAIL", 9, 1, 1, 1)
+    fine = spark.createDataFrame([("c1", "p1", "a", "t", "section", "i", "h", "one two", 2, whole)], "chunk_id string, paper_id string, arxiv_id string, title string, source_type string, section_id string, section_heading string, text string, word_count long, metadata map<string,string>")
+    assert audit.validate_chunks(fine, papers.where("paper_id = 'p1'")).first().status == "PASS" and audit.validate_chunks(fine, papers).first().status == "REVISE"
+    assert "| missing_field_counts | title | 3 |" in reports.quality_report(audit.validate_chunks(chunks, papers), audit.quality_counts(audit.with_columns(chunks), papers.withColumn("parsing_status", F.lit("success"))), "Chunks").first().report
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    class Counting:
+        """A model whose every answer is another one."""
+
+        def generate(self, prompt, temperature=0.0):
+            import uuid
+
+            return uuid.uuid4().hex
+
+    rows = spark.range(40).select("id", F.concat(F.lit("q"), F.col("id").cast("string")).alias("prompt"))
+    said = rows.withColumn("a", records.generator(Counting)(F.col("prompt"))).select("id", "a.text")
+    sinks.append_valid(said, F.col("text") < "8", f"{tmp_path}/good", f"{tmp_path}/bad")
+    good, bad = (spark.read.schema("id long, text string").json(f"{tmp_path}/{n}").collect() for n in ("good", "bad"))
+    assert len(good) + len(bad) == 40 and all(r.text < "8" for r in good) and all(r.text >= "8" for r in bad) and good and bad
+
+
+def test_vectors_of_unequal_length(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, [0.5, None, 1.0, 9.0]), (4, []), (5, None)], "doc long, v array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 1.0]), (11, [1.0, 1.0, 1.0, 1.0])], "q long, v array<double>")
+    got = {(r.q, r.doc): r.score for r in retrieval.vector_top_k(queries, vectors, 5).collect()}
+    assert got == {(10, 1): 3.0, (10, 2): 1.0, (10, 3): 0.5, (11, 1): 6.0, (11, 2): 1.0, (11, 3): 10.5}
+    named = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "doc string, v array<double>")
+    assert [(r.q, r.doc) for r in retrieval.vector_top_k(named.withColumnRenamed("doc", "q"), named, 1, cosine=True).orderBy("q").collect()] == [("a", "b"), ("b", "a")]
+
+
+def test_retrieval_in_blocks(spark):
+    docs = spark.createDataFrame([(n, " ".join(f"w{n % k}" for k in range(1, 9))) for n in range(60)], "doc long, text string")
+    questions = spark.createDataFrame([(n, f"w{n} w{n + 1} w1") for n in range(20)] + [(99, "unknown words only")], "q long, text string")
+    index = retrieval.build_index(docs, T.tokens_v0(F.col("text")))
+    whole = retrieval.retrieve(index, questions, T.tokens_v0(F.col("text")), 4).orderBy("q", "rank").collect()
+    kept, retrieval.QUESTION_TERMS = retrieval.QUESTION_TERMS, 7
+    try:
+        parts = retrieval.retrieve(index, questions, T.tokens_v0(F.col("text")), 4).orderBy("q", "rank").collect()
+    finally:
+        retrieval.QUESTION_TERMS = kept
+    assert [(r.q, r.rank, r.doc) for r in parts] == [(r.q, r.rank, r.doc) for r in whole] and len(whole) == 84
+    assert [r.doc for r in whole if r.q == 99] == [0, 1, 2, 3] and all(r.score == 0 for r in whole if r.q == 99)
+
+
+def test_readers_hold_to_their_contracts(spark, tmp_path):
+    paper = {"arxiv_id": "1", "title": "T", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u", "note": "more"}
+    write = lambda name, value: (tmp_path / name).write_text(json.dumps(value)) and f"{tmp_path}/{name}"
+    good = readers.metadata_records(spark, write("good.json", [paper, paper | {"arxiv_id": "2"}])).orderBy("index").collect()
+    assert [(r["index"], r.arxiv_id, r.authors) for r in good] == [(1, "1", ["A"]), (2, "2", ["A"])]
+    assert readers.metadata_records(spark, write("one.json", paper), single=True).first().arxiv_id == "1"
+    bad = [("second.json", [paper, paper | {"title": " "}], False, "record 2: blank: title"), ("empty.json", [], False, "no record"), ("object.json", paper, False, "no JSON array"), ("list.json", [paper], True, "no JSON object"), ("text.json", [1], False, "record 1: no object")]
+    for name, value, single, message in bad:
+        with pytest.raises(Exception, match=message):
+            readers.metadata_records(spark, write(name, value), single).collect()
+    (tmp_path / "none.txt").write_text("# nothing\n\n")
+    with pytest.raises(ValueError):
+        readers.id_list(spark, f"{tmp_path}/none.txt")
+    with pytest.raises(FileNotFoundError, match="a.jsonl.*b.jsonl"):
+        readers.dataset_tables(spark, {"chunks": f"{tmp_path}/a.jsonl", "papers": f"{tmp_path}/good.json", "more": f"{tmp_path}/b.jsonl"})
+    with pytest.raises(Exception, match="without entries"):
+        readers.atom(spark.createDataFrame([("<feed></feed>",)], "xml string")).collect()
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "long.jsonl").write_text("".join(json.dumps({"n": n, "pad": "x" * (n % 50)}) + "\n" for n in range(5000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = readers.jsonl(spark, f"{tmp_path}/long.jsonl")
+        assert rows.rdd.getNumPartitions() > 1
+        got = rows.select("line", F.variant_get("record", "$.n", "long").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted((r.line, r.n) for r in got) == [(n + 1, n) for n in range(5000)]
+
+
+def test_manifests(spark, tmp_path):
+    for name, text in (("metadata_a.json", "[]"), ("x.jsonl", '{"a": 1}\n\n{"a": 2}\n'), ("x_summary.json", "{}"), ("x_manual_review_summary.json", "{}"), ("other.txt", "x"), ("pilot_report.json", "{")):
+        (tmp_path / name).write_text(text)
+    found = manifest.discover(spark, str(tmp_path))
+    assert [(p.rsplit("/")[-1], r) for p, r in found] == [("metadata_a.json", "metadata"), ("x.jsonl", "jsonl_extractions"), ("x_summary.json", "summary"), ("x_manual_review_summary.json", "manual_review_summary"), ("pilot_report.json", "pilot_report")]
+    wanted = manifest.union(found, [(f"{tmp_path}/gone.json", "manual_review_summary")], found)
+    entries = gate.file_entries(spark, wanted, str(tmp_path))
+    doc = manifest.document(entries, "run", {"model": "m"})
+    assert doc["status"] == "WARN" and doc["missing_paths"] == [f"{tmp_path}/gone.json"] and [f["json_top_level_type"] for f in doc["files"]] == ["list", "jsonl", "object", "object", None, None]
+    assert doc["files"][1]["record_count"] == 2 and doc["files"][0]["relative_path"] == "metadata_a.json" and doc["run_context"]["model"] == "m"
+    sinks.write_report(spark, doc, f"{tmp_path}/manifest")
+    held = manifest.read(spark, f"{tmp_path}/manifest")
+    here, gone = manifest.missing_reviews(held.select(F.explode("files").alias("f")).select("f.*"))
+    assert here.count() == 1 and [r.path for r in gone.collect()] == [f"{tmp_path}/gone.json"]
+    reviews = spark.createDataFrame([("PASS", 3, 3, 3, 0, 0, 0), (None, 2, 1, 0, 1, 1, 0)], "status string, total_records long, fully_checked long, pass long, reject long, revise long, unclear long")
+    summaries = spark.createDataFrame([("PASS", 5), ("WARN", None)], "evaluation_status string, total_records long")
+    row = pilot.analysis(held, manifest.entries_of(held), summaries, reviews, None).first()
+    assert (row.recommendation, row.files, row.extraction_records, row.formal_records, row.total_records, row.reject) == ("FIX_TRACEABILITY", 6, 2, 5, 5, 1)
+    fine = held.withColumn("status", F.lit("PASS")).withColumn("missing_paths", F.array().cast("array<string>"))
+    told = lambda d, r: pilot.analysis(fine, manifest.entries_of(held), summaries, r, d).first()
+    assert told("REVISE", reviews.limit(0)).next_actions == pilot.UNREVIEWED and told("REVISE", reviews).next_actions == pilot.NEXT["REVISE_BEFORE_SCALING"] and told("odd", reviews).recommendation == "INVESTIGATE_GATE_STATUS"
+    paths = spark.createDataFrame([("x.jsonl",), ("old/x.jsonl",), ("/gone/x.jsonl",), ("no.txt",)], "path string")
+    known = spark.createDataFrame([("/base/x.jsonl",), ("/base/old/x.jsonl",)], "path string")
+    assert {r.path: r.resolved for r in manifest.resolved(paths, known, "/base").collect()} == {"x.jsonl": "/base/x.jsonl", "old/x.jsonl": "/base/x.jsonl", "/gone/x.jsonl": "/gone/x.jsonl", "no.txt": "no.txt"}
+
+
+def test_questions(spark):
+    papers = spark.createDataFrame([("p1", "a1"), ("p2", "a2"), ("p3", None)], "paper_id string, arxiv_id string")
+    rows = {r.question_id: r for r in questions.table(papers).collect()}
+    assert len(rows) == 8 and {r.question_type for r in rows.values()} <= set(questions.KINDS)
+    assert rows["q002"].expected_source_arxiv_ids == ["a2"] and rows["q006"].expected_source_arxiv_ids == ["a1", "a2"] and rows["q007"].expected_source_arxiv_ids == ["a1", "a2"]
+    assert {r.question_id: r.expected_source_arxiv_ids for r in questions.table(papers.limit(1)).collect()}["q002"] == ["a1"]
+
+
+def test_formal_summary(spark):
+    run_ = {"run_id": "r", "created_at": "c", "backend": "fake", "model": "fake", "prompt_version": "v", "prompt_template_sha256": "h", "extraction_schema_version": "s"}
+    source = {"arxiv_id": "1", "title": "t", "authors": ["A"], "categories": ["c"], "published": "p", "url": "u"}
+    extraction = {f: "x" for f in records.EXTRACTION} | {"confidence": "low"}
+    held = [{"source": source, "extraction": extraction, "run": run_}, {"source": source | {"authors": []}, "extraction": extraction | {"confidence": "certain"}, "run": run_ | {"model": " "}}, {"extraction": extraction, "run": run_}]
+    rows = spark.createDataFrame([(n, json.dumps(r)) for n, r in enumerate(held, 1)], "line long, text string").select("line", F.parse_json("text").alias("record"))
+    counts = {(r.field, r.value): r.records for r in records.group_counts(rows).collect()}
+    assert counts[("confidence", "low")] == 2 and counts[("confidence", "certain")] == 1 and counts[("model", "<missing>")] == 1
+    found = {r.kind: (r.records, r.lines) for r in records.finding_counts(records.findings(rows), 1).collect()}
+    assert found["source.authors"] == (2, [2]) and found["invalid confidence"] == (1, [2]) and found["run.model"] == (1, [2])
+    total = records.formal_summary(rows).first()
+    assert (total.total, total.records_with_source, total.records_with_findings, total.status) == (3, 2, 2, "WARN")
+    text = records.summary_text(rows, "x.jsonl", require_source=False)
+    assert "Records: 3" in text and "source.authors" not in text and "run.model: 1 record(s) [2]" in text and text.endswith("Evaluation status: WARN")
 
 
 def test_readers_and_sinks(spark, tmp_path):
