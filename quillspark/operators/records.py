@@ -90,7 +90,7 @@ def missing_fields(record: Column) -> Column:
 def findings(rows: DataFrame) -> DataFrame:
     """rows(line, record variant) -> (kind, line): each field that a record lacks, and each unknown confidence."""
     confidence = F.try_variant_get("record", "$.extraction.confidence", "string")
-    odd = F.when(~confidence.isin(CONFIDENCE), F.lit("invalid confidence"))
+    odd = F.when(~T.blank(confidence) & ~confidence.isin(CONFIDENCE), F.lit("invalid confidence"))
     return rows.select(F.explode(F.array_compact(F.concat(missing_fields(F.col("record")), F.array(odd)))).alias("kind"), "line")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, corpus, retrieval
+from . import answers, artifacts, corpus, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | corpus.QUERIES | answers.QUERIES
-ORACLES: dict[str, str] = retrieval.ORACLES | corpus.ORACLES | answers.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | corpus.QUERIES | answers.QUERIES | artifacts.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | corpus.ORACLES | answers.ORACLES | artifacts.ORACLES
