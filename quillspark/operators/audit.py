@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import spread
 
 # Source types that the audit and the validator allow, and the bounds of a chunk's length.
 AUDIT_TYPES = ["abstract", "section", "equation_context", "table_context", "unknown"]
@@ -36,19 +37,19 @@ def with_flags(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """chunks(paper_id, arxiv_id, title, section, source_type, text, ...) with quality_flags, an ordered array.
 
     Orphans come from a left join with the distinct paper ids, duplicates from counts of the text's digest that
-    join back, so that neither a hot paper nor a text with many copies collects its rows in one task.
+    join back, those above one alone, so that neither a hot paper nor a text with many copies collects its rows in one task.
     """
     ids = papers.select(F.col("paper_id").alias("__paper")).where("__paper IS NOT NULL").distinct().withColumn("__known", F.lit(True))
-    rows = chunks.withColumn("__norm", T.normalized_text(F.col("text"))).withColumn("__digest", F.sha2("__norm", 256)).drop("__norm")
-    counts = rows.groupBy("__digest").agg(F.count("*").alias("__copies"))
-    rows = rows.join(ids, T.trim(F.col("paper_id")) == F.col("__paper"), "left").join(counts, "__digest")
+    rows = spread(chunks).withColumn("__norm", T.normalized_text(F.col("text"))).withColumn("__digest", F.sha2("__norm", 256)).drop("__norm")
+    counts = rows.groupBy("__digest").agg(F.count("*").alias("__copies")).where("__copies > 1")
+    rows = rows.join(ids, T.trim(F.col("paper_id")) == F.col("__paper"), "left").join(counts, "__digest", "left")
     text, filled = F.col("text"), ~T.blank(F.col("text"))
     tests = [
         (~filled, "empty_text"), (T.blank(F.col("paper_id")), "missing_paper_id"), (T.blank(F.col("arxiv_id")), "missing_arxiv_id"),
         (T.blank(F.col("title")), "missing_title"), (T.blank(F.col("section")), "missing_section"),
         (~F.coalesce(T.trim(F.col("source_type")), F.lit("")).isin(AUDIT_TYPES), "unknown_source_type"),
         (filled & (F.length(text) < VERY_SHORT), "very_short_text"), (F.length(text) > VERY_LONG, "very_long_text"),
-        (~T.blank(F.col("paper_id")) & F.col("__known").isNull(), "orphan_chunk"), (filled & (F.col("__copies") > 1), "duplicate_text_candidate"),
+        (~T.blank(F.col("paper_id")) & F.col("__known").isNull(), "orphan_chunk"), (filled & F.col("__copies").isNotNull(), "duplicate_text_candidate"),
     ]
     flags = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in tests]))
     return rows.withColumn("quality_flags", flags).drop("__digest", "__copies", "__paper", "__known")

@@ -23,8 +23,12 @@ def window_bounds(n: Column, target: int, overlap: int, least_tail: int) -> Colu
 
 
 def windows(sections: DataFrame, target: int = 400, overlap: int = 60, least_tail: int = 80) -> DataFrame:
-    """sections(paper_id, pos, text, ...) -> one row per window: chunk_no (runs through the paper), text, word_count."""
-    rows = sections.withColumn("__w", T.words(F.col("text"))).withColumn("__b", window_bounds(F.size("__w"), target, overlap, least_tail))
+    """sections(paper_id, pos, text, ...) -> one row per window: chunk_no (runs through the paper), text, word_count.
+
+    Sections are exchanged by paper before they are split, so one large file is split up by all tasks, and numbering the
+    windows of a paper needs no further exchange. A paper's windows meet in one task.
+    """
+    rows = sections.repartition("paper_id").withColumn("__w", T.words(F.col("text"))).withColumn("__b", window_bounds(F.size("__w"), target, overlap, least_tail))
     rows = rows.select("*", F.posexplode("__b").alias("window", "__at"))
     piece = F.array_join(F.slice("__w", F.col("__at.start") + 1, F.col("__at.size")), " ")
     order = Window.partitionBy("paper_id").orderBy("pos", "window")

@@ -30,6 +30,12 @@ def if_small(table: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it lies in fewer splits than there are cores, as one small file does: text is worked on by all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     ensure_checkpoint_dir(spark)

@@ -178,6 +178,53 @@ def debug_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("q").alias("item_id"), F.regexp_extract("section", r"(?m)^Expected chunks: (\d+)$", 1).cast("long").alias("expected_chunks"), F.regexp_extract("section", r"(?m)^Most terms in common: (\d+),", 1).cast("long").alias("best_overlap"))
 
 
+def metadata_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as metadata records that break one rule or another, or none."""
+    text = F.col("doc_id").cast("string")
+    case = F.col("doc_id") % 7
+    record = F.struct(
+        F.when(case != 1, text).alias("arxiv_id"), F.when(case == 2, F.lit(" ")).otherwise("t").alias("title"), F.when(case == 3, F.to_json(F.array(F.lit(1)))).otherwise(F.to_json(F.array("source"))).alias("authors"),
+        F.lit("We do.").alias("abstract"), F.to_json(F.array("lang")).alias("categories"), F.lit("2020").alias("published"), F.lit("u").alias("url"),
+    )
+    body = F.regexp_replace(F.replace(F.to_json(record), F.lit("\\\""), F.lit("\"")), r'"(\[[^\]]*\])"', "$1")
+    rows = _t(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.parse_json(body).alias("record"))
+    return rows.select("doc_id", F.coalesce(records.metadata_error(F.col("record")), F.lit("valid")).alias("status"))
+
+
+def run_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.col("doc_id") % 4
+    names = ["run_id", "backend", "prompt_version", "extraction_schema_version"]
+    run = F.struct(*[F.lit("x").alias(n) for n in names], F.when(case == 1, " ").otherwise("m").alias("model"), F.when(case == 2, "now").otherwise("2020Z").alias("created_at"), F.when(case == 3, "0").otherwise(F.sha2("source", 256)).alias("prompt_template_sha256"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.coalesce(dataset.run_error(run), F.lit("valid")).alias("status"))
+
+
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut with a mark, models' names for files, bytes read as UTF-8 or Latin-1, single values as lists."""
+    docs = _t(spark, sf_dir, "documents")
+    bytes_ = F.when(F.col("doc_id") % 2 == 0, F.col("source").cast("binary")).otherwise(F.encode(F.concat("source", F.lit("é")), "ISO-8859-1"))
+    name = F.concat("lang", F.lit(":"), "source", F.lit("/1.5"))
+    return docs.select("doc_id", F.md5(T.truncate(F.col("text"), 200).cast("binary")).alias("cut_md5"), T.model_slug(F.when(F.col("doc_id") % 3 == 0, "fake").otherwise("other"), name).alias("slug"), T.decode(bytes_).alias("read"), F.size(T.as_list(F.when(F.col("doc_id") % 5 > 0, F.col("lang")))).cast("long").alias("listed"))
+
+
+def dataset_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = _t(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    papers = docs.select(text.alias("paper_id"), F.concat(F.lit("a"), text).alias("arxiv_id"), F.col("source").alias("title"), F.when(F.col("doc_id") % 3 > 0, "success").otherwise("failed").alias("parsing_status"))
+    found = docs.select(text.alias("paper_id"), F.when(F.col("doc_id") % 2 > 0, "eq_001").alias("equation_id"))
+    return dataset.equations_v0(found, papers).select(F.col("paper_id").cast("long").alias("doc_id"), "global_equation_id", "title")
+
+
+def abstracts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).cast("string").alias("arxiv_id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(" ").alias("abstract"))
+    known = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), (F.col("item_id") % 30).cast("string").alias("arxiv_id"), F.when(F.col("item_id") % 4 > 0, F.concat(F.lit("item "), F.col("item_id").cast("string"))).otherwise("").alias("abstract"))
+    return records.with_abstract(docs, known).select("doc_id", "abstract")
+
+
+def prefixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, said = _t(spark, sf_dir, "benchmark"), F.concat(F.lit("item "), F.col("item_id").cast("string"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), A.with_prefix(said, name, "query").alias("query"), A.with_prefix(said, name, "passage").alias("passage")) for name in A.MODELS]))
+    return rows.select("item_id", each.alias("e")).select("item_id", "e.*")
+
+
 def hashed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions against documents by hashed vectors of 64 places: the three best, those of score zero and below included."""
     slot = lambda t: V.md5_slot(t, 64)
@@ -192,6 +239,7 @@ QUERIES = {
     for f in (
         formal_groups, formal_findings, formal_status, jsonl_round_trip, jsonl_quarantine, metadata_round_trip, id_list_round_trip, report_round_trip, vector_cache, file_entries,
         roles_by_name, resolved_paths, pilot_analysis, question_table, failed_papers, answer_sheets, debug_sections, hashed_top_k,
+        metadata_contract, run_contract, text_helpers, dataset_equations, abstracts_filled, prefixed_texts,
     )
 }
 
@@ -244,4 +292,13 @@ s AS (SELECT q.id AS q, d.id AS doc, sum(q.w * d.w) AS score FROM q JOIN d USING
 a AS (SELECT q.id AS q, d.id AS doc FROM (SELECT DISTINCT id FROM q) q CROSS JOIN (SELECT DISTINCT id FROM d) d),
 r AS (SELECT a.q, a.doc, coalesce(s.score, 0) AS score, row_number() OVER (PARTITION BY a.q ORDER BY round(coalesce(s.score, 0), 9) DESC, a.doc) AS rank FROM a LEFT JOIN s ON s.q = a.q AND s.doc = a.doc QUALIFY rank <= 3)
 SELECT q AS item_id, rank, doc AS doc_id, round(score, 6) AS score FROM r""",
+    "metadata_contract": """SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'missing: arxiv_id' WHEN 2 THEN 'blank: title' WHEN 3 THEN 'not a list of strings: authors' ELSE 'valid' END AS status FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""",
+    "run_contract": "SELECT doc_id, ['valid', 'blank: model', 'not in UTC: created_at', 'no digest: prompt_template_sha256'][doc_id % 4 + 1] AS status FROM documents",
+    "text_helpers": r"""SELECT doc_id, md5(CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(substr(text, 1, 176), '\s+$', '') || chr(10) || chr(10) || '[abstract truncated]' END) AS cut_md5,
+CASE WHEN doc_id % 3 = 0 THEN 'fake' ELSE lang || '_' || source || '_1_5' END AS slug, CASE WHEN doc_id % 2 = 0 THEN source ELSE source || 'é' END AS read, CASE WHEN doc_id % 5 > 0 AND lang IS NOT NULL THEN 1 ELSE 0 END AS listed FROM documents""",
+    "dataset_equations": "SELECT doc_id, CASE WHEN doc_id % 2 > 0 THEN doc_id || '_eq_001' ELSE doc_id || '_' END AS global_equation_id, source AS title FROM documents WHERE doc_id % 3 > 0",
+    "abstracts_filled": """WITH k AS (SELECT (item_id % 30)::VARCHAR AS id, arg_max('item ' || item_id, item_id) AS abstract FROM benchmark WHERE item_id % 4 > 0 GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(coalesce(source, '')) <> '' THEN source ELSE coalesce(k.abstract, '') END AS abstract FROM documents LEFT JOIN k ON k.id = (doc_id % 40)::VARCHAR""",
+    "prefixed_texts": """SELECT item_id, m AS model, CASE WHEN m = 'e5-small-v2' THEN 'query: ' ELSE '' END || 'item ' || item_id AS query, CASE WHEN m = 'e5-small-v2' THEN 'passage: ' ELSE '' END || 'item ' || item_id AS passage
+FROM benchmark, (SELECT unnest(['all-MiniLM-L6-v2', 'e5-small-v2', 'bge-m3']) AS m)""",
 }
