@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import time
 import uuid
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import answers, dataset, evaluate, gate, records, reports, retrieval
+from .operators import answers, audit, dataset, evaluate, gate, records, reports, retrieval
+from .operators import manifest as manifests
+from .operators import pilot as pilots
+from .operators import questions as question_tables
 from .operators.shared import frozen
 from .sources import readers, sinks
 
@@ -71,10 +75,21 @@ def preview(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def summary(spark: SparkSession, a: argparse.Namespace) -> int:
-    row = _show(records.formal_summary(readers.jsonl(spark, a.input), not a.without_source))
+    """A formal summary, printed; with --out also written as a document."""
+    rows = readers.jsonl(spark, a.input)
+    print(records.summary_text(rows, a.input, not a.without_source))
+    row = _show(records.formal_summary(rows, not a.without_source))
+    if a.out:
+        sinks.write_report(spark, formal_document(rows, row), a.out)
     return int(a.strict and row["status"] != "PASS")
 
 
+def formal_document(rows: DataFrame, row: dict) -> dict:
+    counts = records.group_counts(rows).collect()
+    groups = {f"{name}_counts": {r["value"]: r["records"] for r in counts if r["field"] == name} for name in records.GROUPS}
+    return {"total_records": row["total"], "records_with_source": row["records_with_source"], "evaluation_status": row["status"], **groups, "missing_fields": {r["kind"]: r["records"] for r in records.finding_counts(records.findings(rows)).collect()}}
+
+
 def checklist(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = readers.jsonl(spark, a.input).orderBy("line").limit(a.limit)
     reports.write(rows.select("line", reports.review_section(F.col("line"), F.col("record")).alias("sheet")), "sheet", ["line"], a.out)
@@ -133,6 +148,72 @@ def pilot(spark: SparkSession, a: argparse.Namespace) -> int:
     return main(["gate", "--input", files, "--reviews", sheets, *(["--strict"] if a.strict else [])])
 
 
+def benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Two sets of metadata through the same extraction; their formal summaries and a report; with --workflow also sheets, inventory and gate."""
+    groups, files = {}, []
+    for name, source in (("query_a", a.first), ("query_b", a.second)):
+        out = f"{a.out}/{name}"
+        main(["extract", "--input", source, "--out", out])
+        rows = readers.jsonl(spark, out)
+        row = records.formal_summary(rows).first().asDict()
+        sinks.write_report(spark, formal_document(rows, row), f"{a.out}/{name}_summary")
+        groups[name] = {"input_records": readers.metadata(spark, source).count(), "output_records": row["total"], "evaluation_status": row["status"]}
+        files += [(source, "metadata")]
+        if a.workflow:
+            main(["checklist", "--input", out, "--out", f"{a.out}/{name}_sheets", "--limit", str(row["total"])])
+    fine = all(g["evaluation_status"] == "PASS" and g["input_records"] == g["output_records"] for g in groups.values())
+    report = {"formal_status": "PASS" if fine else "WARN", "backend": "fake", "model": "fake", "prompt_template_sha256": records.prompt_sha256(), "groups": groups}
+    sinks.write_report(spark, report, f"{a.out}/report")
+    print(f"formal_status: {report['formal_status']}")
+    if a.workflow:
+        main(["manifest", "--out", f"{a.out}/manifest", *[f"{role}={path}" for path, role in files]])
+        return main(["gate", "--input", f"{a.out}/manifest", "--reviews", *[f"{a.out}/{n}_sheets" for n in groups], *(["--strict"] if a.strict else [])])
+    return int(a.strict and not fine)
+
+
+def analyse(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A manifest document, formal summaries, review summaries and the gate's decision: what a pilot has come to."""
+    held = manifests.read(spark, a.manifest)
+    none = lambda schema: spark.createDataFrame([], schema)
+    formal = "evaluation_status string, total_records long"
+    reviewed_ = "status string, total_records long, fully_checked long, pass long, reject long, revise long, unclear long"
+    read = lambda paths, schema: spark.read.schema(schema).option("multiLine", True).json(paths) if paths else none(schema)
+    row = frozen(pilots.analysis(held, manifests.entries_of(held), read(a.summaries, formal), read(a.reviews, reviewed_), a.decision)).first().asDict()
+    print("\n".join(f"{k}: {v}" for k, v in row.items()))
+    sinks.write_report(spark, row | {"role_counts": {r["role"]: r["files"] for r in gate.role_counts(manifests.entries_of(held)).collect()}}, a.out)
+    return int(a.strict and row["recommendation"] != "READY_FOR_NEXT_PILOT_CYCLE")
+
+
+def build(spark: SparkSession, a: argparse.Namespace) -> int:
+    """What `parse` has made, with the papers' metadata, as a dataset: chunks, papers, equations, questions, report and manifest."""
+    if T.is_blank(a.domain):
+        raise ValueError("a dataset needs a domain")
+    parsed = {n: spark.read.parquet(f"{a.input}/{n}") for n in ("papers", "chunks", "equations")}
+    known = readers.metadata(spark, a.metadata).select(T.safe_paper_id(F.col("arxiv_id")).alias("paper_id"), "arxiv_id", "title", "abstract").dropDuplicates(["paper_id"])
+    own = parsed["papers"].join(known, "paper_id", "left").withColumns({"source_type": F.lit("latex_source"), "paper_dir": F.concat(F.lit(f"{a.input}/papers/"), "paper_id")})
+    papers_ = frozen(dataset.included(own))
+    chunks = parsed["chunks"].withColumnsRenamed({"heading": "section_heading"}).withColumns({"source_type": F.lit("section"), "title": F.lit(None).cast("string")})
+    chunks = frozen(dataset.chunks_v0(chunks, papers_, a.domain, a.input))
+    tables = {"chunks": chunks, "papers": papers_, "equations": dataset.equations_v0(parsed["equations"], papers_), "eval_questions": question_tables.table(papers_)}
+    for name, rows in tables.items():
+        sinks.write_jsonl(rows, f"{a.out}/{name}")
+    validation = frozen(audit.validate_chunks(chunks, papers_))
+    reports.write(reports.quality_report(validation, audit.quality_counts(chunks, papers_), "Chunks"), "report", [], f"{a.out}/report")
+    row = _show(validation)
+    counts = {name: readers.numbered_lines(spark, f"{a.out}/{name}").count() for name in tables}
+    sinks.write_report(spark, {"source": a.input, "domain": a.domain, "counts": counts, "files": {n: f"{a.out}/{n}" for n in tables}, "validation": row}, f"{a.out}/manifest")
+    return int(a.strict and row["status"] != "PASS")
+
+
+def smoke(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A pilot over made-up papers, to see that everything runs offline."""
+    paper = lambda n: {"arxiv_id": str(n), "title": f"Paper {n}", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}
+    spark.createDataFrame([json.dumps([paper(n) for n in range(10)])], "string").coalesce(1).write.mode("overwrite").text(f"{a.out}/metadata")
+    main(["pilot", "--input", f"{a.out}/metadata", "--out", f"{a.out}/pilot"])
+    print("smoke: done")
+    return 0
+
+
 def parse(spark: SparkSession, a: argparse.Namespace) -> int:
     """Downloaded sources, a file each, to sections, equations, chunks and papers."""
     blobs = spark.read.format("binaryFile").load(a.input).select(T.safe_paper_id(F.regexp_extract("path", r"([^/]+?)(?:\.[a-z.]+)?$", 1)).alias("paper_id"), "content")
@@ -236,6 +317,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--out")
     one.add_argument("--limit", type=int, default=10)
     one = add("summary", summary, "input")
+    one.add_argument("--out")
     one.add_argument("--strict", action="store_true")
     one.add_argument("--without-source", action="store_true")
     add("checklist", checklist, "input", "out").add_argument("--limit", type=int, default=10)
@@ -250,6 +332,16 @@ def parser() -> argparse.ArgumentParser:
     one = add("pilot", pilot, "input", "out")
     one.add_argument("--small", action="store_true")
     one.add_argument("--strict", action="store_true")
+    one = add("benchmark", benchmark, "first", "second", "out")
+    one.add_argument("--workflow", action="store_true")
+    one.add_argument("--strict", action="store_true")
+    one = add("analyse", analyse, "manifest", "out")
+    one.add_argument("--summaries", nargs="*", default=[])
+    one.add_argument("--reviews", nargs="*", default=[])
+    one.add_argument("--decision", choices=gate.VERDICTS)
+    one.add_argument("--strict", action="store_true")
+    add("dataset", build, "input", "metadata", "domain", "out").add_argument("--strict", action="store_true")
+    add("smoke", smoke, "out")
     add("parse", parse, "input", "out")
     add("second", second, "input", "out")
     for name, run in (("retrieve", retrieve), ("ask", ask), ("embed", embed)):

@@ -225,6 +225,21 @@ def prefixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", each.alias("e")).select("item_id", "e.*")
 
 
+def sniffed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as downloaded sources: plain markup, PDF, a page that says nothing is there, anything else."""
+    forms = F.array(F.concat(F.lit("\\documentclass{a} "), F.coalesce("source", F.lit(""))), F.lit("%PDF-1.4 x"), F.lit("<HTML>none</HTML>"), F.concat(F.lit("odd "), F.col("doc_id").cast("string")))
+    blobs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.element_at(forms, (F.col("doc_id") % 4 + 1).cast("int")).cast("binary").alias("content"))
+    return readers.sniff(blobs).select(F.col("paper_id").cast("long").alias("doc_id"), "status", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as feeds of two entries each, one of them without an abstract."""
+    text = F.col("doc_id").cast("string")
+    entry = lambda n, said: F.concat(F.lit("<entry><id>http://x.org/abs/"), text, F.lit(f".{n}v1</id><title> Paper\n "), text, F.lit(f"</title><summary>{said}</summary><author><name>A B</name></author><category term='"), "lang", F.lit("'/><published>2020</published></entry>"))
+    feeds = _t(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry(1, "We  do."), entry(2, ""), F.lit("</feed>")).alias("xml"))
+    return readers.atom(feeds).select("arxiv_id", "title", "abstract", F.array_join("authors", ",").alias("authors"), F.array_join("categories", ",").alias("categories"), "url")
+
+
 def hashed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions against documents by hashed vectors of 64 places: the three best, those of score zero and below included."""
     slot = lambda t: V.md5_slot(t, 64)
@@ -239,7 +254,7 @@ QUERIES = {
     for f in (
         formal_groups, formal_findings, formal_status, jsonl_round_trip, jsonl_quarantine, metadata_round_trip, id_list_round_trip, report_round_trip, vector_cache, file_entries,
         roles_by_name, resolved_paths, pilot_analysis, question_table, failed_papers, answer_sheets, debug_sections, hashed_top_k,
-        metadata_contract, run_contract, text_helpers, dataset_equations, abstracts_filled, prefixed_texts,
+        metadata_contract, run_contract, text_helpers, dataset_equations, abstracts_filled, prefixed_texts, sniffed_sources, atom_entries,
     )
 }
 
@@ -301,4 +316,7 @@ CASE WHEN doc_id % 3 = 0 THEN 'fake' ELSE lang || '_' || source || '_1_5' END AS
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(coalesce(source, '')) <> '' THEN source ELSE coalesce(k.abstract, '') END AS abstract FROM documents LEFT JOIN k ON k.id = (doc_id % 40)::VARCHAR""",
     "prefixed_texts": """SELECT item_id, m AS model, CASE WHEN m = 'e5-small-v2' THEN 'query: ' ELSE '' END || 'item ' || item_id AS query, CASE WHEN m = 'e5-small-v2' THEN 'passage: ' ELSE '' END || 'item ' || item_id AS passage
 FROM benchmark, (SELECT unnest(['all-MiniLM-L6-v2', 'e5-small-v2', 'bge-m3']) AS m)""",
+    "sniffed_sources": """SELECT doc_id, ['latex_source', 'unavailable', 'unavailable', 'error'][doc_id % 4 + 1] AS status, CASE WHEN doc_id % 4 = 0 THEN 'main.tex' ELSE '' END AS path,
+['', 'pdf_fallback_skipped', 'source_unavailable', 'archive_extract_error'][doc_id % 4 + 1] AS error FROM documents""",
+    "atom_entries": "SELECT doc_id || '.1v1' AS arxiv_id, 'Paper ' || doc_id AS title, 'We do.' AS abstract, 'A B' AS authors, lang AS categories, 'https://arxiv.org/abs/' || doc_id || '.1v1' AS url FROM documents WHERE lang IS NOT NULL",
 }

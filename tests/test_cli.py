@@ -68,3 +68,38 @@ def test_abstracts(spark):
     rows = spark.createDataFrame([("1", "own"), ("1", " "), ("2", None), (None, None)], "arxiv_id string, abstract string")
     known = spark.createDataFrame([(1, "1", "old"), (2, "1", "new"), (3, "1", "")], "pos long, arxiv_id string, abstract string")
     assert sorted(r.abstract for r in records.with_abstract(rows, known).collect()) == ["", "", "new", "own"]
+
+
+def test_benchmark_and_analysis(spark, tmp_path, capsys):
+    paper = lambda n: {"arxiv_id": str(n), "title": f"T{n}", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}
+    for name, rows in (("a", [paper(1), paper(2)]), ("b", [paper(3)]), ("c", [paper(4) | {"title": " "}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    path = lambda n: str(tmp_path / n)
+    assert main(["benchmark", "--first", path("a.json"), "--second", path("b.json"), "--out", path("o"), "--strict"]) == 0 and "formal_status: PASS" in capsys.readouterr().out
+    assert main(["benchmark", "--first", path("a.json"), "--second", path("b.json"), "--out", path("w"), "--workflow", "--strict"]) == 1 and "decision: REVISE" in capsys.readouterr().out
+    held = spark.read.option("multiLine", True).json(path("o/query_a_summary")).first()
+    assert held.total_records == 2 and held.evaluation_status == "PASS" and held.backend_counts.fake == 2
+    doc = {"name": "x", "status": "PASS", "missing_paths": [], "files": [{"path": "p", "role": "jsonl_extractions", "exists": True, "record_count": 2}]}
+    (tmp_path / "m.json").write_text(json.dumps(doc))
+    said = ["analyse", "--manifest", path("m.json"), "--out", path("an"), "--summaries", path("o/query_a_summary")]
+    assert main(said) == 0 and "recommendation: RUN_QUALITY_GATE" in capsys.readouterr().out
+    assert main([*said, "--decision", "ACCEPT", "--strict"]) == 0 and "formal_records: 2" in capsys.readouterr().out
+    assert spark.read.option("multiLine", True).json(path("an")).first().role_counts.jsonl_extractions == 1
+
+
+def test_dataset(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "1705.0001v1.gz").write_bytes(b"\\documentclass{a}\\begin{document}\\section{One} some words \\[ x \\]\\end{document}")
+    (tmp_path / "m.json").write_text(json.dumps([{"arxiv_id": "1705.0001v1", "title": "T", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}]))
+    assert main(["parse", "--input", str(tmp_path / "src"), "--out", str(tmp_path / "o")]) == 0
+    assert main(["dataset", "--input", str(tmp_path / "o"), "--metadata", str(tmp_path / "m.json"), "--domain", "d", "--out", str(tmp_path / "d"), "--strict"]) == 0
+    assert "status: PASS" in capsys.readouterr().out
+    held = spark.read.option("multiLine", True).json(str(tmp_path / "d/manifest")).first()
+    assert held.counts.asDict() == {"chunks": 1, "papers": 1, "equations": 1, "eval_questions": 8}
+    assert spark.read.json(str(tmp_path / "d/chunks")).first().metadata.domain == "d"
+    with pytest.raises(ValueError):
+        main(["dataset", "--input", "x", "--metadata", "x", "--domain", " ", "--out", "x"])
+
+
+def test_smoke(spark, tmp_path, capsys):
+    assert main(["smoke", "--out", str(tmp_path)]) == 0 and "smoke: done" in capsys.readouterr().out
