@@ -26,7 +26,7 @@ BLOCK = 1 << 16
 #: The pipeline's stage takes 5 words and also links texts whose sets of shingles have this Jaccard similarity. They are
 #: looked for in BANDS bands of ROWS minima: 1 - (1 - 0.8**5)**12 = 0.99 of the pairs at 0.8 share a band.
 STAGE_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
-#: Of a band's texts that agree, all pairs up to so many texts; beyond, in rounds, each with the first that is left.
+#: Of a band's texts that agree, all pairs up to so many texts; beyond, each with one of them.
 PAIRS = 12
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -236,35 +236,37 @@ def similar_edges(docs: DataFrame, each: DataFrame, words: int, similarity: floa
     """docs and each (fp, mark, keys) -> edges (a, b) between fingerprints of texts whose sets of shingles, compared in full, are as similar.
 
     Texts that share a band's key are candidates. Up to PAIRS of them are paired with each other. Of more, a third of
-    all texts perhaps, each is compared with the first of them; those that are similar to none of the texts chosen
-    go on to another round among themselves, with four times as many chosen, until few are left. A family of near
-    copies is settled in one round, so pairs grow with the texts and not with their square.
+    all texts perhaps, each is compared with the one that most others agree with over all its bands, as the original of a
+    family of near copies does. Those that are not similar to it are dealt anew by two bands at a time, where fewer
+    agree, and once more compared in the same way. So pairs grow with the texts and not with their square.
     """
     node = F.struct("mark", "fp").alias("node")
     texts = each.groupBy("mark").agg(F.first(F.struct("fp", "keys")).alias("own")).select("mark", "own.*")
-    held, done, chosen = frozen(shared_keys(texts.select(node, F.posexplode("keys").alias("band", "key")))), None, 0
-    bucket = ["band", "key"]
-    while not held.isEmpty():
+    level, done, bucket = texts.select(node, F.posexplode("keys").alias("band", "key")), None, ["band", "key"]
+    for last in (False, True):
+        held = frozen(shared_keys(level))
         few = held.where(F.col("n") <= PAIRS).groupBy(*bucket).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
         left = few.select("nodes", F.posexplode("nodes").alias("at", "a"))
         pairs = left.select("a", F.explode(F.slice("nodes", F.col("at") + 2, PAIRS)).alias("b"))
-        many = held.where(F.col("n") > PAIRS)
-        first = many.where((F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(chosen)), "n") < chosen)).select(*bucket, F.col("node").alias("a"))
-        met = frozen(split_join(many.select(*bucket, F.col("node").alias("b")), first, bucket, "inner").where("a <> b"))
+        many = held.where(F.col("n") > PAIRS).select("node", *bucket, "n")
+        degrees = many.groupBy("node").agg(F.sum("n").alias("degree"))
+        centres = many.join(degrees, "node").groupBy(*bucket).agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
+        met = frozen(split_join(many.select(*bucket, F.col("node").alias("b")), centres, bucket, "inner").where("a <> b"))
         pairs = frozen(pairs.union(met.select("a", "b")).where("a.fp <> b.fp").distinct())
         found = frozen(similar(docs, pairs, words, similarity))
         done = found if done is None else done.union(found)
-        solved = met.join(found, ["a", "b"], "left_semi").union(met.where("a.fp = b.fp").select("a", "b", *bucket)).select(*bucket, F.col("b").alias("node"))
-        solved = solved.union(first.select(*bucket, F.col("a").alias("node")))
-        held = frozen(shared_keys(many.select("node", *bucket).join(solved, [*bucket, "node"], "left_anti")))
-        chosen = max(4, 4 * chosen)
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    return none if done is None else done.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        if last or met.isEmpty():
+            break
+        apart = met.where("a.fp <> b.fp").join(found, ["a", "b"], "left_anti")
+        own = apart.groupBy(F.col("b").alias("node")).agg(F.sort_array(F.collect_list(F.struct(*bucket))).alias("own"))
+        twos = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, BANDS), lambda y: F.struct((x["band"] * BANDS + y["band"]).alias("band"), F.xxhash64(x["key"], y["key"]).alias("key")))))
+        level = own.select("node", F.explode(twos).alias("two")).select("node", "two.*")
+    return done.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def shared_keys(banded: DataFrame) -> DataFrame:
-    """banded (node, band, key) with n, how many nodes share the key, and the first of them, where there are several."""
-    shared = banded.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    """banded (node, band, key) with n, how many nodes share the key, where there are several."""
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     return split_join(banded, shared, ["band", "key"], "inner")
 
 
