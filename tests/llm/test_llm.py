@@ -167,6 +167,26 @@ def test_stage_drops_similar_texts(spark):
     assert {2 * k for k in range(300)} <= kept
 
 
+def test_families_are_found_through_their_original(spark, monkeypatch):
+    """Many variants that are similar to one text and not to each other: pairs grow with the variants, not with their square."""
+    rng = np.random.default_rng(12)
+    rows, met = [], []
+    for family in range(3):
+        own = [f"f{family}w{n}" for n in range(100)]
+        rows.append((1000 * family + 500, " ".join(own)))
+        for k in range(300):
+            copy = list(own)
+            for at in rng.choice(100, 2, replace=False):
+                copy[at] = f"changed{k}"
+            rows.append((1000 * family + (k if k < 500 else k + 1), " ".join(copy)))
+    docs, real = spark.createDataFrame(rows, "doc_id long, text string"), simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda docs, pairs, words, similarity: (met.append(pairs.count()), real(docs, pairs, words, similarity))[1])
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
+    close = {i for i, _ in rows if i % 1000 != 500 and len(sets[i] & sets[i - i % 1000 + 500]) / len(sets[i] | sets[i - i % 1000 + 500]) >= 0.8}
+    assert len(close) > 700 and len(close & kept) <= 3 + 0.05 * len(close) and sum(met) < 20 * len(rows)
+
+
 def test_trees_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
