@@ -227,6 +227,7 @@ def parse(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def second(spark: SparkSession, a: argparse.Namespace) -> int:
     """Chunks and papers (JSON lines with pos) to the second form and the map of ids."""
+    readers.require(spark, f"{a.input}/chunks", f"{a.input}/papers")
     chunks = spark.read.schema(CHUNK).json(f"{a.input}/chunks").withColumn("section", F.coalesce("section", "section_heading"))
     out = dataset.chunks_v1(chunks, spark.read.schema("pos long, paper_id string, arxiv_id string, title string").json(f"{a.input}/papers"))
     out.write.mode("overwrite").parquet(f"{a.out}/chunks")
@@ -236,6 +237,7 @@ def second(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _dataset(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, questions, what is expected)"""
+    readers.require(spark, a.chunks, a.questions)
     chunks = spark.read.schema(CHUNK).json(a.chunks).withColumn("doc", F.col("chunk_id"))
     questions = spark.read.schema(QUESTION).json(a.questions).withColumnRenamed("question_id", "q")
     return chunks, questions, questions.select("q", F.lit("arxiv_id").alias("field"), F.explode("expected_source_arxiv_ids").alias("value"))

@@ -104,12 +104,11 @@ def recommendation(manifest_status: Column, missing: Column, decision: Column) -
     )
 
 
-def file_entries(spark, wanted: list[tuple[str, str]], base: str | None = None, whole: bool = True) -> DataFrame:
+def file_entries(spark, wanted: list[tuple[str, str]], base: str | None = None) -> DataFrame:
     """(path, role) pairs, each once -> one row each: exists, size_bytes, sha256, record_count, json_top_level_type, with base also relative_path.
 
     The files asked for, and no others, are listed and read by Spark, so any store will do; missing ones are found by
-    a left join. A file is read whole in one row, as its digest needs it; without whole only size and existence are told.
-    Folders of files, as Spark writes them, are there with the size of nothing.
+    a left join. A file is read whole in one row, as its digest needs it.
     """
     if any(T.is_blank(role) for _, role in wanted):
         raise ValueError("a file needs a role")
@@ -125,7 +124,7 @@ def file_entries(spark, wanted: list[tuple[str, str]], base: str | None = None,
             if "PATH_NOT_FOUND" in str(error):
                 continue
             raise
-        known = known.union(own.select("path", "length", *(["content"] if whole else [F.lit(None).cast("binary").alias("content")])))
+        known = known.union(own.select("path", "length", "content"))
     content = F.col("content").cast("string")
     top = F.schema_of_variant(F.try_parse_json(content))
     records = F.when(F.col("path").endswith(".jsonl"), F.size(F.filter(F.split(content, "\n"), lambda x: ~T.blank(x))).cast("long"))

@@ -90,14 +90,26 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def dataset_tables(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
-    """name -> path of JSON lines; all are there, or the error names every one that isn't."""
-    from ..operators import gate
+def require(spark: SparkSession, *paths: str) -> None:
+    """All paths, files or folders, are there, or the error names every one that isn't."""
 
-    entries = gate.file_entries(spark, [(path, name) for name, path in files.items()], whole=False)
-    lacking = [r["path"] for r in entries.where("NOT exists").orderBy("pos").collect()]
+    def there(path: str) -> bool:
+        try:
+            spark.read.format("binaryFile").load(path)
+        except Exception as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return False
+            raise
+        return True
+
+    lacking = [path for path in paths if not there(path)]
     if lacking:
         raise FileNotFoundError("not there: " + ", ".join(lacking))
+
+
+def dataset_tables(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
+    """name -> path of JSON lines, a file or a folder of them -> name -> its lines; all paths must be there."""
+    require(spark, *files.values())
     return {name: jsonl(spark, path) for name, path in files.items()}
 
 
