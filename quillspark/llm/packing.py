@@ -16,8 +16,8 @@ from .common import by_bytes, frozen, pick, small_batches, totals_before
 WINDOW, END_ID = 2048, 1
 #: Runs of text whose ids a task remembers before it starts anew: a bound on memory, not on the work.
 CACHED = 400_000
-#: Pieces of one length that are numbered by one task, about.
-NUMBERED = 2048
+#: Pieces of one length that are numbered by one task, about: as many as a task has of other lengths.
+NUMBERED = 512
 
 
 def default_tokenizer() -> str:
