@@ -129,10 +129,10 @@ class Trie:
     def _alone(self, token: bytes) -> tuple[int, float]:
         """The same along one path, for very long pre-tokens."""
         best, tokens = [0.0], [0]
-        score, longest = self.model.score, self.model.longest
+        score, lengths = self.model.score, sorted(self.vocabulary.by_length, reverse=True)
         for end in range(1, len(token) + 1):
             top, count = -math.inf, 0
-            for start in range(max(0, end - longest), end):
+            for start in [end - n for n in lengths if n <= end]:
                 s = score.get(token[start:end])
                 if s is not None and best[start] + s > top:
                     top, count = best[start] + s, tokens[start] + 1
