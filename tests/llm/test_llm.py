@@ -599,6 +599,26 @@ def test_longer_keys_keep_recall(spark):
     assert embeddings.key_bits(10**4) == (10, 0) and embeddings.key_bits(2**27)[0] == 17
 
 
+def test_very_long_texts_and_ties(spark):
+    """Texts of some million characters, one of them a single word; equal texts and equal ids."""
+    body = [f"w{n * n % 99991}" for n in range(300_000)]
+    rows = [(1, " ".join(body)), (2, " ".join([*body, "end"])), (3, "x" * 150_000), (4, "tie one"), (5, "tie one"), (5, "tie one"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    assert {i: r.group_size for i, r in by_id(exact.exact_groups(docs)).items()} == {1: 1, 2: 1, 3: 1, 4: 3, 5: 3, 6: 1}
+    near = by_id(simhash.near_groups(docs))
+    assert near[1].component_id == near[2].component_id == 1 and near[5].component_id == 4 and near[3].component_id == 3
+    assert near[1].fingerprint == f"{slow_fingerprint(rows[0][1], 4):016x}"
+    counts = by_id(tokencount.token_counts(docs))
+    assert counts[1].n_pretokens >= 300_000 and counts[3].n_pretokens == 1 and counts[3].n_tokens > 100 and counts[4].n_tokens == counts[5].n_tokens
+    found = by_id(substring.remove_repeats(docs))
+    assert (found[1].n_removed, found[2].n_words, found[2].n_removed) == (0, 300_001, 300_000) and found[3].n_words == 1
+    packed = packing.pack(docs.where("doc_id <> 3")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("own")).collect()
+    assert {r.doc_id: r.n // r.own for r in packed} == {1: 1, 2: 1, 4: 1, 5: 2, 6: 1}
+    assert mixing.mix(docs.withColumn("source", F.lit("s"))).agg(F.sum("repeats")).first()[0] == len(rows)
+    assert pii.pseudonymise(docs, "key").where("n_private > 0").count() == 0
+
+
 def test_stages_keep_any_column(spark, odd):
     import corpus_pipeline
 
