@@ -20,8 +20,8 @@ FIRST_DAY, LAST_DAY, DAYS = "1900-01-01", "2099-12-31", 73049
 EMAIL = r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 HEX = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-KEYS = r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[sprk]k_(?:live|test)_|gh[opsu]_|xox[abps]-)[A-Za-z0-9-]{16,}"
-ADDRESS_6 = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"
+KEYS = r"(?=A[KS]IA)(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[sprkgx][kho])(?<![A-Za-z0-9])(?:[sprk]k_(?:live|test)_|gh[opsu]_|xox[abps]-)[A-Za-z0-9-]{16,}"
+ADDRESS_6 = r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -298,7 +298,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     if not key:
         raise ValueError(f"pseudonyms need a key, given or in {KEY_CONF}")
     rows = pick(docs, doc_id="doc_id:long", text="text:string")
-    rows = rows.withColumn("found", F.when(F.col("text").rlike(ANY), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("met", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).withColumn("found", F.when(F.size("met") > 0, F.col("met")))
     typed = F.transform("found", lambda v: F.struct(v.alias("old"), kind_of(v).alias("kind")))
     changed = F.transform(typed, lambda t: F.struct(t["old"].alias("old"), t["kind"].alias("kind"), pseudonym(t["kind"], t["old"], key).alias("fresh")))
     rows = rows.withColumn("changed", changed)
