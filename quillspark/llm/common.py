@@ -88,6 +88,26 @@ def totals_before(sizes: DataFrame, group: str, at: str, size: str, span: int =
     return joined.select(group, at, (F.col("__own") + F.col("__lower")).alias("before"))
 
 
+def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """rows with at (0, 1, ... within the group, by order) and n (the group's rows); equal rows in any order, nulls first.
+
+    One exchange by ranges of (group, order), so a group of any size is spread. Rows are written in that order with their
+    numbers within a partition; how many rows each partition holds of each group then gives the rest. Ranges come
+    from a sample of the input, which is read twice: hand over a frozen one if it is dear.
+    """
+    from pyspark.sql import Window
+
+    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    placed = frozen(placed.select("*", F.monotonically_increasing_id().alias("__mid"))).withColumn("__piece", F.shiftright("__mid", 33))
+    pieces = placed.groupBy(group, "__piece").agg(F.min("__mid").alias("__first"), F.count("*").alias("__rows"))
+    own = Window.partitionBy(group)
+    before = (F.sum("__rows").over(own.orderBy("__piece")) - F.col("__rows")).alias("__before")
+    pieces = pieces.select(F.col(group).alias("__group"), F.col("__piece").alias("__p"), "__first", before, F.sum("__rows").over(own).alias("n"))
+    joined = placed.join(if_small(pieces), (F.col("__piece") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__group")))
+    at = (F.col("__before") + F.col("__mid") - F.col("__first")).alias("at")
+    return joined.select(*rows.columns, at, "n")
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
