@@ -220,5 +220,6 @@ FROM h GROUP BY conv_id
 
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    added = spark.range(2, numPartitions=1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(ADDED).alias("text"))
     return digests(windows(given.unionByName(added)))

@@ -86,7 +86,8 @@ class Index:
     def __init__(self, rows: DataFrame, block: int | None = None) -> None:
         spark = rows.sparkSession
         self.context = spark.sparkContext
-        squared = F.aggregate("v", F.lit(0.0), lambda n, x: n + F.pow(F.floor(x.cast("double") * SCALE).cast("double"), F.lit(2.0)))
+        scaled = F.transform("v", lambda x: x.cast("double") * SCALE)
+        squared = F.aggregate(scaled, F.lit(0.0), lambda n, x: n + F.pow(F.when(F.abs(x) < 1e15, F.floor(x).cast("double")).otherwise(x), F.lit(2.0)))
         stats = {r["size"]: (r["n"], r["most"]) for r in rows.groupBy("size").agg(F.count("*").alias("n"), F.max(squared).alias("most")).collect()}
         total = sum(n for n, _ in stats.values())
         block = block or max(BLOCK, min(LARGE_BLOCK, total // 256), math.ceil(total / MOST_BLOCKS))
@@ -97,7 +98,7 @@ class Index:
         self.keys = {}
         for size, (n, most) in stats.items():
             none = Keys(most, np.zeros((1, size + 1)))
-            own = none.augmented(np.floor(SCALE * np.array(sample[size], np.float64).reshape(-1, size))) if size in sample else none.pivots
+            own = none.augmented(np.floor(SCALE * np.array(sample[size], np.float64).reshape(len(sample[size]), size))) if size in sample else none.pivots
             self.keys[size] = Keys(most, spread_out(own, min(PIVOTS, math.ceil(n / (PER_PIVOT * block)))))
         shared = self.context.broadcast(self.keys)
         rows = rows.withColumn("shelf", F.pmod(F.xxhash64("label"), F.lit(shelves)).cast("int"))
