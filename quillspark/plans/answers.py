@@ -23,7 +23,7 @@ BASELINE = 0.5
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's items, their five best documents, and the documents that hold them as what is expected."""
     docs, questions = P._docs(spark, sf_dir), P._questions(spark, sf_dir)
-    ranked = R.retrieve(R.build_index(docs, T.tokens_v0(F.col("text"))), questions, T.tokens_v0(F.col("question")), P.K)
+    ranked = R.retrieve(P.index_of(spark, sf_dir), questions, T.tokens_v0(F.col("question")), P.K)
     chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("doc"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("paper_id"), F.lit("").alias("arxiv_id"), F.col("source").alias("title"),
         F.col("lang").alias("section_heading"), F.lit("section").alias("source_type"), "text",

@@ -216,18 +216,59 @@ def test_vectors_of_unequal_length(spark):
     assert [(r.q, r.doc) for r in retrieval.vector_top_k(named.withColumnRenamed("doc", "q"), named, 1, cosine=True).orderBy("q").collect()] == [("a", "b"), ("b", "a")]
 
 
-def test_retrieval_in_blocks(spark):
-    docs = spark.createDataFrame([(n, " ".join(f"w{n % k}" for k in range(1, 9))) for n in range(60)], "doc long, text string")
-    questions = spark.createDataFrame([(n, f"w{n} w{n + 1} w1") for n in range(20)] + [(99, "unknown words only")], "q long, text string")
-    index = retrieval.build_index(docs, T.tokens_v0(F.col("text")))
-    whole = retrieval.retrieve(index, questions, T.tokens_v0(F.col("text")), 4).orderBy("q", "rank").collect()
-    kept, retrieval.QUESTION_TERMS = retrieval.QUESTION_TERMS, 7
-    try:
-        parts = retrieval.retrieve(index, questions, T.tokens_v0(F.col("text")), 4).orderBy("q", "rank").collect()
-    finally:
-        retrieval.QUESTION_TERMS = kept
-    assert [(r.q, r.rank, r.doc) for r in parts] == [(r.q, r.rank, r.doc) for r in whole] and len(whole) == 84
-    assert [r.doc for r in whole if r.q == 99] == [0, 1, 2, 3] and all(r.score == 0 for r in whole if r.q == 99)
+def plain_top(docs, questions, k):
+    """TF-IDF cosine of all pairs: (q, rank, doc, score), ties by id."""
+    from collections import Counter
+    from math import log, sqrt
+
+    df = Counter(t for _, text in docs for t in set(text.split()))
+    idf = {t: log((len(docs) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    weigh = lambda text: {t: n * idf[t] for t, n in Counter(text.split()).items() if t in idf}
+    held, out = [(d, weigh(text)) for d, text in docs], []
+    for q, text in questions:
+        own = weigh(text)
+        size = sqrt(sum(w * w for w in own.values()))
+        scores = []
+        for d, w in held:
+            norm = sqrt(sum(x * x for x in w.values()))
+            scores.append((-round(sum(x * own.get(t, 0) for t, x in w.items()) / (size * norm), 9) + 0.0 if size and norm else 0.0, d))
+        out += [(q, rank, d, -score + 0.0) for rank, (score, d) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize(("first", "gap", "whole"), [(4096, 0.3, 0.6), (10, 1.0, 2.0), (30, 0.2, 2.0), (10, 0.5, 0.0)])
+def test_impact_index(spark, monkeypatch, first, gap, whole):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: f"w{int(60 ** rng.random() * 3)}"
+    docs = [(n, " ".join(word() for _ in range(rng.randrange(1, 60)))) for n in range(500)] + [(500, ""), (501, "w3 w3"), (502, "w3 w3")]
+    questions = [(n, " ".join(word() for _ in range(1 + n % 12))) for n in range(30)] + [(98, ""), (99, "unknown words only"), (100, "rare")]
+    docs.append((503, "rare w3 w4"))
+    monkeypatch.setattr(retrieval, "BLOCK", 8), monkeypatch.setattr(retrieval, "GAP", gap), monkeypatch.setattr(retrieval, "WHOLE", whole)
+    monkeypatch.setattr(retrieval, "FIRST_POSTINGS", first)
+    index = retrieval.build_index(spark.createDataFrame(docs, "doc long, text string"), F.split("text", " "))
+    got = retrieval.retrieve(index, spark.createDataFrame(questions, "q long, text string"), F.split("text", " "), 4).collect()
+    rows = sorted((r.q, r["rank"], r.doc, r.score) for r in got if r.q != 98)  # splitting an empty text gives one empty token
+    want = sorted(plain_top(docs, [x for x in questions if x[0] != 98], 4))
+    assert [r[:3] for r in rows] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 1e-8 for a, b in zip(rows, want, strict=True))
+
+
+def test_impact_index_reads_what_can_matter(spark, monkeypatch):
+    """One short document holds a common word twice as strongly as all others: their levels are skipped, and only the asked buckets read."""
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    docs = [(n, "common " + " ".join(f"x{n}_{k}" for k in range(30))) for n in range(400)] + [(900 + n, f"common rare{n}") for n in range(20)]
+    index = retrieval.build_index(spark.createDataFrame(docs, "doc long, text string"), F.split("text", " "))
+    asked = retrieval.frozen(retrieval.asked_terms(index, spark.createDataFrame([(1, "common rare7")], "q long, text string"), F.split("text", " ")))
+    plan = retrieval.to_read(index, asked, 1, first=40).groupBy("read").agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks")).collect()
+    count = {r.read: r.n for r in plan}
+    assert count[False] == 400 and count[True] == 21
+    text = retrieval._partial(index, retrieval.frozen(retrieval.to_read(index, asked, 1).where("read")))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in text and index.buckets == 16
+    empty = retrieval.build_index(spark.createDataFrame([], "doc long, text string"), F.split("text", " "))
+    assert retrieval.retrieve(empty, spark.createDataFrame([(1, "a")], "q long, text string"), F.split("text", " "), 3).count() == 0
+
 
 
 def test_readers_hold_to_their_contracts(spark, tmp_path):
