@@ -88,14 +88,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     Vectors that are null, zero, hold null or non-finite components, or have no label, link with nothing. Vectors
     of different lengths don't link. Repeated rows count as copies of each other; null ids are returned with
-    their component, and kept is false for them. An empty table gives no rows.
+    their component, and kept is false for them; so is the component of vectors that all have none. Ids decide nothing but
+    names: a class is one label's, so an id that occurs under two labels joins nothing. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     rows = pick(vectors, vec_id="vec_id:long", v=f"embedding:array<{kind}>", label="label:string")
     rows = rows.withColumn("ok", usable(F.col("v"), F.col("label")))
     good = rows.where("ok").drop("ok").withColumn("h", F.xxhash64("v"))
-    classes = frozen(good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep IS NOT NULL").withColumn("size", F.size("v")))
+    classes = good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("size", F.size("v"))
+    classes = frozen(classes.withColumn("rep", F.monotonically_increasing_id()))
     most = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
     bits, probes = key_bits(most, tile) if bits is None else (bits, math.ceil(PROBED * max(0, bits - BITS)))
     sample = classes.orderBy(F.xxhash64(F.lit("sample"), "rep"), "rep").limit(SAMPLE).select("v").collect()
@@ -164,8 +166,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     found = frozen(dealt.drop("parts", "other").groupBy(*bucket, "low", "high").applyInArrow(compare, "rep long, links long, root long"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.where("root IS NOT NULL").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = classes.join(linked, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select("label", "h", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    told = classes.join(linked, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    told = told.select("label", "h", "v", "low", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    lowest = told.groupBy("component").agg(F.min("low").alias("component_id"))
+    told = split_join(told, lowest, ["component"], "inner").drop("component", "low")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = split_join(good, told, ["label", "h", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -199,3 +199,42 @@ def test_chat_repeats_turns_before_a_window_and_masks_them(spark):
 
 def test_chat_of_no_rows(spark):
     assert chat.digests(chat.windows(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_ids_decide_no_link_of_vectors(spark):
+    """An id under two labels, ids that are null, and their links, against all pairs of rows."""
+    from quillspark.llm import embeddings
+
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(3, 16))
+    near = lambda k: (base[k] + rng.normal(size=16) * 0.01).tolist()
+    rows = [(1, near(0), 0), (2, near(0), 0), (1, near(1), 1), (3, near(1), 1), (None, near(2), 2), (None, near(2), 2), (9, near(2), 2), (4, near(2), 3), (None, near(0), 4), (None, near(0), 4)]
+    rows += [(20, rows[1][1], 0), (None, rows[6][1], 2)]
+    got = embeddings.near_vectors(spark.createDataFrame([(*r, 0, 0) for r in rows], VECTORS)).collect()
+    unit = np.array([r[1] for r in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :]) & ~np.eye(len(rows), dtype=bool)
+    want = []
+    for k, (ident, _, label) in enumerate(rows):  # here every label is one component
+        own = [r[0] for r in rows if r[2] == label and r[0] is not None]
+        low = min(own, default=None)
+        want.append((ident, int(linked[k].sum()), low, ident is not None and ident == low))
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("bits", [20, 30])
+def test_recall_of_vectors_with_long_keys(spark, bits):
+    from quillspark.llm import embeddings
+
+    rng = np.random.default_rng(bits)
+    rows = []
+    for k in range(900):
+        a = rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=64)
+        b -= (b @ a) * a
+        c = (0.9805, 0.985, 0.992)[k % 3]
+        rows += [(2 * k, a.tolist(), 0, 0, 0), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist(), 0, 0, 0)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, VECTORS), bits=bits).where("vec_id % 2 = 1 AND n_links > 0")
+    found = [r.vec_id // 2 % 3 for r in got.collect()]
+    assert all(found.count(band) / 300 >= 0.9 for band in range(3))
