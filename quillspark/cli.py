@@ -50,7 +50,7 @@ def extraction(metadata: DataFrame, backend: str, factory=None) -> DataFrame:
     fields = {"run_id": uuid.uuid4().hex, "backend": backend, "model": backend, "prompt_version": "v1", "prompt_template_sha256": records.prompt_sha256(), "extraction_schema_version": "v1"}
     run = F.struct(T.utc_now().alias("created_at"), *[F.lit(v).alias(k) for k, v in fields.items()])
     parsed = records.parse_model_json(text)
-    error = F.coalesce("__said.error", F.when(parsed.isNull(), "no JSON object"), records.extraction_error(parsed, F.json_object_keys(F.to_json(parsed))))
+    error = F.coalesce("__said.error", F.when(parsed.isNull(), "no JSON object"), records.extraction_error(parsed, T.object_keys(parsed)))
     body = F.struct(*[F.try_variant_get(parsed, f"$.{f}", "string").alias(f) for f in records.EXTRACTION])
     source = F.struct(*[F.col(f) for f in records.METADATA])
     return said.select(source.alias("source"), body.alias("extraction"), run.alias("run"), error.alias("error"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,7 +144,51 @@ def strip_fences(text: Column) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(trim(text), r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))
 
 
+def first_object(text: Column) -> Column:
+    """A text from its first opening brace to the one that closes it; null if there is none, or none that does.
+
+    Braces in strings don't count. Escaped signs are covered first, so that a string is what stands between two quotes;
+    one pass over strings, braces and the rest then follows the depth.
+    """
+    text = F.coalesce(text, F.lit(""))
+    body = F.when(F.instr(text, "{") > 0, F.substr(text, F.instr(text, "{"), F.length(text)))
+    covered = F.replace(F.replace(body, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))
+    pieces = F.regexp_extract_all(covered, F.lit(r'"[^"]*(?:"|\z)|[{}]|[^"{}]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at.depth + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        return F.when(at.done, at).otherwise(F.struct(depth.alias("depth"), (at.size + F.length(piece)).alias("size"), (depth == 0).alias("done")))
+
+    size = F.aggregate(pieces, start, step, lambda at: F.when(at.done, at.size))
+    return F.when(size.isNotNull(), F.substr(body, F.lit(1), size))
+
+
+def last_keys(text: Column) -> Column:
+    """JSON in which a key that occurs twice in an object keeps its last value; null if it is no JSON."""
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(json.loads(value))
+        except (ValueError, RecursionError):
+            return None
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def first_json(text: Column) -> Column:
-    """The first JSON object in a text as a variant; null if there is none."""
-    body = strip_fences(F.coalesce(text, F.lit("")))
-    return F.try_parse_json(F.when(F.instr(body, "{") > 0, F.substr(body, F.instr(body, "{"), F.length(body))))
+    """The first JSON object in a text as a variant; null if there is none. Of equal keys the last counts.
+
+    Variants refuse equal keys, so what can't be parsed as it stands is written anew with its last ones; only such rows have anything
+    sent to Python.
+    """
+    cut = first_object(strip_fences(F.coalesce(text, F.lit(""))))
+    direct = F.try_parse_json(cut)
+    return F.coalesce(direct, F.try_parse_json(last_keys(F.when(direct.isNull(), cut))))
+
+
+def object_keys(record: Column) -> Column:
+    """The keys of a variant that is an object."""
+    return F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))

@@ -193,6 +193,21 @@ def fake_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", get("title").alias("title"), get("confidence").alias("confidence"), error.isNull().alias("valid"))
 
 
+def noisy_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with equal keys, text around them, braces in strings, nested objects, further objects, and some cut short."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))).alias("j"), F.coalesce("source", F.lit("")).alias("source"))
+    said = F.regexp_extract("j", r'(?s)^\{"t":(.*)\}$', 1)  # the whole text as a JSON string
+    twice = F.concat(F.lit('{"title": "first", "n": {"a": 1, "a": {"b": "} {"}}, "said": '), said, F.lit(', "title": "'), "source", F.lit('"}'))
+    case = F.col("doc_id") % 5
+    answer = (
+        F.when(case == 0, F.concat(F.lit("Here it is: "), twice, F.lit(' or {"title": "later"}'))).when(case == 1, F.concat(F.lit("```json\n"), twice, F.lit("\n```")))
+        .when(case == 2, F.substring(twice, 1, 60)).when(case == 3, F.concat(F.lit('{"title": "'), "source", F.lit('", "said": '), said, F.lit("} }} tail"))).otherwise(F.lit("nothing { here"))
+    )
+    rows = docs.select("doc_id", records.parse_model_json(answer).alias("record"))
+    get = lambda f: F.try_variant_get("record", f"$.{f}", "string")
+    return rows.select("doc_id", get("title").alias("title"), get("n.a.b").alias("inner"), F.md5(get("said").cast("binary")).alias("said_md5"), F.array_join(F.array_sort(T.object_keys(F.col("record"))), ",").alias("keys"))
+
+
 def normalized_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(" arXiv:http://x.org/abs/"), F.col("page_id").cast("string"), F.lit(".v1.pdf ")).alias("raw"))
     return pages.select("page_id", T.paper_key(F.col("raw")).alias("key"), T.safe_paper_id(F.col("raw")).alias("safe"))
@@ -220,7 +235,7 @@ QUERIES = {
     for f in (
         word_count, chunk_windows, chunk_audit_flags, audit_summary, chunk_length_stats, chunk_v1_ids, chunk_validation, chunk_missing_fields, chunk_quality_counts, chunk_warnings, duplicate_texts, papers_without_chunks,
         orphans, sections_by_line, markup_clean, markup_sections, latex_sections, record_summary, json_contract, status_histogram_zero_filled, gate_verdict,
-        gate_decision, qa_pairs, file_manifest, top_docs_per_source, fake_extraction, normalized_ids, previews,
+        gate_decision, qa_pairs, file_manifest, top_docs_per_source, fake_extraction, noisy_extraction, normalized_ids, previews,
     )
 }
 
@@ -294,6 +309,8 @@ SELECT conv_id, turn, md5(text) AS question_md5, md5(answer) AS answer_md5 FROM
     "file_manifest": "SELECT page_id, url, strlen(html)::BIGINT AS size_bytes, sha256(html) AS sha256, html IS NOT NULL AS \"exists\" FROM pages",
     "top_docs_per_source": "SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 3",
     "fake_extraction": "SELECT doc_id, source AS title, 'medium' AS confidence, true AS valid FROM documents",
+    "noisy_extraction": """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 3) THEN coalesce(source, '') END AS title, CASE WHEN doc_id % 5 IN (0, 1) THEN '} {' END AS inner,
+CASE WHEN doc_id % 5 IN (0, 1, 3) THEN md5(coalesce(text, '')) END AS said_md5, CASE WHEN doc_id % 5 IN (0, 1) THEN 'n,said,title' WHEN doc_id % 5 = 3 THEN 'said,title' END AS keys FROM documents""",
     "normalized_ids": "SELECT page_id, page_id || '.v1' AS key, page_id || '_v1' AS safe FROM pages",
     "previews": r"""WITH w AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, substr(t, 1, 280) AS preview, CASE WHEN length(t) <= 40 THEN t ELSE rtrim(substr(t, 1, 37)) || '...' END AS short FROM w""",
