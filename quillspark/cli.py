@@ -7,7 +7,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -58,7 +58,7 @@ def extraction(metadata: DataFrame, backend: str, factory=None) -> DataFrame:
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> int:
     """Metadata to traceable extractions; those that break a rule go to the quarantine beside the output."""
-    rows = readers.metadata(spark, a.input)
+    rows = readers.metadata_records(spark, a.input) if a.contract else readers.metadata(spark, a.input)
     rows = rows.limit(a.limit) if a.limit else rows
     sinks.append_valid(extraction(rows, "fake"), F.col("error").isNull(), a.out, f"{a.out}.rejected")
     return 0
@@ -137,7 +137,7 @@ def decide(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def pilot(spark: SparkSession, a: argparse.Namespace) -> int:
     """Extraction, summary, review sheets, inventory and gate, one after another, over 10 to 20 papers."""
-    count = readers.metadata(spark, a.input).count()
+    count = readers.metadata_records(spark, a.input).count()
     if count > 20 or (count < 10 and not a.small):
         raise ValueError("a pilot takes 10 to 20 papers")
     found, sheets, files = f"{a.out}/extractions", f"{a.out}/sheets", f"{a.out}/manifest"
@@ -157,7 +157,7 @@ def benchmark(spark: SparkSession, a: argparse.Namespace) -> int:
         rows = readers.jsonl(spark, out)
         row = records.formal_summary(rows).first().asDict()
         sinks.write_report(spark, formal_document(rows, row), f"{a.out}/{name}_summary")
-        groups[name] = {"input_records": readers.metadata(spark, source).count(), "output_records": row["total"], "evaluation_status": row["status"]}
+        groups[name] = {"input_records": readers.metadata_records(spark, source).count(), "output_records": row["total"], "evaluation_status": row["status"]}
         files += [(source, "metadata")]
         if a.workflow:
             main(["checklist", "--input", out, "--out", f"{a.out}/{name}_sheets", "--limit", str(row["total"])])
@@ -189,8 +189,8 @@ def build(spark: SparkSession, a: argparse.Namespace) -> int:
     if T.is_blank(a.domain):
         raise ValueError("a dataset needs a domain")
     parsed = {n: spark.read.parquet(f"{a.input}/{n}") for n in ("papers", "chunks", "equations")}
-    known = readers.metadata(spark, a.metadata).select(T.safe_paper_id(F.col("arxiv_id")).alias("paper_id"), "arxiv_id", "title", "abstract").dropDuplicates(["paper_id"])
-    own = parsed["papers"].join(known, "paper_id", "left").withColumns({"source_type": F.lit("latex_source"), "paper_dir": F.concat(F.lit(f"{a.input}/papers/"), "paper_id")})
+    known = readers.metadata_records(spark, a.metadata).select(T.safe_paper_id(F.col("arxiv_id")).alias("paper_id"), "arxiv_id", "title", "abstract").dropDuplicates(["paper_id"])
+    own = parsed["papers"].drop("arxiv_id", "title", "abstract").join(known, "paper_id", "left").withColumns({"source_type": F.lit("latex_source"), "paper_dir": F.concat(F.lit(f"{a.input}/papers/"), "paper_id")})
     papers_ = frozen(dataset.included(own))
     chunks = parsed["chunks"].withColumnsRenamed({"heading": "section_heading"}).withColumns({"source_type": F.lit("section"), "title": F.lit(None).cast("string")})
     chunks = frozen(dataset.chunks_v0(chunks, papers_, a.domain, a.input))
@@ -215,13 +215,15 @@ def smoke(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def parse(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Downloaded sources, a file each, to sections, equations, chunks and papers."""
+    """Downloaded sources, a file each, to sections, equations, chunks and papers, those that can't be read included."""
     blobs = spark.read.format("binaryFile").load(a.input).select(T.safe_paper_id(F.regexp_extract("path", r"([^/]+?)(?:\.[a-z.]+)?$", 1)).alias("paper_id"), "content")
-    files = readers.sniff(blobs).where("status = 'latex_source'").select("paper_id", "path", "text")
-    out = dataset.parsed(dataset.flattened(files))
-    for name, rows in out.items():
+    known = readers.metadata_records(spark, a.metadata) if a.metadata else None
+    seen = Observation("papers")
+    for name, rows in dataset.parse_sources(blobs, known).items():
+        if name == "papers":
+            rows = rows.observe(seen, F.count("*").alias("requested"), *[F.count_if(F.col("parsing_status") == s).alias(s) for s in ("success", "partial", "failed")])
         rows.write.mode("overwrite").parquet(f"{a.out}/{name}")
-    _show(dataset.parsing_summary(spark.read.parquet(f"{a.out}/papers"), blobs.count()))
+    _show(dataset.parsing_summary(spark.read.parquet(f"{a.out}/papers"), seen.get["requested"]))
     return 0
 
 
@@ -314,7 +316,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--id")
     one.add_argument("--most", type=int, default=1)
     add("papers", papers, "input", "out")
-    add("extract", extract, "input", "out").add_argument("--limit", type=int)
+    one = add("extract", extract, "input", "out")
+    one.add_argument("--limit", type=int)
+    one.add_argument("--contract", action="store_true", help="metadata that breaks a rule ends the run, rather than going to the quarantine")
     one = add("preview", preview, "input")
     one.add_argument("--out")
     one.add_argument("--limit", type=int, default=10)
@@ -344,7 +348,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--strict", action="store_true")
     add("dataset", build, "input", "metadata", "domain", "out").add_argument("--strict", action="store_true")
     add("smoke", smoke, "out")
-    add("parse", parse, "input", "out")
+    add("parse", parse, "input", "out").add_argument("--metadata")
     add("second", second, "input", "out")
     for name, run in (("retrieve", retrieve), ("ask", ask), ("embed", embed)):
         one = add(name, run, "chunks", "questions", "out")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import readers
 from . import audit, chunking, markup, records
+from .shared import frozen, pinned
 
 # The kinds of errors in parsing, and the statuses whose papers go into a dataset.
 ERRORS = [
@@ -20,61 +18,124 @@ ERRORS = [
 INCLUDED = ["success", "partial"]
 
 
-def flattened(files: DataFrame) -> DataFrame:
-    """files(paper_id, path, text) -> (paper_id, path, text): the main file with the files it includes, each once.
+def inclusions(files: DataFrame) -> DataFrame:
+    """files(paper_id, path, text) -> (paper_id, path, nth, name, target): the nth inclusion of a file, and the file that it names or null.
 
-    A paper's files, which came in one archive, meet in one row; following the inclusions is a short recursion there.
-    An inclusion that names no file becomes a comment.
+    Names are taken from the main file's folder; a name without .tex may lack it.
+    """
+    main = markup.main_file(files).select("paper_id", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("root"))
+    named = files.select("paper_id", "path", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(markup.INPUT), F.lit(1))).alias("nth", "name"))
+    named = named.join(main, "paper_id")
+    full = F.concat("root", F.regexp_replace(T.trim(F.col("name")), r"(^|/)(?:\./)+", "$1"))
+    ways = named.select("paper_id", "path", "nth", "name", F.posexplode(F.array(full, F.concat(full, F.lit(".tex")))).alias("way", "target"))
+    held = files.select("paper_id", F.col("path").alias("target"), F.lit(True).alias("held")).distinct()
+    ways = ways.join(held, ["paper_id", "target"], "left")
+    return ways.groupBy("paper_id", "path", "nth", "name").agg(F.min_by("target", F.when(F.col("held"), F.col("way"))).alias("target"))
+
+
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges (paper_id, path, nth, target), roots (paper_id, path) -> (paper_id, path, place): each file that is reached, at the
+    place where reading in order meets it first.
+
+    A place lists, from the root on, how many pieces of text and inclusions stand before; places compare as arrays do. Each round
+    follows the inclusions of files that were reached at an earlier place than before, so cycles end by themselves, and a
+    paper takes as many rounds as its inclusions are deep, and only by exception a few more.
     """
-    main = markup.main_file(files).select("paper_id", F.col("path").alias("main"))
-    rows = files.groupBy("paper_id").agg(F.collect_list("path").alias("paths"), F.collect_list(F.coalesce("text", F.lit(""))).alias("texts")).join(main, "paper_id")
-    include = re.compile(markup.INPUT)
+    best = frozen(roots.select("paper_id", "path", F.array().cast("array<int>").alias("place")))
+    new, edges = best, edges.where("target IS NOT NULL").select("paper_id", "path", "nth", "target")
+    while True:
+        step = new.join(edges, ["paper_id", "path"]).select("paper_id", F.col("target").alias("path"), F.concat("place", F.array((F.col("nth") * 2 + 1).cast("int"))).alias("place"))
+        step = step.groupBy("paper_id", "path").agg(F.min("place").alias("at"))
+        new = frozen(step.join(best, ["paper_id", "path"], "left").where("place IS NULL OR at < place").select("paper_id", "path", F.col("at").alias("place")))
+        if new.isEmpty():
+            return best
+        best = frozen(best.join(new.select("paper_id", "path"), ["paper_id", "path"], "left_anti").union(new))
 
-    def expand(path: str, known: dict[str, str], root: str, seen: set[str]) -> str:
-        seen.add(path)
 
-        def one(match: re.Match) -> str:
-            name = root + match.group(1).strip().removeprefix("./")
-            target = next((p for p in (name, f"{name}.tex") if p in known), None)
-            if target is None:
-                return f"\n% not found: {match.group(1)}\n"
-            return "" if target in seen else f"\n{expand(target, known, root, seen)}\n"
+def flattened(files: DataFrame) -> DataFrame:
+    """files(paper_id, path, text) -> (paper_id, path, text): the main file with the files it includes, each once, where it is met first.
 
-        return include.sub(one, known[path])
+    Files are nodes and inclusions edges of a graph that is followed by joins (see reached()). A file's pieces between its
+    inclusions then take the odd places around theirs, and a paper's text is its pieces in order. An inclusion that names no
+    file becomes a comment; one of a file that stands elsewhere leaves two line ends.
+    """
+    edges = frozen(inclusions(files))
+    mains = markup.main_file(files).select("paper_id", "path")
+    places = reached(edges, mains)
+    lost = edges.groupBy("paper_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("nth", F.when(F.col("target").isNull(), F.col("name")).alias("name")))).alias("lost"))
+    rows = files.join(places, ["paper_id", "path"]).join(lost, ["paper_id", "path"], "left")
+    pieces = rows.select("paper_id", "place", "lost", F.posexplode(F.split(F.coalesce("text", F.lit("")), markup.INPUT, -1)).alias("k", "piece"))
+    held = F.map_contains_key("lost", F.col("k"))
+    name = F.try_element_at("lost", F.col("k"))
+    after = F.when(~F.coalesce(held, F.lit(False)), "").when(name.isNull(), "\n").otherwise(F.concat(F.lit("\n% not found: "), name))
+    text = F.concat(F.when(F.col("k") > 0, "\n").otherwise(""), "piece", after)
+    pieces = pieces.select("paper_id", F.struct(F.concat("place", F.array(F.col("k") * 2)).alias("place"), text.alias("text")).alias("p"))
+    texts = pieces.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("p")).getField("text"), "").alias("text"))
+    return mains.join(texts, "paper_id").select("paper_id", "path", "text")
+
+
+def nested(sources: DataFrame) -> DataFrame:
+    """sources(paper_id, text) -> one row a paper: sections, equations and chunks as arrays, counts, errors, warnings, parsing_status.
+
+    One pass without an exchange: everything about a paper follows from its text. An error (no text, no chunks) makes a
+    paper failed, or partial if there are text and chunks all the same; a warning (no sections, no equations) makes it
+    partial. The text is that of headings and sections together.
+    """
+    rows = markup.with_equations(pinned(sources.select("paper_id", "text"), text=markup.strip_comments(F.col("text"))))
+    rows = pinned(rows, text=markup.with_placeholders(F.col("text")))
+    rows = chunking.with_windows(markup.with_sections(rows))
+    marks = F.transform("sections", lambda s: F.transform(F.regexp_extract_all(s.text, F.lit(r"\[EQUATION_(\d+)\]"), F.lit(1)), lambda n: F.struct(n.cast("long").alias("no"), s.section_id.alias("section_id"))))
+    rows = pinned(rows, __m=F.flatten(marks))
+    where = lambda e: F.get(F.filter("__m", lambda m: m.no == e.equation_no), 0).section_id
+    rows = pinned(rows, equations=F.transform("equations", lambda e: e.withField("section_id", where(e))))
+    number = lambda c: c.withField("chunk_id", F.concat("paper_id", F.lit("_chunk_"), F.format_string("%04d", c.chunk_no)))
+    rows = pinned(rows, chunks=F.transform("chunks", number))
+    filled = F.exists("sections", lambda s: s.text != "")
+    words = F.aggregate("sections", F.lit(0).cast("long"), lambda n, s: n + F.when(s.text != "", T.word_count(F.concat_ws("\n", s.heading, s.text))).otherwise(F.lit(0).cast("long")))
+    named = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in tests]))
+    rows = rows.select(
+        "paper_id", "sections", "equations", "chunks", *[F.size(c).cast("long").alias(f"{c}_count") for c in ("sections", "equations", "chunks")], words.alias("plain_text_word_count"), filled.alias("filled"),
+        named([(~filled, "plain_text_empty"), (F.size("chunks") == 0, "chunk_generation_empty")]).alias("errors"),
+        named([(F.size("sections") == 0, "section_extraction_weak"), (F.size("equations") == 0, "equation_extraction_weak")]).alias("warnings"),
+    )
+    return rows.withColumn("parsing_status", parsing_status(F.size("errors"), F.size("warnings"), F.col("filled"), F.col("chunks_count"))).drop("filled")
 
-    @F.pandas_udf("string")
-    def join(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for mains, paths, texts in batches:
-            yield pd.Series([expand(m, dict(zip(p, t)), m[: m.rfind("/") + 1], set()) for m, p, t in zip(mains, paths, texts)])
 
-    return rows.select("paper_id", F.col("main").alias("path"), join("main", "paths", "texts").alias("text"))
+def parsed(sources: DataFrame) -> dict[str, DataFrame]:
+    """sources(paper_id, text) -> sections, equations with their section, chunks, and papers with counts and status: views of one parse that is written once."""
+    return views(frozen(nested(sources)))
 
 
-def parsed(sources: DataFrame) -> dict[str, DataFrame]:
-    """sources(paper_id, text) -> sections, equations with their section, chunks, and papers with counts and status."""
-    plain = sources.select("paper_id", markup.strip_comments(F.col("text")).alias("text"))
-    parts = markup.sections(plain.withColumn("text", markup.with_placeholders(F.col("text"))))
-    found = markup.equation_sections(markup.equations(plain), parts)
-    chunks = chunking.windows(parts.withColumnRenamed("section_no", "pos"))
-    chunks = chunks.withColumn("chunk_id", F.concat("paper_id", F.lit("_chunk_"), F.format_string("%04d", "chunk_no")))
-    return {"sections": parts, "equations": found, "chunks": chunks, "papers": paper_status(sources, parts, found, chunks)}
+def views(rows: DataFrame) -> dict[str, DataFrame]:
+    """nested() -> its tables."""
+    out = {kind: rows.select("paper_id", F.inline(kind)) for kind in ("sections", "equations", "chunks")}
+    return out | {"papers": rows.drop("sections", "equations", "chunks")}
 
 
-def paper_status(sources: DataFrame, parts: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counts of each paper, its errors and warnings, and its status.
+def parse_sources(blobs: DataFrame, metadata: DataFrame | None = None) -> dict[str, DataFrame]:
+    """blobs(paper_id, content), metadata(arxiv_id, title, abstract, ...) -> sections, equations, chunks, and papers, of which none is lost.
 
-    An error (no text, no chunks) makes a paper failed, or partial if there are text and chunks all the same; a warning
-    (no sections, no equations) makes it partial. The text is that of headings and sections together.
+    Blobs are opened once and parsed once. A source that can't be read is a paper of status failed with its error; so is one
+    without metadata, if there are any, which isn't parsed at all. files names the tables that hold a paper's parts.
     """
-    text = F.when(F.col("text") != "", F.concat_ws("\n", "heading", "text"))
-    s = parts.groupBy("paper_id").agg(F.count("*").alias("sections_count"), F.sum(T.word_count(text)).alias("plain_text_word_count"), F.count(text).alias("filled"))
-    e, c = found.groupBy("paper_id").agg(F.count("*").alias("equations_count")), chunks.groupBy("paper_id").agg(F.count("*").alias("chunks_count"))
-    out = sources.select("paper_id").distinct().join(s, "paper_id", "left").join(e, "paper_id", "left").join(c, "paper_id", "left")
-    out = out.fillna(0, ["sections_count", "plain_text_word_count", "filled", "equations_count", "chunks_count"])
-    named = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, n in tests]))
-    out = out.withColumn("errors", named([(F.col("filled") == 0, "plain_text_empty"), (F.col("chunks_count") == 0, "chunk_generation_empty")]))
-    out = out.withColumn("warnings", named([(F.col("sections_count") == 0, "section_extraction_weak"), (F.col("equations_count") == 0, "equation_extraction_weak")]))
-    return out.withColumn("parsing_status", parsing_status(F.size("errors"), F.size("warnings"), F.col("filled") > 0, F.col("chunks_count"))).drop("filled")
+    names = ["paper_id", "arxiv_id", "title", "abstract", "parsing_status", "source_type", "sections_count", "equations_count", "chunks_count", "plain_text_word_count", "errors", "warnings"]
+    known = blobs.select("paper_id").distinct().withColumn("arxiv_id", F.col("paper_id")).withColumn("title", F.col("paper_id")).withColumn("abstract", F.lit(""))
+    if metadata is not None:
+        key = T.paper_key(F.col("arxiv_id"))
+        told = metadata.select(T.safe_paper_id(F.col("arxiv_id")).alias("paper_id"), key.alias("arxiv_id"), F.coalesce(F.nullif("title", F.lit("")), key).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))
+        told = told.groupBy("paper_id").agg(F.min(F.struct("arxiv_id", "title", "abstract")).alias("m")).select("paper_id", "m.*")
+        known = blobs.select("paper_id").distinct().join(told, "paper_id", "left")
+    known = frozen(known)
+    found = frozen(readers.sniff(blobs.join(known.where("arxiv_id IS NOT NULL").select("paper_id"), "paper_id", "left_semi")))
+    rows = frozen(nested(flattened(found.where("status = 'latex_source'").select("paper_id", "path", "text"))))
+    tables = views(rows)
+    lost = found.where("status <> 'latex_source'").select("paper_id", F.col("error").alias("kind")).union(known.where("arxiv_id IS NULL").select("paper_id", F.lit("metadata_error").alias("kind")))
+    lost = lost.join(known.drop("arxiv_id"), "paper_id").withColumn("arxiv_id", F.col("paper_id"))
+    good = tables["papers"].join(known, "paper_id").withColumn("source_type", F.lit("latex_source"))
+    papers = good.select(*names).unionByName(failed_papers(lost).select(*names))
+    kinds = ["sections", "equations", "chunks"]
+    places = F.map_filter(F.create_map(*[x for k in kinds for x in (F.lit(k), F.when(F.col(f"{k}_count") > 0, F.lit(k)))]), lambda _, v: v.isNotNull())
+    return tables | {"papers": papers.withColumn("files", places)}
 
 
 def parsing_status(errors: Column, warnings: Column, has_text: Column, chunks: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import pinned
 
 # The commands that open a section, display an equation or include a file.
 SECTION = r"\\(section|subsection|subsubsection)\*?\{([^{}]+)\}"
@@ -46,42 +47,64 @@ def body(text: Column) -> Column:
     return F.regexp_replace(out, r"(?s)\\end\{document\}.*$", "")
 
 
+def with_equations(rows: DataFrame) -> DataFrame:
+    """rows(text, ...) with equations, an array of (equation_no, equation_id, raw_latex, context_before, context_after):
+    one for each display equation, with 300 characters on either side."""
+    rows = pinned(rows, __b=F.split("text", EQUATION, -1), __f=F.regexp_extract_all("text", F.lit(EQUATION), F.lit(0)))
+    lengths = F.zip_with("__b", "__f", lambda b, f: F.length(b) + F.coalesce(F.length(f), F.lit(0)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    step = lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc.ends, F.array(acc.at + n)).alias("ends"))
+    rows = pinned(rows, __e=F.aggregate(lengths, begin, step, lambda acc: acc.ends))
+
+    def one(raw: Column, no: Column) -> Column:
+        end = F.element_at("__e", no + 1)
+        start = end - F.length(raw)
+        first = F.greatest(start - CONTEXT, F.lit(0))
+        before, after = F.substr("text", first + 1, start - first), F.substr("text", end + 1, F.lit(CONTEXT))
+        return F.struct(
+            (no + 1).cast("long").alias("equation_no"), F.format_string("eq_%03d", no + 1).alias("equation_id"), T.trim(raw).alias("raw_latex"), clean(before).alias("context_before"), clean(after).alias("context_after"),
+        )
+
+    return pinned(rows, equations=F.transform("__f", one)).drop("__b", "__f", "__e")
+
+
 def equations(sources: DataFrame) -> DataFrame:
-    """sources(paper_id, text) -> one row per display equation: equation_no, raw_latex, contexts of 300 characters."""
-    rows = sources.select("paper_id", "text", F.split("text", EQUATION, -1).alias("between"), F.regexp_extract_all("text", F.lit(EQUATION), F.lit(0)).alias("found"))
-    lengths = F.zip_with("between", "found", lambda b, f: F.length(b) + F.coalesce(F.length(f), F.lit(0)))
-    rows = rows.withColumn("ends", F.transform(F.sequence(F.lit(1), F.size("between")), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, x: s + x)))
-    rows = rows.select("paper_id", "text", "ends", F.posexplode("found").alias("no", "raw"))
-    end = F.element_at("ends", F.col("no") + 1)
-    start = end - F.length("raw")
-    begin = F.greatest(start - CONTEXT, F.lit(0))
-    before = F.substr("text", begin + 1, start - begin)
-    after = F.substr("text", end + 1, F.lit(CONTEXT))
-    return rows.select("paper_id", (F.col("no") + 1).cast("long").alias("equation_no"), F.format_string("eq_%03d", F.col("no") + 1).alias("equation_id"), T.trim(F.col("raw")).alias("raw_latex"), clean(before).alias("context_before"), clean(after).alias("context_after"))
+    """sources(paper_id, text) -> one row per display equation, as with_equations() gives it."""
+    return with_equations(sources.select("paper_id", "text")).select("paper_id", F.inline("equations"))
 
 
 def with_placeholders(text: Column) -> Column:
     """Each display equation replaced by its numbered placeholder."""
-    between, n = F.split(text, EQUATION, -1), F.size(F.split(text, EQUATION, -1))
-    mark = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, F.concat(F.lit(" [EQUATION_"), F.format_string("%03d", i), F.lit("] "))).otherwise(""))
-    return F.array_join(F.zip_with(between, mark, lambda b, m: F.concat(b, m)), "")
+    mark = lambda i: F.concat(F.lit(" [EQUATION_"), F.format_string("%03d", i), F.lit("] "))
+    return F.array_join(F.transform(F.split(text, EQUATION, -1), lambda piece, i: F.when(i > 0, F.concat(mark(i), piece)).otherwise(piece)), "")
 
 
-def sections(sources: DataFrame, source_type: str = "latex_source") -> DataFrame:
-    """sources(paper_id, text) -> one row per heading: section_id, level, heading, text up to the next heading, word_count.
+def with_sections(rows: DataFrame, source_type: str = "latex_source") -> DataFrame:
+    """rows(text, ...) with sections, an array of (section_no, section_id, level, heading, text up to the next heading, word_count, source_type).
 
     Text before the first heading is left out; a document without headings is one section, if it has text.
     """
-    rows = sources.select("paper_id", body(F.col("text")).alias("text"))
-    rows = rows.select("paper_id", "text", F.split("text", SECTION, -1).alias("between"), *[F.regexp_extract_all("text", F.lit(SECTION), F.lit(g)).alias(n) for g, n in ((1, "kinds"), (2, "headings"))])
-    one = F.array(F.struct(F.lit("section").alias("kind"), F.lit("Full text").alias("heading"), F.col("text").alias("part")))
-    many = F.transform(F.sequence(F.lit(1), F.size("kinds")), lambda i: F.struct(F.element_at("kinds", i).alias("kind"), F.element_at("headings", i).alias("heading"), F.element_at("between", i + 1).alias("part")))
-    rows = rows.select("paper_id", F.posexplode(F.when(F.size("kinds") == 0, one).otherwise(many)).alias("no", "s"), (F.size("kinds") == 0).alias("whole"))
-    level = F.when(F.col("s.kind") == "section", 1).when(F.col("s.kind") == "subsection", 2).otherwise(3).cast("long")
-    heading = F.coalesce(F.nullif(clean(F.col("s.heading")), F.lit("")), F.format_string("Section %d", F.col("no") + 1))
-    out = rows.select("paper_id", (F.col("no") + 1).cast("long").alias("section_no"), F.format_string("sec_%03d", F.col("no") + 1).alias("section_id"), level.alias("level"), heading.alias("heading"), clean(F.col("s.part")).alias("text"), "whole")
-    out = out.where(~F.col("whole") | (F.col("text") != "")).drop("whole")
-    return out.withColumn("word_count", T.word_count(F.col("text"))).withColumn("source_type", F.lit(source_type))
+    rows = pinned(rows, __t=body(F.col("text")))
+    rows = pinned(rows, __b=F.split("__t", SECTION, -1), **{n: F.regexp_extract_all("__t", F.lit(SECTION), F.lit(g)) for n, g in (("__k", 1), ("__h", 2))})
+    one = F.array(F.struct(F.lit("section").alias("kind"), F.lit("Full text").alias("heading"), F.col("__t").alias("part")))
+    many = F.transform("__k", lambda kind, i: F.struct(kind.alias("kind"), F.element_at("__h", i + 1).alias("heading"), F.element_at("__b", i + 2).alias("part")))
+    rows = pinned(rows, __c=F.transform(F.when(F.size("__k") == 0, one).otherwise(many), lambda s: F.struct(s.kind.alias("kind"), clean(s.heading).alias("heading"), clean(s.part).alias("text"))))
+    rows = rows.withColumn("__c", F.filter("__c", lambda s: (F.size("__k") > 0) | (s.text != "")))
+
+    def told(s: Column, no: Column) -> Column:
+        level = F.when(s.kind == "section", 1).when(s.kind == "subsection", 2).otherwise(3).cast("long")
+        heading = F.coalesce(F.nullif(s.heading, F.lit("")), F.format_string("Section %d", no + 1))
+        return F.struct(
+            (no + 1).cast("long").alias("section_no"), F.format_string("sec_%03d", no + 1).alias("section_id"), level.alias("level"), heading.alias("heading"), s.text.alias("text"),
+            T.word_count(s.text).alias("word_count"), F.lit(source_type).alias("source_type"),
+        )
+
+    return pinned(rows, sections=F.transform("__c", told)).drop("__t", "__b", "__k", "__h", "__c")
+
+
+def sections(sources: DataFrame, source_type: str = "latex_source") -> DataFrame:
+    """sources(paper_id, text) -> one row per heading, as with_sections() gives it."""
+    return with_sections(sources.select("paper_id", "text"), source_type).select("paper_id", F.inline("sections"))
 
 
 def equation_sections(found: DataFrame, parts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,16 @@ def if_small(table: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def pinned(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with these columns, each computed once a row.
+
+    Projections in a row are merged, and an expression that a lambda refers to would then be evaluated for each
+    element of its array. A generator of one row stands between.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out evenly if it lies in fewer splits than there are cores, as one small file does: text is worked on by all."""
     cores = df.sparkSession.sparkContext.defaultParallelism

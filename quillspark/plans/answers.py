@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
+import gzip
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +119,31 @@ def parse_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("paper_id").cast("long").alias("doc_id"), "sections_count", "equations_count", "parsing_status", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
+def parse_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as downloads: archives whose files include each other, in a circle too, compressed files, PDF, pages, broken archives; some without metadata."""
+
+    def pack(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = []
+        for text, kind in zip(texts, kinds):
+            body = f"\\section{{Body}}\n{text}\n\\[ e = 1 \\]\n\\include{{main}}"
+            files = {"a/main.tex": "\\documentclass{a}\\begin{document}\\input{one}\\input{two}\\input{lost}\\end{document}", "a/one.tex": "\\input{two}", "a/two.tex": body, "a/odd.png": "x"}
+            held = io.BytesIO()
+            with tarfile.open(fileobj=held, mode="w:gz") as archive:
+                for name, said in files.items():
+                    entry = tarfile.TarInfo(name)
+                    entry.size = len(said.encode())
+                    archive.addfile(entry, io.BytesIO(said.encode()))
+            whole = gzip.compress(f"\\documentclass{{a}}\\begin{{document}}{body}\\end{{document}}".encode())
+            out.append([held.getvalue(), held.getvalue()[: len(held.getvalue()) // 2], b"%PDF-1.4 x", whole, b"<HTML>none</HTML>", held.getvalue()][kind])
+        return pd.Series(out)
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\{}%$~]", " ").alias("t"))
+    blobs = docs.select("paper_id", F.pandas_udf(pack, "binary")("t", (F.col("doc_id") % 6).cast("int")).alias("content"))
+    metadata = docs.where("doc_id % 6 <> 5").select(F.concat(F.lit("arXiv:"), "paper_id").alias("arxiv_id"), F.col("source").alias("title"), F.lit("We do.").alias("abstract"))
+    got = dataset.parse_sources(blobs, metadata)["papers"]
+    return got.select(F.col("paper_id").cast("long").alias("doc_id"), "title", "parsing_status", "sections_count", "equations_count", "plain_text_word_count", F.array_join("errors", ",").alias("errors"), F.array_join(F.array_sort(F.map_keys("files")), ",").alias("files"))
+
+
 def parsing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of events as kinds of errors, most of them unknown."""
     kind = F.when(F.col("event_type") == "error", "pdf_parse_error").otherwise(F.col("event_type"))
@@ -157,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieved_contexts, answer_records, answers_skipped, answer_summary, answer_errors, missed_questions, best_k, overlap_diagnostics, citation_summary, dataset_chunks,
-        dataset_chunks_v1, chunk_id_map, running_numbers, parse_papers, parsing_errors, review_sheets, review_records, review_round_trip, source_report,
+        dataset_chunks_v1, chunk_id_map, running_numbers, parse_papers, parse_archives, parsing_errors, review_sheets, review_records, review_round_trip, source_report,
     )
 }
 
@@ -216,6 +246,10 @@ p AS (SELECT *, CASE WHEN headed OR filled THEN 1 ELSE 0 END AS sections_count F
 SELECT doc_id, sections_count, equations_count, CASE WHEN NOT filled THEN 'failed' WHEN equations_count = 0 THEN 'partial' ELSE 'success' END AS parsing_status,
 CASE WHEN filled THEN '' ELSE 'plain_text_empty,chunk_generation_empty' END AS errors,
 array_to_string(list_filter([CASE WHEN sections_count = 0 THEN 'section_extraction_weak' END, CASE WHEN equations_count = 0 THEN 'equation_extraction_weak' END], lambda x: x IS NOT NULL), ',') AS warnings FROM p""",
+    "parse_archives": r"""WITH d AS (SELECT *, doc_id % 6 IN (0, 3) AS good, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\{}%$~]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN '' ELSE coalesce(nullif(source, ''), doc_id::VARCHAR) END AS title, CASE WHEN good THEN 'success' ELSE 'failed' END AS parsing_status, good::BIGINT AS sections_count, good::BIGINT AS equations_count,
+CASE WHEN good THEN len(regexp_extract_all(t, 'WORDS')) + 2 ELSE 0 END AS plain_text_word_count, CASE doc_id % 6 WHEN 1 THEN 'archive_extract_error' WHEN 2 THEN 'pdf_fallback_skipped' WHEN 4 THEN 'source_unavailable' WHEN 5 THEN 'metadata_error' ELSE '' END AS errors,
+CASE WHEN good THEN 'chunks,equations,sections' ELSE '' END AS files FROM d""".replace("WORDS", corpus.WORD_SQL),
     "review_sheets": f"SELECT doc_id, md5({_SHEET}) AS sheet_md5 FROM documents",
     "review_records": f"""SELECT doc_id, source AS title, 'a-' || doc_id AS arxiv_id, CASE WHEN doc_id % 4 = 0 THEN 'see ' || doc_id ELSE '' END AS notes, {_OUTCOME} AS outcome, doc_id % 2 = 0 AS fully_checked FROM documents""",
     "review_round_trip": f"""WITH r AS (SELECT {_OUTCOME} AS o, doc_id % 2 = 0 AS done FROM documents)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -163,13 +164,13 @@ def sniff(blobs: DataFrame) -> DataFrame:
                 read = [(m.name, decode(archive.extractfile(m).read())) for m in members if m.name.lower().endswith((".tex", ".bib", ".sty", ".bbl"))]
                 if any(name.lower().endswith(".tex") for name, _ in read):
                     return [(name, text, "latex_source", None) for name, text in read]
-        except (tarfile.TarError, OSError):
+        except (tarfile.TarError, OSError, EOFError, zlib.error):
             pass
         if data.lstrip().startswith(b"%PDF"):
             return [(None, None, "unavailable", "pdf_fallback_skipped")]
         try:
             data = gzip.decompress(data)
-        except (OSError, EOFError):
+        except (OSError, EOFError, zlib.error):
             pass
         if data.lstrip().startswith(b"%PDF"):
             return [(None, None, "unavailable", "pdf_fallback_skipped")]

@@ -51,6 +51,44 @@ def test_flatten_takes_each_file_once(spark):
     assert got.path == "d/main.tex" and got.text.split() == ["\\documentclass{a}", "A", "B", "C", "%", "not", "found:", "gone"]
 
 
+def test_inclusions_follow_the_order_of_reading(spark):
+    """Circles, files included twice, missing ones and deep chains, against a recursion that keeps what it has seen."""
+    import random
+    import re
+
+    rng, files, want = random.Random(5), [], {}
+
+    def plain(held, root):
+        seen = set()
+
+        def expand(path):
+            seen.add(path)
+
+            def one(match):
+                name = root + match.group(1).strip().removeprefix("./")
+                target = next((p for p in (name, name + ".tex") if p in held), None)
+                if target is None:
+                    return f"\n% not found: {match.group(1)}\n"
+                return "\n" + ("" if target in seen else expand(target)) + "\n"
+
+            return re.sub(r"\\(?:input|include)\{([^{}]+)\}", one, held[path] or "")
+
+        return expand(root + "main.tex")
+
+    for paper in range(25):
+        names = [f"f{k}" for k in range(rng.randrange(1, 9))]
+        held = {}
+        for k, name in enumerate(["main", *names]):
+            chosen = [rng.choice([*names, "main", "gone"]) for _ in range(rng.randrange(0, 4))] + ([names[k]] if k < len(names) and rng.random() < 0.7 else [])
+            body = "".join(f" {name}{i} \\{rng.choice(['input', 'include'])}{{{rng.choice(['', './'])}{c}{rng.choice(['', '.tex'])}}}" for i, c in enumerate(chosen))
+            held[f"d/{name}.tex"] = ("\\documentclass{a}" if name == "main" else "") + body + " end"
+        held["d/f0.sty"] = None
+        files += [(str(paper), path, text) for path, text in held.items()]
+        want[str(paper)] = plain(held, "d/")
+    got = dataset.flattened(spark.createDataFrame(files, "paper_id string, path string, text string")).collect()
+    assert {r.paper_id: r.text for r in got} == want
+
+
 def test_papers_get_a_status(spark):
     texts = [("a", "\\section{One} words here \\[ e=1 \\]"), ("b", "plain words alone"), ("c", None), ("d", "% nothing")]
     rows = {r.paper_id: r for r in dataset.parsed(spark.createDataFrame(texts, "paper_id string, text string"))["papers"].collect()}

@@ -47,6 +47,14 @@ def test_sources(spark, tmp_path, capsys):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "1705.0001v1.gz").write_bytes(b"\\documentclass{a}\\begin{document}\\section{One} some words \\[ x \\]\\end{document}")
     assert main(["parse", "--input", str(tmp_path / "src"), "--out", str(tmp_path / "o")]) == 0 and "success: 1" in capsys.readouterr().out
+    (tmp_path / "src" / "1705.0002v1.gz").write_bytes(b"%PDF-1.4")
+    (tmp_path / "src" / "1705.0003v1.gz").write_bytes(b"\x1f\x8b\x08\x00broken")
+    record = {"arxiv_id": "1705.0001v1", "title": "T", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}
+    (tmp_path / "known.json").write_text(json.dumps([record, {**record, "arxiv_id": "1705.0003v1"}]))
+    assert main(["parse", "--input", str(tmp_path / "src"), "--metadata", str(tmp_path / "known.json"), "--out", str(tmp_path / "o2")]) == 0 and "failed: 2" in capsys.readouterr().out
+    kept = {r.paper_id: r for r in spark.read.parquet(f"{tmp_path}/o2/papers").collect()}
+    assert [(kept[k].parsing_status, kept[k].errors) for k in sorted(kept)] == [("success", []), ("failed", ["metadata_error"]), ("failed", ["archive_extract_error"])]
+    assert kept["1705_0001v1"].title == "T" and set(kept["1705_0001v1"].files) == {"sections", "equations", "chunks"} and not kept["1705_0003v1"].files
     assert readers.query_address(identifier="arXiv:1705.0001v1").endswith("max_results=1&id_list=1705.0001v1")
     assert main(["address", "--query", "higgs", "--most", "2"]) == 0 and "search_query=higgs&sortBy=submittedDate" in capsys.readouterr().out
 
