@@ -228,12 +228,26 @@ def parse(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def second(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Chunks and papers (JSON lines with pos) to the second form and the map of ids."""
+    """Chunks and papers (JSON lines with pos), and equations if there are any, to the second form, with audit, map of ids, a smoke search and a manifest."""
     readers.require(spark, f"{a.input}/chunks", f"{a.input}/papers")
     chunks = spark.read.schema(CHUNK).json(f"{a.input}/chunks").withColumn("section", F.coalesce("section", "section_heading"))
-    out = dataset.chunks_v1(chunks, spark.read.schema("pos long, paper_id string, arxiv_id string, title string").json(f"{a.input}/papers"))
-    out.write.mode("overwrite").parquet(f"{a.out}/chunks")
-    dataset.id_map(spark.read.parquet(f"{a.out}/chunks")).write.mode("overwrite").parquet(f"{a.out}/chunk_ids")
+    papers_ = spark.read.schema("pos long, paper_id string, arxiv_id string, title string").json(f"{a.input}/papers")
+    equations = None
+    if a.equations:
+        equations = spark.read.schema("pos long, paper_id string, section_id string, equation_id string").json(a.equations)
+    dataset.chunks_v1(chunks, papers_, equations).write.mode("overwrite").parquet(f"{a.out}/chunks")
+    made = spark.read.parquet(f"{a.out}/chunks")
+    dataset.id_map(made).write.mode("overwrite").parquet(f"{a.out}/chunk_ids")
+    sinks.write_jsonl(audit.corpus_audit(audit.with_flags(chunks, papers_)), f"{a.out}/audit")
+    linked = made.agg(F.count("*").alias("chunks"), F.count_if(F.size("source_refs.equation_ids") > 0).alias("with_equations"), F.count_if(F.size("quality_flags") > 0).alias("flagged"), F.countDistinct("paper_id").alias("papers")).first().asDict()
+    smoke_search = None
+    if a.question:
+        asked = spark.createDataFrame([("smoke", a.question)], "q string, question string")
+        index = retrieval.build_index(made.withColumn("doc", F.col("chunk_id")), T.tokens_v1(F.col("text")))
+        best = retrieval.retrieve(index, asked, T.tokens_v1(F.col("question")), 1).first()
+        smoke_search = {"question": a.question, "chunk_id": best.doc if best else None, "score": best.score if best else 0.0}
+    sinks.write_report(spark, {"source": a.input, "counts": linked, "smoke": smoke_search, "files": {n: f"{a.out}/{n}" for n in ("chunks", "chunk_ids", "audit")}}, f"{a.out}/manifest")
+    print("\n".join(f"{k}: {v}" for k, v in linked.items()))
     return 0
 
 
@@ -349,7 +363,9 @@ def parser() -> argparse.ArgumentParser:
     add("dataset", build, "input", "metadata", "domain", "out").add_argument("--strict", action="store_true")
     add("smoke", smoke, "out")
     add("parse", parse, "input", "out").add_argument("--metadata")
-    add("second", second, "input", "out")
+    one = add("second", second, "input", "out")
+    one.add_argument("--equations")
+    one.add_argument("--question")
     for name, run in (("retrieve", retrieve), ("ask", ask), ("embed", embed)):
         one = add(name, run, "chunks", "questions", "out")
         one.add_argument("--top-k", type=int, nargs="+", default=[5])

@@ -65,6 +65,34 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
     return flagged.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("chunks"))
 
 
+#: What an audit counts chunks by, and the columns for it; the last is the empty grouping.
+DIMENSIONS = {"paper": "paper_id", "section": "section", "source_type": "source_type", "flag": "__flag", "all": None}
+
+
+def corpus_audit(flagged: DataFrame) -> DataFrame:
+    """chunks with quality_flags -> (dimension, value, chunks, least, mean, median, most): counts and lengths in characters by paper,
+    section, source type and flag, and of all, in one pass of grouping sets.
+
+    A chunk is one row beside a row for each of its flags; the latter count by flag alone. Medians are exact, from counts
+    of each length, so a group of any size takes no more memory than it has lengths. Blank values are <missing>; without
+    chunks there is no row.
+    """
+    named = lambda c: F.when(T.blank(F.col(c).cast("string")), "<missing>").otherwise(F.col(c).cast("string")).alias(c)
+    rows = flagged.select(*[named(c) for c in DIMENSIONS.values() if c and c != "__flag"], F.coalesce(F.length("text"), F.lit(0)).alias("__size"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "quality_flags")).alias("__flag"))
+    keys = [c for c in DIMENSIONS.values() if c]
+    whole = F.when(F.col("__whole"), F.col("__size"))
+    flag = F.when(~F.col("__whole"), F.col("__size"))
+    rows = rows.withColumn("__whole", F.col("__flag").isNull())
+    told = lambda size, n: [F.count(size).alias(f"chunks{n}"), F.min(size).alias(f"least{n}"), F.avg(size).alias(f"mean{n}"), F.median(size).alias(f"median{n}"), F.max(size).alias(f"most{n}")]
+    got = rows.groupingSets([[F.col(c)] if c else [] for c in DIMENSIONS.values()], *keys).agg(F.grouping_id().alias("__set"), *told(whole, 0), *told(flag, 1))
+    # grouping_id has a bit for each key that a set leaves out, the first key's the highest
+    sets = {name: sum(1 << (len(keys) - 1 - k) for k, key in enumerate(keys) if key != c) for name, c in DIMENSIONS.items()}
+    dimension = F.coalesce(*[F.when(F.col("__set") == number, name) for name, number in sets.items()])
+    pick = lambda c, kind: F.when(F.col("__set") == sets["flag"], F.col(f"{c}1")).otherwise(F.col(f"{c}0")).cast(kind).alias(c)
+    out = got.select(dimension.alias("dimension"), F.coalesce(*keys, F.lit("")).alias("value"), pick("chunks", "long"), pick("least", "long"), F.round(pick("mean", "double"), 4).alias("mean"), pick("median", "double"), pick("most", "long"))
+    return out.where("chunks > 0")
+
+
 def last_by(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """The last row of each key, as when a dictionary is filled in order."""
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), pos).alias("__row"))

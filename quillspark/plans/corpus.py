@@ -49,10 +49,16 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.flag_counts(audit.with_flags(_chunks(spark, sf_dir), _papers(spark, sf_dir)))
 
 
+def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every paper too, which here is a document."""
+    return audit.corpus_audit(audit.with_flags(_chunks(spark, sf_dir), _papers(spark, sf_dir)))
+
+
 def chunk_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.length("text")
-    docs = _t(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("chunks"), F.min(size).cast("long").alias("least"), F.round(F.avg(size), 4).alias("mean"), F.median(size).alias("median"), F.max(size).cast("long").alias("most"))
+    """Lengths by section, which here is the language, from the audit."""
+    chunks = _chunks(spark, sf_dir).withColumn("quality_flags", F.array().cast("array<string>"))
+    got = audit.corpus_audit(chunks).where("dimension = 'section'")
+    return got.select(F.nullif("value", F.lit("<missing>")).alias("lang"), "chunks", "least", "mean", "median", "most")
 
 
 def chunk_v1_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +239,7 @@ f AS (SELECT doc_id, list_filter([
 QUERIES = {
     f.__name__: f
     for f in (
-        word_count, chunk_windows, chunk_audit_flags, audit_summary, chunk_length_stats, chunk_v1_ids, chunk_validation, chunk_missing_fields, chunk_quality_counts, chunk_warnings, duplicate_texts, papers_without_chunks,
+        word_count, chunk_windows, chunk_audit_flags, audit_summary, corpus_audit, chunk_length_stats, chunk_v1_ids, chunk_validation, chunk_missing_fields, chunk_quality_counts, chunk_warnings, duplicate_texts, papers_without_chunks,
         orphans, sections_by_line, markup_clean, markup_sections, latex_sections, record_summary, json_contract, status_histogram_zero_filled, gate_verdict,
         gate_decision, qa_pairs, file_manifest, top_docs_per_source, fake_extraction, noisy_extraction, normalized_ids, previews,
     )
@@ -266,6 +272,15 @@ c AS (SELECT doc_id, k + 1 AS chunk_no, list_slice(w, k * 340 + 1, CASE WHEN k =
 SELECT doc_id, chunk_no, md5(array_to_string(part, ' ')) AS text_md5, len(part)::BIGINT AS words FROM c""",
     "chunk_audit_flags": FLAGS_SQL + " SELECT doc_id, array_to_string(flags, ',') AS flags FROM f",
     "audit_summary": FLAGS_SQL + ", e AS (SELECT unnest(flags) AS flag FROM f) SELECT flag, count(*) AS chunks FROM e GROUP BY flag",
+    "corpus_audit": FLAGS_SQL + """, c AS (
+  SELECT d.doc_id::VARCHAR AS paper, d.lang AS section, CASE WHEN d.doc_id % 11 = 0 THEN 'figure' ELSE 'section' END AS kind, coalesce(length(text), 0) AS size, unnest(list_concat([NULL], flags)) AS flag FROM documents d JOIN f USING (doc_id)),
+g AS (SELECT paper, coalesce(nullif(trim(section), ''), '<missing>') AS section, kind, flag, size, flag IS NULL AS whole FROM c),
+s AS (SELECT grouping(paper, section, kind, flag) AS k, paper, section, kind, flag, count(*) FILTER (whole) AS n0, count(*) FILTER (NOT whole) AS n1, min(size) FILTER (whole) AS a0, min(size) FILTER (NOT whole) AS a1,
+  avg(size) FILTER (whole) AS m0, avg(size) FILTER (NOT whole) AS m1, median(size) FILTER (whole) AS h0, median(size) FILTER (NOT whole) AS h1, max(size) FILTER (whole) AS z0, max(size) FILTER (NOT whole) AS z1
+  FROM g GROUP BY GROUPING SETS ((paper), (section), (kind), (flag), ()))
+SELECT CASE k WHEN 7 THEN 'paper' WHEN 11 THEN 'section' WHEN 13 THEN 'source_type' WHEN 14 THEN 'flag' ELSE 'all' END AS dimension, coalesce(paper, section, kind, flag, '') AS value, CASE WHEN k = 14 THEN n1 ELSE n0 END AS chunks,
+  CASE WHEN k = 14 THEN a1 ELSE a0 END AS least, round(CASE WHEN k = 14 THEN m1 ELSE m0 END, 4) AS mean, CASE WHEN k = 14 THEN h1 ELSE h0 END AS median, CASE WHEN k = 14 THEN z1 ELSE z0 END AS most
+FROM s WHERE CASE WHEN k = 14 THEN n1 ELSE n0 END > 0""",
     "chunk_length_stats": "SELECT lang, count(*) AS chunks, min(length(text)) AS least, round(avg(length(text)), 4) AS mean, median(length(text)) AS median, max(length(text)) AS most FROM documents GROUP BY lang",
     "chunk_v1_ids": f"""WITH {PAPERS_SQL}, p AS (SELECT * FROM papers),
 c AS (SELECT d.doc_id, coalesce(p.paper_id, d.source) AS paper, d.lang, d.source, coalesce(p.title, '') AS title FROM documents d LEFT JOIN p ON p.arxiv_id = 'a' || d.doc_id)

@@ -111,3 +111,18 @@ def test_dataset(spark, tmp_path, capsys):
 
 def test_smoke(spark, tmp_path, capsys):
     assert main(["smoke", "--out", str(tmp_path)]) == 0 and "smoke: done" in capsys.readouterr().out
+
+
+def test_second_form(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    part = lambda n, text: {"pos": n, "chunk_id": f"c{n}", "paper_id": "p1", "arxiv_id": "a1", "title": "t", "section_id": "s1" if n < 3 else "s2", "section_heading": "Methods", "source_type": "section", "text": text}
+    _lines(tmp_path / "in/chunks", [part(1, "calorimeter shower simulation " * 9), part(2, "higgs boson"), part(3, "limits of validation " * 9)])
+    _lines(tmp_path / "in/papers", [{"pos": 1, "paper_id": "p1", "arxiv_id": "a1", "title": "T"}])
+    equations = _lines(tmp_path / "equations.jsonl", [{"pos": 1, "paper_id": "p1", "section_id": "s1", "equation_id": "e1"}])
+    assert main(["second", "--input", str(tmp_path / "in"), "--out", str(tmp_path / "o"), "--equations", equations, "--question", "higgs"]) == 0
+    assert "with_equations: 2" in capsys.readouterr().out
+    held = json.loads("\n".join(r.value for r in spark.read.text(f"{tmp_path}/o/manifest").collect()))
+    assert held["counts"] == {"chunks": 3, "papers": 1, "with_equations": 2, "flagged": 1} and held["smoke"]["chunk_id"] == "p1::chunk_v1::0002"
+    audit = {(r.dimension, r.value): r.chunks for r in spark.read.json(f"{tmp_path}/o/audit").collect()}
+    assert audit[("flag", "very_short_text")] == 1 and audit[("section", "Methods")] == 3 and audit[("paper", "p1")] == 3
+    assert spark.read.parquet(f"{tmp_path}/o/chunk_ids").count() == 3
