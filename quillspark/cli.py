@@ -194,7 +194,7 @@ def build(spark: SparkSession, a: argparse.Namespace) -> int:
     papers_ = frozen(dataset.included(own))
     chunks = parsed["chunks"].withColumnsRenamed({"heading": "section_heading"}).withColumns({"source_type": F.lit("section"), "title": F.lit(None).cast("string")})
     chunks = frozen(dataset.chunks_v0(chunks, papers_, a.domain, a.input))
-    tables = {"chunks": chunks, "papers": papers_, "equations": dataset.equations_v0(parsed["equations"], papers_), "eval_questions": question_tables.table(papers_)}
+    tables = {"chunks": chunks, "papers": papers_, "equations": dataset.equations_v0(parsed["equations"], papers_), "eval_questions": question_tables.table(papers_, spark.read.schema(question_tables.SCAFFOLD).json(a.scaffold) if a.scaffold else None)}
     for name, rows in tables.items():
         sinks.write_jsonl(rows, f"{a.out}/{name}")
     validation = frozen(audit.validate_chunks(chunks, papers_))
@@ -360,7 +360,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--reviews", nargs="*", default=[])
     one.add_argument("--decision", choices=gate.VERDICTS)
     one.add_argument("--strict", action="store_true")
-    add("dataset", build, "input", "metadata", "domain", "out").add_argument("--strict", action="store_true")
+    one = add("dataset", build, "input", "metadata", "domain", "out")
+    one.add_argument("--strict", action="store_true")
+    one.add_argument("--scaffold", help="questions as JSON lines, in place of the example")
     add("smoke", smoke, "out")
     add("parse", parse, "input", "out").add_argument("--metadata")
     one = add("second", second, "input", "out")

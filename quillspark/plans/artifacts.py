@@ -156,9 +156,17 @@ def pilot_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as a scaffold, about the first papers, some of which are not there, with their first words as keywords."""
     papers = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("arxiv_id"))
-    got = questions.table(papers)
-    return got.select("question_id", "question_type", F.array_join("expected_source_arxiv_ids", ",").alias("expected"), F.size("expected_section_keywords").cast("long").alias("keywords"))
+    n = F.col("item_id").cast("int")
+    place = lambda k: (n + k) % 7 + 1
+    scaffold = _t(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("q"), n.cast("string")).alias("question_id"), F.col("text").alias("question"), F.element_at(F.array(*map(F.lit, questions.KINDS)), n % 6 + 1).alias("question_type"),
+        F.when(n % 6 == 2, F.array(place(0), place(1))).otherwise(F.array(place(0))).alias("at"), F.array(F.lit(2), F.lit(1)).alias("fallback"), F.slice(F.split("text", " "), 1, 3).alias("expected_section_keywords"),
+        F.when(n % 2 == 0, F.md5(F.col("text").cast("binary"))).alias("evaluation_criteria"), F.substring("text", 1, 20).alias("notes"),
+    )
+    got = questions.table(papers, scaffold)
+    return got.select("question_id", "question_type", F.array_join("expected_source_arxiv_ids", ",").alias("expected"), F.array_join("expected_section_keywords", "|").alias("keywords"), "evaluation_criteria", "notes")
 
 
 def failed_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,9 +303,11 @@ t AS (SELECT count(*) AS files, sum(n)::BIGINT AS extraction_records, count(*) A
   sum(passed)::BIGINT AS fully_checked, sum(reject)::BIGINT AS reject, sum(revise)::BIGINT AS revise FROM l),
 d AS (SELECT * FROM (VALUES ('ACCEPT', 'READY_FOR_NEXT_PILOT_CYCLE', 3), ('REVISE', 'REVISE_BEFORE_SCALING', 3), ('REJECT', 'STOP_AND_FIX', 3), ('none', 'RUN_QUALITY_GATE', 2)) v(decision, recommendation, actions))
 SELECT t.*, d.* FROM t, d""",
-    "question_table": """WITH f AS (SELECT list(a ORDER BY p) AS ids FROM (SELECT doc_id AS p, 'a' || doc_id AS a FROM documents ORDER BY doc_id LIMIT 5))
-SELECT * FROM (SELECT unnest(['q001', 'q002', 'q003', 'q004', 'q005', 'q006', 'q007', 'q008']) AS question_id, unnest(['method', 'method', 'limitation', 'limitation', 'comparison', 'comparison', 'source_lookup', 'unanswerable']) AS question_type,
-  unnest([ids[1], ids[2], ids[1], ids[3], array_to_string(ids[1:2], ','), array_to_string(ids[3:4], ','), array_to_string(ids, ','), array_to_string(ids, ',')]) AS expected, unnest([4, 5, 5, 5, 4, 4, 5, 4]) AS keywords FROM f)""",
+    "question_table": f"""WITH f AS (SELECT list(a ORDER BY p) AS ids FROM (SELECT doc_id AS p, 'a' || doc_id AS a FROM documents ORDER BY doc_id LIMIT 5)),
+b AS (SELECT *, item_id % 7 + 1 AS one, (item_id + 1) % 7 + 1 AS two, {questions.KINDS}[item_id % 6 + 1] AS kind FROM benchmark)
+SELECT 'q' || item_id AS question_id, kind AS question_type, CASE WHEN kind = 'comparison' THEN CASE WHEN greatest(one, two) <= len(ids) THEN ids[one] || ',' || ids[two] ELSE ids[2] || ',' || ids[1] END
+  WHEN one <= len(ids) THEN ids[one] ELSE ids[2] || ',' || ids[1] END AS expected, array_to_string(string_split(text, ' ')[1:3], '|') AS keywords, CASE WHEN item_id % 2 = 0 THEN md5(text) ELSE '' END AS evaluation_criteria, substr(text, 1, 20) AS notes
+FROM b, f""",
     "failed_papers": """SELECT doc_id || '_1' AS paper_id, CASE WHEN doc_id % 2 > 0 THEN coalesce(source, '') ELSE '' END AS title, 'failed' AS parsing_status, CASE WHEN doc_id % 3 = 1 THEN 'unavailable' ELSE 'error' END AS source_type,
 0 AS chunks_count, CASE doc_id % 3 WHEN 0 THEN 'metadata_error' WHEN 1 THEN 'source_unavailable' ELSE 'unknown_error' END AS errors FROM documents""",
     "answer_sheets": PA._ASKED + " SELECT item_id, 5 AS shown, CASE WHEN refused THEN 'nothing' ELSE 'doc' || first END AS cited FROM asked",

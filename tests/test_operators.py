@@ -357,10 +357,17 @@ def test_manifests(spark, tmp_path):
 
 def test_questions(spark):
     papers = spark.createDataFrame([("p1", "a1"), ("p2", "a2"), ("p3", None)], "paper_id string, arxiv_id string")
-    rows = {r.question_id: r for r in questions.table(papers).collect()}
-    assert len(rows) == 8 and {r.question_type for r in rows.values()} <= set(questions.KINDS)
+    asked = [("q002", "?", "method", [2], [1], ["model"], "cite", None), ("q006", "?", "comparison", [3, 4], [1, 2], [], None, "n"), ("q007", "?", "source_lookup", [1, 2, 3, 4, 5], [1], [], None, None)]
+    scaffold = spark.createDataFrame(asked, questions.SCAFFOLD)
+    rows = {r.question_id: r for r in questions.table(papers, scaffold).collect()}
     assert rows["q002"].expected_source_arxiv_ids == ["a2"] and rows["q006"].expected_source_arxiv_ids == ["a1", "a2"] and rows["q007"].expected_source_arxiv_ids == ["a1", "a2"]
-    assert {r.question_id: r.expected_source_arxiv_ids for r in questions.table(papers.limit(1)).collect()}["q002"] == ["a1"]
+    assert (rows["q002"].evaluation_criteria, rows["q002"].notes, rows["q006"].notes, rows["q002"].expected_section_keywords) == ("cite", "", "n", ["model"])
+    assert {r.question_id: r.expected_source_arxiv_ids for r in questions.table(papers.limit(1), scaffold).collect()}["q002"] == ["a1"]
+    made = questions.table(papers).collect()
+    assert len(made) == 8 and {r.question_type for r in made} == set(questions.KINDS) and all(r.evaluation_criteria for r in made)
+    assert all(r.expected_source_arxiv_ids == [] for r in questions.table(papers.limit(0)).collect())
+    with pytest.raises(Exception, match="unknown kind of question: odd"):
+        questions.table(papers, spark.createDataFrame([("q", "?", "odd", [1], [1], [], None, None)], questions.SCAFFOLD)).collect()
 
 
 def test_formal_summary(spark):
