@@ -35,7 +35,7 @@ def index_of(spark: SparkSession, sf_dir: str, second: bool = False) -> R.TfidfI
     """
     files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     key = (spark.sparkContext.applicationId, second, frozenset(tuple(r) for r in files.collect()))
-    if key not in _HELD:
+    if key not in _HELD or not _HELD[key].stored():
         fields = [(T.tokens_v1(F.col("text")), 1), (T.tokens_v1(F.col("source")), 2), (T.tokens_v1(F.col("lang")), 2)]
         _HELD[key] = R.build_index(_docs(spark, sf_dir), fields if second else T.tokens_v0(F.col("text")))
     return _HELD[key]
