@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluate as E
 from ..operators import retrieval as R
+from ..operators import vectorlists
 
 K, KS = 5, [1, 3, 5, 8]
 
@@ -127,6 +128,20 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_top(spark, sf_dir, True)
 
 
+def _vector_lists(spark: SparkSession, sf_dir: str, cosine: bool) -> DataFrame:
+    rows = _vectors(spark, sf_dir).select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    out = vectorlists.search(vectorlists.build(rows, cosine), rows.where("doc % 100 = 0").withColumnRenamed("doc", "q"), K)
+    return out.select(F.col("q").alias("query_id"), "rank", F.col("doc").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def vector_lists_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_lists(spark, sf_dir, False)
+
+
+def vector_lists_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_lists(spark, sf_dir, True)
+
+
 def mrr_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot product and cosine as two models: a hit shares the query's label."""
     labels = _vectors(spark, sf_dir).select("vec_id", "label")
@@ -226,7 +241,7 @@ FROM (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 100 = 0) o
   WHERE a.label = b.label GROUP BY query_id) h USING (query_id)"""
 
 
-QUERIES = {f.__name__: f for f in (retrieve_tfidf_v0, retrieve_tfidf_v1, retrieve_zero_tail, term_frequency, doc_frequency, hit_rate_by_k, hit_rate_by_kind_and_k, miss_reasons, vector_topk_dot, vector_topk_cosine, mrr_by_model, hash_embed_md5, hash_embed_blake, citation_check)}
+QUERIES = {f.__name__: f for f in (retrieve_tfidf_v0, retrieve_tfidf_v1, retrieve_zero_tail, term_frequency, doc_frequency, hit_rate_by_k, hit_rate_by_kind_and_k, miss_reasons, vector_topk_dot, vector_topk_cosine, vector_lists_dot, vector_lists_cosine, mrr_by_model, hash_embed_md5, hash_embed_blake, citation_check)}
 
 ORACLES = {
     "retrieve_tfidf_v0": _ranked_sql(POST0, TERMS0, QS, K) + OUT,
@@ -248,6 +263,8 @@ SELECT b.item_id, coalesce(l.overlap, 0) AS overlap, CASE
 FROM benchmark b LEFT JOIN laps l ON l.q = b.item_id LEFT JOIN ranked r ON r.q = b.item_id""",
     "vector_topk_dot": _vector_sql("list_dot_product"),
     "vector_topk_cosine": _vector_sql("list_cosine_similarity"),
+    "vector_lists_dot": _vector_sql("list_dot_product"),
+    "vector_lists_cosine": _vector_sql("list_cosine_similarity"),
     "mrr_by_model": f"""WITH m AS ({_model_sql('dot', 'list_dot_product')} UNION ALL {_model_sql('cosine', 'list_cosine_similarity')})
 SELECT model, round(hit_rate, 6) AS hit_rate, round(mean_rank, 6) AS mean_rank, round(mrr, 6) AS mrr,
        row_number() OVER (ORDER BY round(hit_rate, 6) DESC, round(mrr, 6) DESC, model DESC) = 1 AS chosen FROM m""",
