@@ -11,7 +11,7 @@ from ..operators import answers as A
 from ..operators import dataset, gate, manifest, pilot, questions, records, reports
 from ..operators import retrieval as R
 from ..operators.shared import frozen, scratch
-from ..sources import readers, sinks
+from ..sources import appendlog, readers, sinks
 from . import answers as PA
 from . import retrieval as P
 
@@ -71,6 +71,17 @@ def jsonl_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].union(sides[1]).groupBy("sink", "text").agg(F.count("*").alias("times"))
 
 
+def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four batches to three sinks: one batch comes twice, another was cut short before its commit and is repeated."""
+    docs, base = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), scratch(spark, "log")
+    sink = F.when(F.length("text") > 500, "long").otherwise(F.when(F.col("text").isNotNull(), "short"))
+    appendlog.stage(docs.where("doc_id % 4 = 2"), sink, base, "part-2")
+    for n in (0, 1, 2, 3, 1):
+        appendlog.append(docs.where(F.col("doc_id") % 4 == n), sink, base, f"part-{n}")
+    parts = [appendlog.read(spark, base, s, "doc_id long, text string, lang string").withColumn("sink", F.lit(s)) for s in ("long", "short", "none")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "sink", "batch", "lang", _md5("text").alias("text_md5"))
+
+
 def metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's documents as a JSON list of metadata records, read back under the contract."""
     docs = _t(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
@@ -260,7 +271,7 @@ def hashed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        formal_groups, formal_findings, formal_status, jsonl_round_trip, jsonl_quarantine, metadata_round_trip, id_list_round_trip, report_round_trip, vector_cache, file_entries,
+        formal_groups, formal_findings, formal_status, jsonl_round_trip, jsonl_quarantine, append_batches, metadata_round_trip, id_list_round_trip, report_round_trip, vector_cache, file_entries,
         roles_by_name, resolved_paths, pilot_analysis, question_table, failed_papers, answer_sheets, debug_sections, hashed_top_k,
         metadata_contract, run_contract, text_helpers, dataset_equations, abstracts_filled, prefixed_texts, sniffed_sources, atom_entries,
     )
@@ -292,6 +303,8 @@ CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 2 END AS times FROM documents""",
     "report_round_trip": "SELECT count(*) AS documents, count(DISTINCT source) AS sources, 'über' AS name, 1 AS files FROM documents",
     "vector_cache": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE embedding IS NOT NULL)
 SELECT vec_id, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS norm, round(CASE WHEN n = 0 THEN 0 ELSE list_sum(e[1:10]) / n END, 5) AS first_ten FROM v""",
+    "append_batches": """SELECT doc_id, CASE WHEN length(text) > 500 THEN 'long' WHEN text IS NOT NULL THEN 'short' ELSE 'none' END AS sink, 'part-' || (doc_id % 4) AS batch, lang, md5(text) AS text_md5
+FROM documents WHERE doc_id IS NOT NULL""",
     "file_entries": """WITH f AS (SELECT 'object' AS role, '{"regions":' || count(*) || '}' || chr(10) AS content, 'object' AS kind FROM region
 UNION ALL SELECT 'text', string_agg(r_regionkey || ',' || r_name || chr(10), '' ORDER BY r_regionkey), NULL FROM region UNION ALL SELECT 'gone', NULL, NULL)
 SELECT role, content IS NOT NULL AS "exists", strlen(content)::BIGINT AS size_bytes, sha256(content) AS sha256, kind AS json_top_level_type, 1 AS missing, 'WARN' AS status FROM f""",
