@@ -17,7 +17,7 @@ from .operators import manifest as manifests
 from .operators import pilot as pilots
 from .operators import questions as question_tables
 from .operators.shared import frozen
-from .sources import readers, sinks
+from .sources import appendlog, paperfolders, readers, sinks
 
 CHUNK = "pos long, chunk_id string, paper_id string, arxiv_id string, title string, section string, section_id string, section_heading string, source_type string, text string, word_count long"
 QUESTION = "question_id string, question string, question_type string, expected_source_arxiv_ids array<string>, expected_section_keywords array<string>"
@@ -60,7 +60,12 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> int:
     """Metadata to traceable extractions; those that break a rule go to the quarantine beside the output."""
     rows = readers.metadata_records(spark, a.input) if a.contract else readers.metadata(spark, a.input)
     rows = rows.limit(a.limit) if a.limit else rows
-    sinks.append_valid(extraction(rows, "fake"), F.col("error").isNull(), a.out, f"{a.out}.rejected")
+    out = extraction(rows, "fake")
+    if a.batch:
+        done = appendlog.append(out, F.when(F.col("error").isNull(), "good").otherwise("rejected"), a.out, a.batch)
+        print(json.dumps(done, sort_keys=True))
+    else:
+        sinks.append_valid(out, F.col("error").isNull(), a.out, f"{a.out}.rejected")
     return 0
 
 
@@ -223,6 +228,8 @@ def parse(spark: SparkSession, a: argparse.Namespace) -> int:
         if name == "papers":
             rows = rows.observe(seen, F.count("*").alias("requested"), *[F.count_if(F.col("parsing_status") == s).alias(s) for s in ("success", "partial", "failed")])
         rows.write.mode("overwrite").parquet(f"{a.out}/{name}")
+    if a.folders:
+        paperfolders.write({name: spark.read.parquet(f"{a.out}/{name}") for name in ("papers", *paperfolders.FILES)}, a.folders)
     _show(dataset.parsing_summary(spark.read.parquet(f"{a.out}/papers"), seen.get["requested"]))
     return 0
 
@@ -333,6 +340,7 @@ def parser() -> argparse.ArgumentParser:
     one = add("extract", extract, "input", "out")
     one.add_argument("--limit", type=int)
     one.add_argument("--contract", action="store_true", help="metadata that breaks a rule ends the run, rather than going to the quarantine")
+    one.add_argument("--batch", help="append to a log of batches, of which each counts once however often it is run")
     one = add("preview", preview, "input")
     one.add_argument("--out")
     one.add_argument("--limit", type=int, default=10)
@@ -364,7 +372,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--strict", action="store_true")
     one.add_argument("--scaffold", help="questions as JSON lines, in place of the example")
     add("smoke", smoke, "out")
-    add("parse", parse, "input", "out").add_argument("--metadata")
+    one = add("parse", parse, "input", "out")
+    one.add_argument("--metadata")
+    one.add_argument("--folders", help="also write each paper to a folder of its own below this one")
     one = add("second", second, "input", "out")
     one.add_argument("--equations")
     one.add_argument("--question")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import arrowfiles
 
 # Verdicts from best to worst, and the outcomes of a review.
 VERDICTS = ["ACCEPT", "REVISE", "REJECT"]
@@ -107,30 +108,28 @@ def recommendation(manifest_status: Column, missing: Column, decision: Column) -
 def file_entries(spark, wanted: list[tuple[str, str]], base: str | None = None) -> DataFrame:
     """(path, role) pairs, each once -> one row each: exists, size_bytes, sha256, record_count, json_top_level_type, with base also relative_path.
 
-    The files asked for, and no others, are listed and read by Spark, so any store will do; missing ones are found by
-    a left join. A file is read whole in one row, as its digest needs it.
+    The files asked for, and no others, are looked up; one that isn't there, or is a folder, doesn't exist. Tasks read a file in blocks, so its size is
+    not bound by memory; of a JSON document of more than arrowfiles.WHOLE bytes the first and last sign tell the type, and null stands for any but objects and
+    lists. A store that only Spark can open is read by Spark, a file in one row.
     """
     if any(T.is_blank(role) for _, role in wanted):
         raise ValueError("a file needs a role")
     pairs = list(dict.fromkeys((p, r.strip()) for p, r in wanted))
     asked = spark.createDataFrame([(*pair, n) for n, pair in enumerate(pairs)], "path string, role string, pos long")
-    known = spark.createDataFrame([], "path string, length long, content binary")
-    for folder in sorted({p.rpartition("/")[0] for p, _ in pairs}):
-        names = sorted({p.rpartition("/")[2] for p, _ in pairs if p.rpartition("/")[0] == folder})
-        some = "{" + ",".join(re.sub(r"([\[\]{}*?,\\])", r"\\\1", n) for n in names) + "}"
-        try:
-            own = spark.read.format("binaryFile").option("pathGlobFilter", some).load(folder or ".")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                continue
-            raise
-        known = known.union(own.select("path", "length", "content"))
-    content = F.col("content").cast("string")
-    top = F.schema_of_variant(F.try_parse_json(content))
-    records = F.when(F.col("path").endswith(".jsonl"), F.size(F.filter(F.split(content, "\n"), lambda x: ~T.blank(x))).cast("long"))
-    kind = F.when(top.startswith("OBJECT"), "object").when(top.startswith("ARRAY"), "list").otherwise(F.lower(top))
+    there = [p for p in dict.fromkeys(p for p, _ in pairs) if p.strip() and is_file(spark, p)]
+    own, left = [p for p in there if arrowfiles.opens(p)], [p for p in there if not arrowfiles.opens(p)]
+    paths = spark.createDataFrame([(p,) for p in own], "path string")
+    read = arrowfiles.contents(paths.repartition(max(1, min(len(own), 4 * spark.sparkContext.defaultParallelism)), "path"))
+    if left:
+        plain = lambda p: re.sub(r"([\[\]{}*?,\\])", r"\\\1", p)
+        content = F.col("content").cast("string")
+        lines = F.when(F.col("path").endswith(".jsonl"), F.size(F.filter(F.split(content, "\n"), lambda x: ~T.blank(x))).cast("long"))
+        rest = spark.read.format("binaryFile").load([plain(p) for p in left])
+        read = read.union(rest.select("path", "length", F.sha2("content", 256), lines, F.when(F.col("path").endswith(".json"), content), F.lit(None).cast("string")))
+    top = F.schema_of_variant(F.try_parse_json("text"))
+    kind = F.when(top.startswith("OBJECT"), "object").when(top.startswith("ARRAY"), "list").otherwise(F.coalesce(F.lower(top), "kind"))
     kind = F.when(F.col("path").endswith(".jsonl"), "jsonl").when(F.col("path").endswith(".json"), kind)
-    read = known.select(plain_path(F.col("path")).alias("__path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), records.alias("record_count"), kind.alias("json_top_level_type"))
+    read = read.select(plain_path(F.col("path")).alias("__path"), "size_bytes", "sha256", "record_count", kind.alias("json_top_level_type"))
     out = asked.join(read, plain_path(F.col("path")) == F.col("__path"), "left").drop("__path").withColumn("exists", F.col("size_bytes").isNotNull())
     if base is None:
         return out
@@ -138,6 +137,13 @@ def file_entries(spark, wanted: list[tuple[str, str]], base: str | None = None)
     return out.withColumn("relative_path", F.when(F.col("path").startswith(prefix), F.substr("path", F.lit(len(prefix) + 1), F.length("path"))).otherwise(F.col("path")))
 
 
+def is_file(spark, path: str) -> bool:
+    """Whether a path is a file, in any store that Hadoop opens."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isFile()
+
+
 def plain_path(path: Column) -> Column:
     """A path as it is written without the scheme of local files."""
     return F.regexp_replace(path, "^file:(?://)?", "")

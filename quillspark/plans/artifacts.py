@@ -11,7 +11,7 @@ from ..operators import answers as A
 from ..operators import dataset, gate, manifest, pilot, questions, records, reports
 from ..operators import retrieval as R
 from ..operators.shared import frozen, scratch
-from ..sources import appendlog, readers, sinks
+from ..sources import appendlog, paperfolders, readers, sinks
 from . import answers as PA
 from . import retrieval as P
 
@@ -82,6 +82,19 @@ def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "sink", "batch", "lang", _md5("text").alias("text_md5"))
 
 
+def paper_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers in folders of their own, some failed, with their text and language as chunks, read back by the data source."""
+    docs, root = _t(spark, sf_dir, "documents").withColumn("paper_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), scratch(spark, "papers")
+    status = F.element_at(F.array(F.lit("success"), F.lit("partial"), F.lit("failed")), (F.col("doc_id") % 3 + 1).cast("int"))
+    papers = docs.select("paper_id", F.col("source").alias("title"), status.alias("parsing_status"), F.lit(2).alias("chunks_count"))
+    chunks = docs.select("paper_id", F.posexplode(F.array("text", "lang")).alias("pos", "text"))
+    paperfolders.write({"papers": papers, "chunks": chunks}, root)
+    own = paperfolders.read(spark, root).select("paper_id", "title", "parsing_status", "chunks_count")
+    held = paperfolders.read(spark, root, "chunks").select("paper_id", "pos", F.get_json_object("record", "$.text").alias("text"))
+    got = own.join(held, "paper_id", "left")
+    return got.select("paper_id", "title", "parsing_status", "chunks_count", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), _md5("text").alias("text_md5"))
+
+
 def metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's documents as a JSON list of metadata records, read back under the contract."""
     docs = _t(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
@@ -271,7 +284,7 @@ def hashed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        formal_groups, formal_findings, formal_status, jsonl_round_trip, jsonl_quarantine, append_batches, metadata_round_trip, id_list_round_trip, report_round_trip, vector_cache, file_entries,
+        formal_groups, formal_findings, formal_status, jsonl_round_trip, jsonl_quarantine, append_batches, paper_folders, metadata_round_trip, id_list_round_trip, report_round_trip, vector_cache, file_entries,
         roles_by_name, resolved_paths, pilot_analysis, question_table, failed_papers, answer_sheets, debug_sections, hashed_top_k,
         metadata_contract, run_contract, text_helpers, dataset_equations, abstracts_filled, prefixed_texts, sniffed_sources, atom_entries,
     )
@@ -305,6 +318,9 @@ CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 2 END AS times FROM documents""",
 SELECT vec_id, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END AS norm, round(CASE WHEN n = 0 THEN 0 ELSE list_sum(e[1:10]) / n END, 5) AS first_ten FROM v""",
     "append_batches": """SELECT doc_id, CASE WHEN length(text) > 500 THEN 'long' WHEN text IS NOT NULL THEN 'short' ELSE 'none' END AS sink, 'part-' || (doc_id % 4) AS batch, lang, md5(text) AS text_md5
 FROM documents WHERE doc_id IS NOT NULL""",
+    "paper_folders": """WITH p AS (SELECT 'd' || doc_id AS paper_id, coalesce(source, '') AS title, CASE doc_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'partial' ELSE 'failed' END AS parsing_status, text, lang FROM documents),
+c AS (SELECT paper_id, 1 AS pos, text FROM p WHERE parsing_status <> 'failed' UNION ALL SELECT paper_id, 2, lang FROM p WHERE parsing_status <> 'failed')
+SELECT p.paper_id, title, parsing_status, 2::BIGINT AS chunks_count, coalesce(c.pos, 0)::BIGINT AS pos, md5(c.text) AS text_md5 FROM p LEFT JOIN c ON c.paper_id = p.paper_id""",
     "file_entries": """WITH f AS (SELECT 'object' AS role, '{"regions":' || count(*) || '}' || chr(10) AS content, 'object' AS kind FROM region
 UNION ALL SELECT 'text', string_agg(r_regionkey || ',' || r_name || chr(10), '' ORDER BY r_regionkey), NULL FROM region UNION ALL SELECT 'gone', NULL, NULL)
 SELECT role, content IS NOT NULL AS "exists", strlen(content)::BIGINT AS size_bytes, sha256(content) AS sha256, kind AS json_top_level_type, 1 AS missing, 'WARN' AS status FROM f""",

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from quillspark.cli import main
-from quillspark.sources import readers
+from quillspark.sources import appendlog, paperfolders, readers
 
 
 def _lines(path, rows):
@@ -21,6 +21,9 @@ def test_pilot(spark, tmp_path, capsys):
     assert main(["extract", "--input", str(source), "--out", out]) == 0
     assert main(["summary", "--input", out, "--strict"]) == 0 and "total: 1" in capsys.readouterr().out
     assert spark.read.json(f"{out}.rejected").count() == 1
+    for _ in range(2):
+        assert main(["extract", "--input", str(source), "--out", str(tmp_path / "log"), "--batch", "day-1"]) == 0 and '"rows": {"good": 1, "rejected": 1}' in capsys.readouterr().out
+    assert appendlog.read(spark, str(tmp_path / "log"), "good", "extraction struct<title:string>").count() == 1
     assert main(["preview", "--input", out]) == 0 and "Fast showers" in capsys.readouterr().out
     assert main(["checklist", "--input", out, "--out", str(tmp_path / "sheets")]) == 0
     assert main(["review", "--input", str(tmp_path / "sheets"), "--strict"]) == 1 and "REVIEW_INCOMPLETE" in capsys.readouterr().out
@@ -51,7 +54,10 @@ def test_sources(spark, tmp_path, capsys):
     (tmp_path / "src" / "1705.0003v1.gz").write_bytes(b"\x1f\x8b\x08\x00broken")
     record = {"arxiv_id": "1705.0001v1", "title": "T", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}
     (tmp_path / "known.json").write_text(json.dumps([record, {**record, "arxiv_id": "1705.0003v1"}]))
-    assert main(["parse", "--input", str(tmp_path / "src"), "--metadata", str(tmp_path / "known.json"), "--out", str(tmp_path / "o2")]) == 0 and "failed: 2" in capsys.readouterr().out
+    assert main(["parse", "--input", str(tmp_path / "src"), "--metadata", str(tmp_path / "known.json"), "--out", str(tmp_path / "o2"), "--folders", str(tmp_path / "each")]) == 0 and "failed: 2" in capsys.readouterr().out
+    each = {r.folder: r.parsing_status for r in paperfolders.read(spark, str(tmp_path / "each")).collect()}
+    want = {r.paper_id: r.parsing_status for r in spark.read.parquet(str(tmp_path / "o2" / "papers")).collect()}
+    assert each == want and len(each) > 2
     kept = {r.paper_id: r for r in spark.read.parquet(f"{tmp_path}/o2/papers").collect()}
     assert [(kept[k].parsing_status, kept[k].errors) for k in sorted(kept)] == [("success", []), ("failed", ["metadata_error"]), ("failed", ["archive_extract_error"])]
     assert kept["1705_0001v1"].title == "T" and set(kept["1705_0001v1"].files) == {"sections", "equations", "chunks"} and not kept["1705_0003v1"].files
