@@ -211,10 +211,14 @@ def build(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def smoke(spark: SparkSession, a: argparse.Namespace) -> int:
-    """A pilot over made-up papers, to see that everything runs offline."""
+    """A pilot over made-up papers, to see that everything runs offline; each record written must have the shape of a traceable one."""
     paper = lambda n: {"arxiv_id": str(n), "title": f"Paper {n}", "authors": ["A"], "abstract": "We do.", "categories": ["x"], "published": "2020", "url": "u"}
     spark.createDataFrame([json.dumps([paper(n) for n in range(10)])], "string").coalesce(1).write.mode("overwrite").text(f"{a.out}/metadata")
     main(["pilot", "--input", f"{a.out}/metadata", "--out", f"{a.out}/pilot"])
+    rows = readers.jsonl(spark, f"{a.out}/pilot/extractions").select("line", dataset.smoke_error(F.col("record")).alias("error"))
+    bad = rows.agg(F.count("*").alias("n"), F.min("error").alias("error")).first()
+    if not bad["n"] or bad["error"]:
+        raise ValueError(f"smoke: {bad['error'] or 'no record was written'}")
     print("smoke: done")
     return 0
 

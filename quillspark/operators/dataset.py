@@ -223,3 +223,16 @@ def run_error(run: Column) -> Column:
     rules = [F.when(T.blank(run[n]), F.lit(f"blank: {n}")) for n in names]
     rules += [F.when(~run["created_at"].endswith("Z"), "not in UTC: created_at"), F.when(F.length(run["prompt_template_sha256"]) != 64, "no digest: prompt_template_sha256")]
     return F.coalesce(*rules)
+
+
+def smoke_error(record: Column) -> Column:
+    """The first way in which a record (variant) of an offline run lacks the shape of a traceable one; null if it has it."""
+    parts = {"source": [f for f in records.METADATA if f != "abstract"], "extraction": records.EXTRACTION, "run": []}
+    rules = []
+    for part, fields in parts.items():
+        keys = T.object_keys(F.try_variant_get(record, f"$.{part}", "variant"))
+        rules += [F.when(keys.isNull(), F.lit(f"no object: {part}")), *[F.when(~F.array_contains(keys, f), F.lit(f"missing: {part}.{f}")) for f in fields]]
+    names = ["run_id", "created_at", "backend", "model", "prompt_version", "prompt_template_sha256", "extraction_schema_version"]
+    run = F.struct(*[F.try_variant_get(record, f"$.run.{n}", "string").alias(n) for n in names])
+    rules += [run_error(run), *[F.when(run[n] != "fake", F.lit(f"not offline: {n}")) for n in ("backend", "model")]]
+    return F.coalesce(*rules)

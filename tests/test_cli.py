@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.cli import main
+from quillspark.operators import dataset, records
 from quillspark.sources import appendlog, paperfolders, readers
 
 
@@ -119,6 +121,15 @@ def test_smoke(spark, tmp_path, capsys):
     assert main(["smoke", "--out", str(tmp_path)]) == 0 and "smoke: done" in capsys.readouterr().out
 
 
+def test_shape_of_smoke_records(spark):
+    run = {"run_id": "r", "created_at": "2020Z", "backend": "fake", "model": "fake", "prompt_version": "v1", "prompt_template_sha256": "a" * 64, "extraction_schema_version": "v1"}
+    good = {"source": dict.fromkeys(["arxiv_id", "title", "authors", "categories", "published", "url"], "x"), "extraction": dict.fromkeys(records.EXTRACTION, "x"), "run": run}
+    bad = [{**good, "run": {**run, "backend": "other"}}, {**good, "run": {**run, "run_id": " "}}, {**good, "source": []}, {"extraction": {}}, {**good, "extraction": {"title": "x"}}]
+    rows = spark.createDataFrame([(n, json.dumps(r)) for n, r in enumerate([good, *bad])], "n int, t string")
+    got = [r.e for r in rows.orderBy("n").select(dataset.smoke_error(F.parse_json("t")).alias("e")).collect()]
+    assert got == [None, "not offline: backend", "blank: run_id", "no object: source", "no object: source", "missing: extraction.field"]
+
+
 def test_second_form(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     part = lambda n, text: {"pos": n, "chunk_id": f"c{n}", "paper_id": "p1", "arxiv_id": "a1", "title": "t", "section_id": "s1" if n < 3 else "s2", "section_heading": "Methods", "source_type": "section", "text": text}
