@@ -23,12 +23,14 @@ LEAF, SHARD, SAMPLE, TOP = 128, 4096, 4096, 10
 TILE, FEW = 1 << 15, 1 << 29
 #: Bits are counted in blocks of so many shingles, so a very long text needs no more memory.
 BLOCK = 1 << 16
-#: The pipeline's stage takes 5 words and also links texts whose sets of shingles have this Jaccard similarity. They are
-#: looked for in BANDS bands of ROWS minima: 1 - (1 - 0.8**5)**12 = 0.99 of the pairs at 0.8 share a band.
-STAGE_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 5
-#: Of a band's texts that agree, all pairs up to so many texts; beyond, each with one of them.
-PAIRS = 12
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The pipeline's stage takes 5 words and also links texts whose sets of shingles have this Jaccard similarity.
+STAGE_WORDS, SIMILARITY = 5, 0.8
+#: Texts whose shingles say which are common, and of how many at most that is held. They decide speed alone.
+COMMON_TEXTS, COMMON = 1 << 14, 1 << 18
+#: Of a shingle's texts all are paired up to so many; where more share it, they meet in tiles of at most so many texts and shingles.
+PAIRS, TILE_TEXTS, TILE_SHINGLES = 64, 2048, 1 << 20
+#: Shingles that one product of matrices looks at.
+COLUMNS = 2048
 
 
 def shingles(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -48,40 +50,86 @@ def shingles(text: bytes, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The SimHash of a text: a bit is one if more than half of the shingles' hashes have it; without words, zero."""
-    return sketch(text, words, 0)[0]
+    return simhash(shingles(text, words))
 
 
-def sketch(text: bytes, words: int, bands: int) -> tuple[int, list[int]]:
-    """(SimHash, keys of so many bands): a band's key is made of ROWS minima of its own over the shingles' hashes."""
+def simhash(blocks: Iterable[np.ndarray]) -> int:
     counts, n = np.zeros(64, np.int64), 0
-    factors = FACTORS[: bands * ROWS, None]
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for hashes in shingles(text, words):
+    for hashes in blocks:
         n += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint32)
-        for at in range(0, len(hashes) if bands else 0, 4096):
-            mixed = hashes[None, at : at + 4096] * factors
-            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=1))
-    fp = int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]) if n else 0
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(-1, ROWS))] if n else []
-    return fp, keys
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, bands: int = 0) -> DataFrame:
-    """(doc_id, fp, mark) of each row, fp as a signed long; whole texts, null as empty. mark tells texts apart. With bands also keys."""
+def needed(size: int, similarity: float) -> int:
+    """Shingles that a text of so many shares with any text as similar, at least."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def rarest(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a text's set of shingles, in ascending order, so many of the rarest that two similar texts have one of them in common.
+
+    Shingles are ordered by their counts in common, then by hash. Two texts that share needed() of their shingles also
+    share one among the first size - needed() + 1 of each: the first that they share.
+    """
+    hashes, counts = common
+    at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+    ranks = np.where(hashes[at] == own, counts[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
+    return own[np.argsort(ranks, kind="stable")[: len(own) - needed(len(own), similarity) + 1]]
+
+
+def common_shingles(docs: DataFrame, words: int, texts: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, counts) of the shingles that occur most often in a sample of about so many distinct texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            sets = [shingle_set(t or b"", words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["hash"])
+
+    texts, most, span = texts or COMMON_TEXTS, most or COMMON, 1 << 40
+    small_batches(docs.sparkSession)
+    rows = pick(docs, text="text:string").withColumn("mark", text_key("text"))
+    low = F.pmod(F.xxhash64(F.lit("common"), "mark"), F.lit(span)) < F.lit(int(span * min(1.0, texts / max(1, docs.count()))))
+    counts = frozen(rows.where(low).dropDuplicates(["mark"]).select("text").mapInArrow(run, "hash long").groupBy("hash").count().where("count > 1"))
+    least, held = 1 << 62, 0
+    for count, n in sorted(counts.groupBy("count").agg(F.count("*")).collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = count
+    found = counts.where(F.col("count") >= least).toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("count").to_numpy()[order]
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, mark) of each row, fp as a signed long; whole texts, null as empty. mark tells texts apart.
+
+    With a similarity also size, how many shingles the text has, each once, and keys, the rarest of them.
+    """
+    common = None if similarity is None else docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            made = [sketch(t or b"", words, bands) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            fps = np.fromiter((fp for fp, _ in made), np.uint64, len(made))
-            keys = pa.array([k for _, k in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("mark"), keys], ["doc_id", "fp", "mark", "keys"])
+            fps, sizes, keys = [], [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                blocks = shingles(text or b"", words)
+                if common:
+                    blocks = list(blocks)
+                    own = np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+                    sizes.append(len(own))
+                    keys.append(rarest(own, common.value, similarity).view(np.int64) if len(own) else own.view(np.int64))
+                fps.append(simhash(blocks))
+            out = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column("mark")]
+            if common:
+                out += [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "mark", "size", "keys"][: len(out)])
 
     small_batches(docs.sparkSession)
     rows = pick(docs, doc_id="doc_id:long", text="text:string").withColumn("mark", text_key("text"))
-    out = rows.mapInArrow(run, "doc_id long, fp long, mark long, keys array<long>")
-    return out if bands else out.drop("keys")
+    return rows.mapInArrow(run, "doc_id long, fp long, mark long" + (", size long, keys array<long>" if common else ""))
 
 
 def scattered(x: np.ndarray) -> np.ndarray:
@@ -233,48 +281,122 @@ def link_edges(distinct: DataFrame, bits: int = BITS, shard: int = SHARD, tile:
 
 
 def similar_edges(docs: DataFrame, each: DataFrame, words: int, similarity: float) -> DataFrame:
-    """docs and each (fp, mark, keys) -> edges (a, b) between fingerprints of texts whose sets of shingles, compared in full, are as similar.
+    """docs and each (fp, mark, size, keys) -> edges (a, b) between fingerprints that join what all pairs of texts as similar would join.
 
-    Texts that share a band's key are candidates. Up to PAIRS of them are paired with each other. Of more, a third of
-    all texts perhaps, each is compared with the one that most others agree with over all its bands, as the original of a
-    family of near copies does. Those that are not similar to it are dealt anew by two bands at a time, where fewer
-    agree, and once more compared in the same way. So pairs grow with the texts and not with their square.
+    Two similar texts share one of their rarest shingles (see rarest()). Where up to PAIRS texts share one, they are paired,
+    and a pair goes that shares too few of these for its sizes. Where more do, a third of all texts perhaps, each
+    is compared with the one that most others agree with, as the original of a family of near copies does. The similar
+    ones are joined by that. The others are compared with all texts that met there (see left_edges). No pair is lost.
     """
-    node = F.struct("mark", "fp").alias("node")
-    texts = each.groupBy("mark").agg(F.first(F.struct("fp", "keys")).alias("own")).select("mark", "own.*")
-    level, done, bucket = texts.select(node, F.posexplode("keys").alias("band", "key")), None, ["band", "key"]
-    for last in (False, True):
-        held = frozen(shared_keys(level))
-        few = held.where(F.col("n") <= PAIRS).groupBy(*bucket).agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-        left = few.select("nodes", F.posexplode("nodes").alias("at", "a"))
-        pairs = left.select("a", F.explode(F.slice("nodes", F.col("at") + 2, PAIRS)).alias("b"))
-        many = held.where(F.col("n") > PAIRS).select("node", *bucket, "n")
-        degrees = many.groupBy("node").agg(F.sum("n").alias("degree"))
-        centres = many.join(degrees, "node").groupBy(*bucket).agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
-        met = frozen(split_join(many.select(*bucket, F.col("node").alias("b")), centres, bucket, "inner").where("a <> b"))
-        pairs = frozen(pairs.union(met.select("a", "b")).where("a.fp <> b.fp").distinct())
-        found = frozen(similar(docs, pairs, words, similarity))
-        done = found if done is None else done.union(found)
-        if last or met.isEmpty():
-            break
-        apart = met.where("a.fp <> b.fp").join(found, ["a", "b"], "left_anti")
-        own = apart.groupBy(F.col("b").alias("node")).agg(F.sort_array(F.collect_list(F.struct(*bucket))).alias("own"))
-        twos = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, BANDS), lambda y: F.struct((x["band"] * BANDS + y["band"]).alias("band"), F.xxhash64(x["key"], y["key"]).alias("key")))))
-        level = own.select("node", F.explode(twos).alias("two")).select("node", "two.*")
-    return done.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    texts = frozen(each.groupBy("mark").agg(F.first(F.struct("fp", "size", "keys")).alias("own")).select("mark", "own.*"))
+    nodes = texts.select("mark", F.struct("mark", "fp").alias("node"), "size")
+    held = frozen(shared_keys(texts.select("mark", "size", F.explode("keys").alias("key"))))
+    few = held.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("mark", "size"))).alias("texts"))
+    left = few.select("texts", F.posexplode("texts").alias("at", "x"))
+    pairs = left.select("x", F.explode(F.slice("texts", F.col("at") + 2, PAIRS)).alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
+    # x and y share the common ones, and of those beyond the keys at most what the one whose keys end first has there
+    beyond = F.ceil(F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-9) - 1
+    enough = F.col("common") + beyond >= F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    alike = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-6
+    pairs = pairs.where(enough & alike).select(F.col("x.mark").alias("x"), F.col("y.mark").alias("y"))
+    many = held.where(F.col("n") > PAIRS).select("key", "mark", "n")
+    degrees = many.groupBy("mark").agg(F.sum("n").alias("degree"))
+    centres = many.join(degrees, "mark").groupBy("key").agg(F.max_by("mark", F.struct("degree", "mark")).alias("x"))
+    met = split_join(many.select("key", F.col("mark").alias("y")), centres, ["key"], "inner").where("x <> y").select("x", "y").distinct()
+    ends = split_join(pairs.withColumn("hub", F.lit(False)).union(met.withColumn("hub", F.lit(True))), nodes.select(F.col("mark").alias("x"), F.col("node").alias("a")), ["x"], "inner")
+    ends = split_join(ends, nodes.select(F.col("mark").alias("y"), F.col("node").alias("b"), "size"), ["y"], "inner")
+    ends = frozen(ends.select("a", "b", "size", "hub"))
+    found = frozen(similar(docs, ends.where("a.fp <> b.fp").select("a", "b").distinct(), words, similarity))
+    edges = found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    met = ends.where("hub").drop("hub")
+    apart = frozen(met.where("a.fp <> b.fp").join(found, ["a", "b"], "left_anti"))
+    return edges if apart.isEmpty() else edges.union(left_edges(docs, met, apart, words, similarity))
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """keyed (key, ...) with n, how many rows share the key, where there are several."""
+    # counted by another number, so that Spark exchanges both sides for the join alone and can split a hot key
+    shared = keyed.groupBy(F.bitwise_not("key").alias("other")).agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(shared.select(F.bitwise_not("other").alias("key"), "n"), "key")
+
+
+def left_edges(docs: DataFrame, met: DataFrame, apart: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints for pairs of a text in apart and one in met that have the same a.
+
+    Both have (a, b, size): a is the text that b was compared with. Each group is cut into tiles, and different tasks
+    compare a tile of apart with one of met in full.
+    """
+    tiles = F.ceil(F.greatest(F.sum("size") / TILE_SHINGLES, F.count("*") / TILE_TEXTS)).cast("int")
+    plan = apart.groupBy("a").agg(F.greatest(tiles, F.lit(1)).alias("lefts"))
+    plan = frozen(plan.join(met.groupBy("a").agg(F.greatest(tiles, F.lit(1)).alias("rights")), "a"))
+    sides = []
+    for rows, own, other, left in ((apart, "lefts", "rights", True), (met, "rights", "lefts", False)):
+        dealt = split_join(rows.drop("size"), plan, ["a"], "inner").withColumn("own", F.pmod(F.xxhash64("b.mark"), own).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        tile = (F.col("own"), F.col("other")) if left else (F.col("other"), F.col("own"))
+        sides.append(dealt.select(F.col("a.mark").alias("centre"), tile[0].alias("i"), tile[1].alias("j"), F.lit(left).alias("apart"), F.col("b.mark").alias("mark"), F.col("b.fp").alias("fp")))
+    dealt = sides[0].union(sides[1])
+    dealt = split_join(dealt, texts_of(docs, dealt.select("mark")), ["mark"], "inner")
+
+    def compare(members: pa.Table) -> pa.Table:
+        first, fps = members.column("apart").to_numpy(), members.column("fp").to_numpy()
+        sets = [shingle_set(t or b"", words) for t in members.column("text").cast(pa.binary()).to_pylist()]
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        at = np.array(across([sets[k] for k in left], [sets[k] for k in right], similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(fps[left[at[:, 0]]]), "b": pa.array(fps[right[at[:, 1]]])})
+
+    return dealt.groupBy("centre", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def across(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions (left, right) of sets as similar: as few pairs as join what all such pairs join.
+
+    Only shingles of both sides count, and a set of which too few do is similar to none. How many each two sets share
+    is a product of matrices, some columns at a time.
+    """
+    sides, sizes = (left, right), [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    if not all(size.sum() for size in sizes):
+        return []
+    shared = np.intersect1d(*[np.unique(np.concatenate(side)) for side in sides], assume_unique=True)
+    kept, cells = [], []
+    for side, size in zip(sides, sizes):
+        hashes, owner = np.concatenate(side), np.repeat(np.arange(len(side)), size)
+        known = np.isin(hashes, shared)
+        hashes, owner = hashes[known], owner[known]
+        kept.append(np.flatnonzero((size > 0) & (np.bincount(owner, minlength=len(size)) >= similarity * size - 1e-6)))
+        place = np.full(len(size), -1)
+        place[kept[-1]] = np.arange(len(kept[-1]))
+        column, row = np.searchsorted(shared, hashes), place[owner]
+        column, row = column[row >= 0], row[row >= 0]
+        order = np.argsort(column, kind="stable")
+        cells.append((column[order], row[order]))
+    common = np.zeros((len(kept[0]), len(kept[1])), np.float32)
+    for low in range(0, len(shared) if common.size else 0, COLUMNS):
+        parts = []
+        for (column, row), own in zip(cells, kept):
+            cut = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+            parts.append(np.zeros((len(own), COLUMNS), np.float32))
+            parts[-1][row[cut], column[cut] - low] = 1
+        common += parts[0] @ parts[1].T
+    out, label = [], np.arange(len(kept[1]))
+    for row, own in enumerate(kept[0]):
+        near = np.flatnonzero(common[row] / (sizes[0][own] + sizes[1][kept[1]] - common[row].astype(np.float64)) >= similarity)
+        names, at = np.unique(label[near], return_index=True)
+        out += [(int(own), int(kept[1][k])) for k in near[at]]
+        if len(names) > 1:
+            label[np.isin(label, names)] = names[0]
+    return out
 
 
-def shared_keys(banded: DataFrame) -> DataFrame:
-    """banded (node, band, key) with n, how many nodes share the key, where there are several."""
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return split_join(banded, shared, ["band", "key"], "inner")
+def texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(mark, text) of these marks, each once."""
+    texts = pick(docs, text="text:string").withColumn("mark", text_key("text"))
+    return frozen(texts.join(marks.distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
 
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) of structs (mark, fp), those whose texts are as similar; texts are read again and joined by their marks."""
-    used = pairs.select("a.mark").union(pairs.select("b.mark")).distinct()
-    texts = pick(docs, text="text:string").withColumn("mark", text_key("text"))
-    texts = frozen(texts.join(used, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
+    texts = texts_of(docs, pairs.select("a.mark").union(pairs.select("b.mark")))
     both = split_join(pairs.withColumn("x", F.col("a.mark")), texts.toDF("x", "left"), ["x"], "inner").drop("x")
     both = split_join(both.withColumn("y", F.col("b.mark")), texts.toDF("y", "right"), ["y"], "inner")
 
@@ -324,7 +446,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, similarit
 
 def _grouped(docs: DataFrame, words: int, bits: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """(each row's doc_id, fp, mark; each fingerprint's class, named by a fingerprint, and its component_id)."""
-    each = frozen(fingerprints(docs, words, 0 if similarity is None else BANDS))
+    each = frozen(fingerprints(docs, words, similarity))
     distinct = frozen(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     edges = link_edges(distinct, bits)
     if similarity is not None:

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -187,6 +187,73 @@ def test_families_are_found_through_their_original(spark, monkeypatch):
     assert len(close) > 700 and len(close & kept) <= 3 + 0.05 * len(close) and sum(met) < 20 * len(rows)
 
 
+def near_and_far(rng):
+    """Texts at just 0.8; a family whose variants are similar to one another but mostly not to their original; spaced-out chains."""
+    texts = []
+    for k in range(1000):
+        own = [f"p{k}w{n}" for n in range(50)]
+        texts += [own, [*own[:-5], *[f"p{k}end{n}" for n in range(5)]]]  # 41 of 51 shingles: 0.804
+    for family in range(2):
+        own = [f"f{family}w{n}" for n in range(120)]
+        texts.append(own)
+        for k in range(150):
+            copy = list(own)
+            for at in rng.choice(120, 1 + k % 6, replace=False):
+                copy[at] = f"changed{family}x{k}"
+            texts.append(copy)
+            if k % 3 == 0:
+                twin = list(copy)
+                for at in rng.choice(120, 1 + k % 2, replace=False):
+                    twin[at] = f"twin{family}x{k}"
+                texts.append(twin)
+    for k in range(100):  # one very common passage, and a tail of their own
+        texts.append([*[f"common{n}" for n in range(30)], *[f"tail{k}x{n}" for n in range(k % 12)]])
+    return [" ".join(t) for t in texts]
+
+
+def all_pairs(texts, words=5):
+    """The component of each text, by comparing every pair in which a shingle is shared."""
+    sets = [{tuple(t.split()[k : k + words]) for k in range(max(1, len(t.split()) - words + 1))} for t in texts]
+    holders, prints, pairs = {}, {}, []
+    for i, own in enumerate(sets):
+        for shingle in own:
+            holders.setdefault(shingle, []).append(i)
+        prints.setdefault(slow_fingerprint(texts[i], words), []).append(i)
+    for i, own in enumerate(sets):
+        shared = Counter(j for shingle in own for j in holders[shingle] if j > i)
+        pairs += [(i, j) for j, n in shared.items() if n / (len(own) + len(sets[j]) - n) >= 0.8]
+    known = list(prints)
+    pairs += [(prints[a][0], j) for a in known for j in prints[a]]
+    bits = np.array(known, np.uint64)
+    for k, a in enumerate(known):
+        pairs += [(prints[a][0], prints[known[k + 1 + int(j)]][0]) for j in np.flatnonzero(np.bitwise_count(bits[k + 1 :] ^ bits[k]) <= 4)]
+    return classes(pairs, range(len(texts)))
+
+
+def test_stage_loses_no_similar_pair(spark, monkeypatch):
+    """The components are those of all pairs, however many texts share a shingle and whatever counts as common."""
+    texts = near_and_far(np.random.default_rng(13))
+    want = all_pairs(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for few, tile, sample in ((simhash.PAIRS, simhash.TILE_TEXTS, simhash.COMMON_TEXTS), (3, 40, 100)):
+        monkeypatch.setattr(simhash, "PAIRS", few)
+        monkeypatch.setattr(simhash, "TILE_TEXTS", tile)
+        monkeypatch.setattr(simhash, "COMMON_TEXTS", sample)
+        got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, words=5, similarity=0.8).collect()}
+        assert got == want, few
+
+
+def test_sets_across_tiles():
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 2**63, (4, 60), dtype=np.uint64)
+    side = [[np.unique(np.concatenate([rng.choice(base[k % 4], 60 - k % 14, replace=False), rng.integers(0, 2**63, k % 9, dtype=np.uint64)])) for k in range(n)] for n in (70, 90)]
+    side[1][5] = np.zeros(0, np.uint64)
+    near = [(i, j + 70) for i, x in enumerate(side[0]) for j, y in enumerate(side[1]) if simhash.jaccard(x, y) >= 0.8]
+    got = [(i, j + 70) for i, j in simhash.across(*side, 0.8)]
+    assert set(got) <= set(near) and len(got) < 160 < len(near) and classes(got, range(160)) == classes(near, range(160))
+    assert simhash.across(side[0], [], 0.8) == simhash.across(side[0], side[1][5:6], 0.8) == []
+
+
 def test_trees_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 400, dtype=np.uint64)
