@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import records
+from .shared import frozen, if_small
 
 # The kinds of errors that answers and retrieval are counted by.
 ERRORS = [
@@ -43,9 +44,9 @@ def embedding_text(title: Column, section: Column, text: Column) -> Column:
 def hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """ranked(q, rank, doc, score), chunks(doc, and the fields of HIT) -> ranked with them, a label, a preview.
 
-    The ranking, k rows a question, is the small side of the join; Spark decides whether to send it to every task.
+    The ranking, k rows a question, goes to every task unless it is large, so that texts are not exchanged.
     """
-    rows = ranked.join(chunks.select("doc", *HIT), "doc")
+    rows = chunks.select("doc", *HIT).join(if_small(frozen(ranked)), "doc").select(*ranked.columns, *HIT)
     return rows.withColumn("citation_label", F.format_string("[C%d]", "rank")).withColumn("score", F.round("score", 8)).withColumn("text_preview", T.preview(F.col("text")))
 
 
