@@ -17,6 +17,7 @@ from ..operators import answers as A
 from ..operators import audit, dataset, gate, reports
 from ..operators import evaluate as E
 from ..operators import retrieval as R
+from ..operators.shared import frozen, if_small
 from . import corpus
 from . import retrieval as P
 
@@ -74,8 +75,10 @@ def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, questions = P._docs(spark, sf_dir), P._questions(spark, sf_dir)
     terms = questions.select("q", F.explode(F.array_distinct(T.tokens_v1(F.col("question")))).alias("term"))
-    chunk_terms = docs.select("doc", F.explode(F.array_distinct(T.tokens_v1(F.col("text")))).alias("term"))
-    return A.diagnostics(questions, terms, chunk_terms, P._expected(spark, sf_dir)).withColumnRenamed("q", "item_id")
+    expected = frozen(P._expected(spark, sf_dir))
+    held = docs.join(if_small(frozen(expected.select("doc").distinct())), "doc", "left_semi")
+    chunk_terms = held.select("doc", F.explode(F.array_distinct(T.tokens_v1(F.col("text")))).alias("term"))
+    return A.diagnostics(questions, terms, chunk_terms, expected).withColumnRenamed("q", "item_id")
 
 
 def citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
