@@ -29,6 +29,8 @@ STAGE_WORDS, SIMILARITY = 5, 0.8
 COMMON_TEXTS, COMMON = 1 << 14, 1 << 18
 #: Of a shingle's texts all are paired up to so many; where more share it, they meet in tiles of at most so many texts and shingles.
 PAIRS, TILE_TEXTS, TILE_SHINGLES = 64, 2048, 1 << 20
+#: Shared shingles that go to every task at once, and how often at most.
+SENT, ROUNDS = 1 << 20, 16
 #: Shingles that one product of matrices looks at.
 COLUMNS = 2048
 
@@ -288,17 +290,17 @@ def similar_edges(docs: DataFrame, each: DataFrame, words: int, similarity: floa
     is compared with the one that most others agree with, as the original of a family of near copies does. The similar
     ones are joined by that. The others are compared with all texts that met there (see left_edges). No pair is lost.
     """
-    texts = frozen(each.groupBy("mark").agg(F.first(F.struct("fp", "size", "keys")).alias("own")).select("mark", "own.*"))
+    texts = one_of_each_mark(each)
     nodes = texts.select("mark", F.struct("mark", "fp").alias("node"), "size")
-    held = frozen(shared_keys(texts.select("mark", "size", F.explode("keys").alias("key"))))
+    held = shared_keys(texts.select("mark", "size", F.explode("keys").alias("key")))
     few = held.where(F.col("n") <= PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("mark", "size"))).alias("texts"))
     left = few.select("texts", F.posexplode("texts").alias("at", "x"))
-    pairs = left.select("x", F.explode(F.slice("texts", F.col("at") + 2, PAIRS)).alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
+    alike = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-6
+    pairs = left.select("x", F.explode(F.slice("texts", F.col("at") + 2, PAIRS)).alias("y")).where(alike).groupBy("x", "y").agg(F.count("*").alias("common"))
     # x and y share the common ones, and of those beyond the keys at most what the one whose keys end first has there
     beyond = F.ceil(F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-9) - 1
     enough = F.col("common") + beyond >= F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-6
-    alike = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-6
-    pairs = pairs.where(enough & alike).select(F.col("x.mark").alias("x"), F.col("y.mark").alias("y"))
+    pairs = pairs.where(enough).select(F.col("x.mark").alias("x"), F.col("y.mark").alias("y"))
     many = held.where(F.col("n") > PAIRS).select("key", "mark", "n")
     degrees = many.groupBy("mark").agg(F.sum("n").alias("degree"))
     centres = many.join(degrees, "mark").groupBy("key").agg(F.max_by("mark", F.struct("degree", "mark")).alias("x"))
@@ -313,11 +315,34 @@ def similar_edges(docs: DataFrame, each: DataFrame, words: int, similarity: floa
     return edges if apart.isEmpty() else edges.union(left_edges(docs, met, apart, words, similarity))
 
 
+def one_of_each_mark(each: DataFrame) -> DataFrame:
+    """(mark, fp, size, keys) of each text once. Rows of texts that occur several times alone are exchanged."""
+    again = frozen(each.groupBy("mark").count().where("count > 1").select("mark"))
+    if again.isEmpty():
+        return each.select("mark", "fp", "size", "keys")
+    again = if_small(again)
+    first = each.join(again, "mark", "left_semi").groupBy("mark").agg(F.first(F.struct("fp", "size", "keys")).alias("own")).select("mark", "own.*")
+    return each.join(again, "mark", "left_anti").select("mark", "fp", "size", "keys").union(frozen(first))
+
+
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """keyed (key, ...) with n, how many rows share the key, where there are several."""
+    """keyed (key, ...) with n, how many rows share the key, where there are several; frozen.
+
+    Keys alone are exchanged to be counted. Most occur once, so those that don't go to every task, SENT at a time; only more
+    than SENT * ROUNDS of them are joined.
+    """
     # counted by another number, so that Spark exchanges both sides for the join alone and can split a hot key
     shared = keyed.groupBy(F.bitwise_not("key").alias("other")).agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(shared.select(F.bitwise_not("other").alias("key"), "n"), "key")
+    shared = frozen(shared.select(F.bitwise_not("other").alias("key"), "n"))
+    rounds = max(1, math.ceil(shared.count() / SENT))
+    if rounds > ROUNDS:
+        return frozen(keyed.join(shared, "key"))
+    out = None
+    for k in range(rounds):
+        own = F.pmod(F.xxhash64("key"), F.lit(rounds)) == k
+        found = frozen(keyed.where(own).join(F.broadcast(shared.where(own)), "key"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def left_edges(docs: DataFrame, met: DataFrame, apart: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -389,9 +414,9 @@ def across(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -
 
 
 def texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, text) of these marks, each once."""
+    """(mark, text) of these marks, each once. Marks go to every task unless they are many, so that other texts are not exchanged."""
     texts = pick(docs, text="text:string").withColumn("mark", text_key("text"))
-    return frozen(texts.join(marks.distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
+    return frozen(texts.join(if_small(frozen(marks.distinct())), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
 
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -462,14 +487,19 @@ def _grouped(docs: DataFrame, words: int, bits: int, similarity: float | None) -
 def keep_one_of_each(docs: DataFrame, words: int = STAGE_WORDS, bits: int = BITS, similarity: float | None = SIMILARITY) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id, rows without an id last.
 
-    Rows are told apart by id and text. Of rows equal in both, one stays.
+    Rows are told apart by id and text. Of rows equal in both, one stays. Where few rows go, and none is repeated, their keys are
+    sent to every task, and no text is exchanged.
     """
     each, named = _grouped(docs, words, bits, similarity)
     rows = each.groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n"))
     rows = split_join(rows, named.select("fp", "class"), ["fp"], "inner")
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("row"))
     plan = first.select(_row_key(F.col("row.doc_id"), F.col("row.mark")).alias("key"), F.when(F.col("row.n") == 1, 1).alias("copies"), F.lit(1).cast("long").alias("total"))
-    return taken(docs, _row_key(F.col("doc_id").cast("long"), text_key("text")), frozen(plan))
+    plan, own = frozen(plan), _row_key(F.col("doc_id").cast("long"), text_key("text"))
+    gone = frozen(rows.select(_row_key(F.col("doc_id"), F.col("mark")).alias("__gone")).join(plan, F.col("__gone") == F.col("key"), "left_anti"))
+    if gone.limit(SENT + 1).count() > SENT or not plan.where("copies IS NULL").isEmpty():
+        return taken(docs, own, plan)
+    return docs.join(F.broadcast(gone), own == F.col("__gone"), "left_anti")
 
 
 def _row_key(ident: Column, mark: Column) -> Column:
